@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from biflux.runtime import durable
 
-HEAVY_SHARE = 1 / 1024
+HEAVY_SHARE = 1 / 16384
 HEAVY_ROWS = 2_000_000
-_SLOTS = 4096
+_SLOTS = 65536
 
 
 def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list[Row]:
     """Keys with more than ``max(min_rows, share * total)`` rows; there can be at most ``1 / share`` of them.
 
-    The first job counts hash slots (at most 4096 result rows, map-side combined). Exact keys are counted only inside
+    The first job counts hash slots (at most 65536 result rows, map-side combined). Exact keys are counted only inside
     slots that are themselves heavy, so the usual table without a hot key costs one pass and almost no shuffle.
     """
     slot = F.pmod(F.xxhash64(*keys), F.lit(_SLOTS))
