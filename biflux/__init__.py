@@ -1 +1,8 @@
 """Network flow-record analytics as DataFrame -> DataFrame functions on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python helpers that run in tasks travel with the job, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
