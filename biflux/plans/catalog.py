@@ -1,5 +1,5 @@
 """All registered queries: name -> (Spark callable, oracle SQL or None)."""
 
-from biflux.plans import compare_queries, packet_queries, profile_queries, validation_queries
+from biflux.plans import compare_queries, packet_queries, profile_queries, scenario_queries, validation_queries
 
-CATALOG = {**compare_queries.QUERIES, **profile_queries.QUERIES, **packet_queries.QUERIES, **validation_queries.QUERIES}
+CATALOG = {**compare_queries.QUERIES, **profile_queries.QUERIES, **packet_queries.QUERIES, **validation_queries.QUERIES, **scenario_queries.QUERIES}
