@@ -93,33 +93,37 @@ def _texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def _is_one_of(name: Column, names: list[str]) -> Column:
+    return name.isin(names) if names else F.lit(False)
+
+
 def map_fields(records: DataFrame, table: dict[str, Target], known: dict[str, Callable], record: str = "record") -> DataFrame:
     """Rename and convert the entries of a ``map<string,string>`` column.
 
-    Adds ``fields`` (the later of two entries with the same target wins), ``mapped`` and ``unmapped`` keys.
+    Adds ``fields`` (the later of two entries with the same target wins), ``mapped`` and ``unmapped`` keys. The table is
+    known when the plan is made, so each target becomes a lookup of its keys and the whole step compiles to Java.
     """
-    names = F.create_map(*[F.lit(x) for k, t in table.items() for x in (k, t.map)])
-    by_converter: dict[str, list[str]] = {}
+    source, keys = F.col(record), F.map_keys(record)
+    by_target: dict[str, list[str]] = {}
     for key, target in table.items():
-        if target.converter:
-            by_converter.setdefault(target.converter, []).append(key)
-
-    def convert(entry: Column) -> Column:
-        value = entry["value"]
-        result = F.when(F.lit(False), value)
-        for name, keys in by_converter.items():
-            result = result.when(entry["key"].isin(keys), known[name](value))
-        return F.struct(names[entry["key"]].alias("key"), result.otherwise(value).alias("value"))
-
-    keys = F.map_keys(record)
-    entries = F.transform(F.filter(F.map_entries(record), lambda e: F.map_contains_key(names, e["key"])), convert)
-    targets = F.transform(F.col("_entries"), lambda e: e["key"])
-    last = F.filter(F.col("_entries"), lambda e, i: F.size("_entries") - F.array_position(F.reverse(targets), e["key"]) == i)
-    return records.withColumn("_entries", entries).withColumns({
-        "fields": F.map_from_entries(last),
-        "mapped": F.filter(keys, lambda k: F.map_contains_key(names, k)),
-        "unmapped": F.filter(keys, lambda k: ~F.map_contains_key(names, k)),
-    }).drop("_entries")
+        by_target.setdefault(target.map, []).append(key)
+
+    def value(key: str) -> Column:
+        text = F.try_element_at(source, F.lit(key))
+        return known[table[key].converter](text) if table[key].converter else text
+
+    def entry(name: str, sources: list[str]) -> Column:
+        if len(sources) == 1:
+            return F.when(F.map_contains_key(source, sources[0]), F.struct(F.lit(name).alias("key"), value(sources[0]).alias("value")))
+        found = F.array_max(F.array_compact(F.array(*[
+            F.when(F.map_contains_key(source, k), F.struct(F.array_position(keys, k).alias("at"), value(k).alias("value"))) for k in sources])))
+        return F.when(found.isNotNull(), F.struct(F.lit(name).alias("key"), found["value"].alias("value")))
+
+    return records.withColumns({
+        "fields": F.map_from_entries(F.array_compact(F.array(*[entry(n, ks) for n, ks in by_target.items()]))),
+        "mapped": F.filter(keys, lambda k: _is_one_of(k, list(table))),
+        "unmapped": F.filter(keys, lambda k: ~_is_one_of(k, list(table))),
+    })
 
 
 def unmapped_summary(mapped: DataFrame) -> DataFrame:
@@ -176,18 +180,18 @@ def normalize(records: DataFrame, dictionary: FieldDictionary, column: str = "fi
     List fields arrive as a JSON array (or one object); they go to ``lists`` as arrays of maps whose keys are the
     subfield names ``list.sub``. A mapped subfield ``list.sub`` alone becomes a list of one item.
     """
-    ints = _texts(dictionary.names(type="int"))
+    ints = dictionary.names(type="int")
     list_names = dictionary.names(type="list")
-    in_list = _texts([n for n in dictionary.fields if n.partition(".")[0] in list_names])
-    scalars = _texts([n for n in dictionary.names() if n.partition(".")[0] not in list_names])
+    in_list = [n for n in dictionary.fields if n.partition(".")[0] in list_names]
+    scalars = [n for n in dictionary.names() if n.partition(".")[0] not in list_names]
     source = F.col(column)
 
     def typed(name: Column, value: Column) -> Column:
         # Alternatives of an expected value (a JSON array) are read later.
-        return F.when(F.array_contains(ints, name) & ~value.startswith("["), value.try_cast("bigint").cast("string")).otherwise(value)
+        return F.when(_is_one_of(name, ints) & ~value.startswith("["), value.try_cast("bigint").cast("string")).otherwise(value)
 
     cast = F.transform_values(source, typed)
-    kept = F.map_filter(cast, lambda k, v: F.array_contains(scalars, k) & v.isNotNull())
+    kept = F.map_filter(cast, lambda k, v: _is_one_of(k, scalars) & v.isNotNull())
 
     def listed(name: str) -> Column:
         text = F.try_element_at(source, F.lit(name))
@@ -195,10 +199,10 @@ def normalize(records: DataFrame, dictionary: FieldDictionary, column: str = "fi
 
         def item(m: Column) -> Column:
             prefixed = F.transform_values(F.transform_keys(m, lambda k, v: F.concat(F.lit(f"{name}."), k)), typed)
-            return F.map_filter(prefixed, lambda k, v: F.array_contains(in_list, k) & v.isNotNull())
+            return F.map_filter(prefixed, lambda k, v: _is_one_of(k, in_list) & v.isNotNull())
 
         items = F.transform(F.from_json(as_array, "array<map<string,string>>"), item)
-        alone = F.map_filter(cast, lambda k, v: k.startswith(f"{name}.") & F.array_contains(in_list, k) & v.isNotNull())
+        alone = F.map_filter(cast, lambda k, v: k.startswith(f"{name}.") & _is_one_of(k, in_list) & v.isNotNull())
         single = F.when(F.size(F.map_keys(alone)) > 0, F.array(alone))
         return F.filter(F.coalesce(items, single), lambda m: F.size(F.map_keys(m)) > 0)
 
@@ -213,8 +217,8 @@ def normalize(records: DataFrame, dictionary: FieldDictionary, column: str = "fi
 
 def is_biflow(dictionary: FieldDictionary, column: str = "scalars") -> Column:
     """A field of the reverse direction has a value (not zero, not empty)."""
-    reverse = _texts(dictionary.names("reverse"))
-    return F.exists(F.map_entries(column), lambda e: F.array_contains(reverse, e["key"]) & ~e["value"].isin("", "0"))
+    reverse = dictionary.names("reverse")
+    return F.exists(F.map_entries(column), lambda e: _is_one_of(e["key"], reverse) & ~e["value"].isin("", "0"))
 
 
 EMPTY_VALUES, EMPTY_LISTS = "map<string,string>", "map<string,array<map<string,string>>>"
@@ -228,13 +232,13 @@ def direction_records(normalized: DataFrame, dictionary: FieldDictionary) -> Dat
     were given for the other direction only.
     """
     rename = dictionary.reverse_map()
-    skip = {"f": _texts(dictionary.names("reverse")), "r": _texts(dictionary.names("forward"))}
+    skip = {"f": dictionary.names("reverse"), "r": dictionary.names("forward")}
 
     def optional(name: str, kind: str) -> Column:
         return F.coalesce(F.col(name), F.create_map().cast(kind)) if name in normalized.columns else F.create_map().cast(kind)
 
     def side(source: str, kind: str, own: str, which: str) -> Column:
-        base = F.map_filter(F.coalesce(F.col(source), F.create_map().cast(kind)), lambda k, v: ~F.array_contains(skip[which], k))
+        base = F.map_filter(F.coalesce(F.col(source), F.create_map().cast(kind)), lambda k, v: ~_is_one_of(k, skip[which]))
         if which == "r":
             base = F.transform_keys(base, lambda k, v: F.coalesce(F.try_element_at(rename, k), k))
         extra = optional(own, kind)

@@ -77,8 +77,10 @@ def metric_table(
     port_threshold: float = DEFAULT_THRESHOLD,
     window_length: int = DEFAULT_WINDOW,
     by: list[str] | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Long table ``by..., grp, name, value``: ratios, address version, packet size, protocol, port and window shares.
+    """Long table ``by..., grp, name, value``: ratios, address version, packet size, protocol, port and window shares
+    and, with ``totals``, the number of flows.
 
     Everything after :func:`raw_sums` works on its small result (at most 256 protocols, 65536 ports and the windows).
     """
@@ -107,7 +109,11 @@ def metric_table(
     windows = steps.where(last >= at).select(
         *by, "grp", F.explode(F.sequence(at, last).cast("array<string>")).alias("name"),
         (F.greatest(F.col("now"), F.lit(0.0)) / F.col("packets")).alias("value"))
-    return ratios.unionByName(shares).unionByName(windows)
+    table = ratios.unionByName(shares).unionByName(windows)
+    if totals:
+        count = sums.where((F.col("grp") == "total") & (F.col("name") == "flows"))
+        table = table.unionByName(count.select(*by, "grp", "name", F.col("amount").alias("value")))
+    return table
 
 
 def window_rsd(metrics: DataFrame, span: Span) -> DataFrame:

@@ -7,6 +7,7 @@ from biflux.functions.scalars import size_class
 from biflux.operators.profile_metrics import (
     DEFAULT_THRESHOLD, DEFAULT_WINDOW, Span, fitness, metric_diff, metric_table, profile_span, raw_sums,
 )
+from biflux.runtime import durable
 from biflux.schemas import FlowDataError
 from biflux.skew import keyed_scan
 
@@ -57,9 +58,10 @@ def score_candidates(
     chosen = F.array_compact(F.array(*[F.when(_member(i, r, seed), F.lit(i)) for i, r in enumerate(rates)]))
     members = ranked.withColumn("candidate", F.explode(chosen))
     original = metric_table(profile, span, proto_threshold, port_threshold, window_length)
-    scored = metric_table(members, span, 0.0, 0.0, window_length, ["candidate"])
+    # Small tables (metrics per candidate), each used more than once.
+    scored = durable(metric_table(members, span, 0.0, 0.0, window_length, ["candidate"], totals=True))
     result = fitness(metric_diff(original, scored, ["candidate"]), deviation, ["candidate"])
-    size = members.groupBy("candidate").agg(F.count("*").alias("flows"))
+    size = scored.where((F.col("grp") == "total") & (F.col("name") == "flows")).select("candidate", F.col("value").alias("flows"))
     share = F.col("flows") / F.lit(profile.count())
     return result.join(size, "candidate").select(
         "candidate", share.alias("share"), "fitness", "worst",
