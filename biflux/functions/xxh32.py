@@ -8,21 +8,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 # The five primes of the published XXH32 algorithm.
 P1, P2, P3, P4, P5 = 2654435761, 2246822519, 3266489917, 668265263, 374761393
 _M = 1 << 32
+_MASK = _M - 1
+
+
+def _low(x: Column) -> Column:
+    """The lowest 32 bits. Masks instead of remainders keep the generated code small enough to be compiled natively."""
+    return x.bitwiseAND(F.lit(_MASK))
 
 
 def _mul(x: Column, prime: int) -> Column:
     """Product modulo 2**32 without leaving 64 bits."""
-    return (x * (prime & 0xFFFF) + (x * (prime >> 16)) % 65536 * 65536) % _M
+    return _low(x * (prime & 0xFFFF) + F.shiftleft((x * (prime >> 16)).bitwiseAND(F.lit(0xFFFF)), 16))
 
 
 def _rotl(x: Column, bits: int) -> Column:
-    return F.shiftleft(x, bits) % _M + F.shiftright(x, 32 - bits)
+    return _low(F.shiftleft(x, bits)).bitwiseOR(F.shiftright(x, 32 - bits))
 
 
 def _word(ip: Column, i: int) -> Column:
-    """Four address bytes read as a little-endian number."""
-    digits = [F.substring(ip, 8 * i + 2 * b + 1, 2) for b in (3, 2, 1, 0)]
-    return F.conv(F.concat(*digits), 16, 10).cast("long")
+    return F.conv(F.substring(ip, 8 * i + 1, 8), 16, 10).cast("long")
+
+
+def _swapped(x: Column) -> Column:
+    """Byte order of a 32-bit number turned around: the hash reads addresses as little-endian words."""
+    parts = [F.shiftleft(F.shiftright(x, 8 * b).bitwiseAND(F.lit(0xFF)), 24 - 8 * b) for b in range(4)]
+    return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
 
 
 def with_ip_hash(df: DataFrame, ip: str, out: str) -> DataFrame:
@@ -31,11 +41,11 @@ def with_ip_hash(df: DataFrame, ip: str, out: str) -> DataFrame:
     lanes = [(P1 + P2) % _M, P2, 0, _M - P1]
     steps = [
         {f"_k{i}": F.when(v6 | F.lit(i == 0), _word(c(ip), i)).otherwise(0) for i in range(4)},
-        {"_short": (_mul(c("_k0"), P3) + P5 + 4) % _M,
-         **{f"_a{i}": (_mul(c(f"_k{i}"), P2) + lanes[i]) % _M for i in range(4)}},
+        {f"_k{i}": _swapped(c(f"_k{i}")) for i in range(4)},
+        {"_short": _low(_mul(c("_k0"), P3) + (P5 + 4)), **{f"_a{i}": _low(_mul(c(f"_k{i}"), P2) + lanes[i]) for i in range(4)}},
         {"_short": _rotl(c("_short"), 17), **{f"_a{i}": _rotl(c(f"_a{i}"), 13) for i in range(4)}},
         {"_short": _mul(c("_short"), P4), **{f"_a{i}": _mul(c(f"_a{i}"), P1) for i in range(4)}},
-        {"_h": F.when(v6, (_rotl(c("_a0"), 1) + _rotl(c("_a1"), 7) + _rotl(c("_a2"), 12) + _rotl(c("_a3"), 18) + 16) % _M)
+        {"_h": F.when(v6, _low(_rotl(c("_a0"), 1) + _rotl(c("_a1"), 7) + _rotl(c("_a2"), 12) + _rotl(c("_a3"), 18) + 16))
          .otherwise(c("_short"))},
         {"_h": c("_h").bitwiseXOR(F.shiftright("_h", 15))},
         {"_h": _mul(c("_h"), P2)},

@@ -241,21 +241,23 @@ def precise_compare(
         raise FlowDataError("a segment is given twice")
 
     def tagged(df: DataFrame, name: str) -> DataFrame:
+        values = [c for c in df.columns if c not in FLOW_KEY]
+        if segments == [None]:
+            return df.select(*FLOW_KEY, F.struct(*values).alias(name), F.array(F.lit(0)).alias(f"{name}_in"))
         members = [F.when(segment_predicate(s), F.lit(i)) for i, s in enumerate(segments)]
         if name == "f" and check_complement:
             members.append(F.when(~in_any(segments), F.lit(len(segments))))
         inside = F.array_compact(F.array(*members))
-        values = [c for c in df.columns if c not in FLOW_KEY]
-        return df.select(*FLOW_KEY, F.struct(*values).alias(name), inside.alias(f"{name}_in"))
+        marked = df.select(*FLOW_KEY, F.struct(*values).alias(name), inside.alias(f"{name}_in"))
+        # A row outside of every segment cannot show up in any result.
+        return marked.where(F.size(f"{name}_in") > 0)
 
-    # A row outside of every segment cannot show up in any result.
-    left = tagged(merged, "f").where(F.size("f_in") > 0)
-    right = tagged(reference, "r").where(F.size("r_in") > 0)
+    left, right = tagged(merged, "f"), tagged(reference, "r")
     none = F.array().cast("array<int>")
     both = left.join(right, FLOW_KEY, "full_outer").withColumns({
         "f_in": F.coalesce("f_in", none), "r_in": F.coalesce("r_in", none),
     })
-    per_segment = both.withColumn("segment_id", F.explode(F.array_union("f_in", "r_in"))).withColumns({
+    per_segment = both.withColumn("segment_id", F.explode_outer(F.array_union("f_in", "r_in"))).withColumns({
         "has_flow": F.array_contains("f_in", F.col("segment_id")),
         "has_ref": F.array_contains("r_in", F.col("segment_id")),
         "time_diff": F.greatest(

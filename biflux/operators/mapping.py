@@ -128,7 +128,8 @@ def map_fields(records: DataFrame, table: dict[str, Target], known: dict[str, Ca
 
 def unmapped_summary(mapped: DataFrame) -> DataFrame:
     """Keys without a mapping and the number of records that have them."""
-    return mapped.select(F.explode("unmapped").alias("key")).groupBy("key").agg(F.count("*").alias("records"))
+    keys = mapped.select(F.explode_outer("unmapped").alias("key")).where(F.col("key").isNotNull())
+    return keys.groupBy("key").agg(F.count("*").alias("records"))
 
 
 TYPES = ("int", "string", "list", "dict")
@@ -262,7 +263,8 @@ def split_directions(normalized: DataFrame, dictionary: FieldDictionary) -> Data
     pairs = direction_records(normalized, dictionary)
     keep = [c for c in pairs.columns if c not in ("f", "r")]
     sides = F.array(F.struct(F.lit("fwd").alias("side"), "f.*"), F.when(F.col("r").isNotNull(), F.struct(F.lit("rev").alias("side"), "r.*")))
-    return pairs.select(*keep, F.inline(F.array_compact(sides)))
+    # The outer form does not evaluate the records a second time for an inferred filter.
+    return pairs.select(*keep, F.inline_outer(F.array_compact(sides)))
 
 
 def with_keys(records: DataFrame, dictionary: FieldDictionary, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

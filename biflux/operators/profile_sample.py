@@ -56,7 +56,7 @@ def score_candidates(
     span = profile_span(profile, window_length)
     ranked = _ranked(profile, row_id, seed, span, window_length)
     chosen = F.array_compact(F.array(*[F.when(_member(i, r, seed), F.lit(i)) for i, r in enumerate(rates)]))
-    members = ranked.withColumn("candidate", F.explode(chosen))
+    members = ranked.withColumn("candidate", F.explode_outer(chosen)).where(F.col("candidate").isNotNull())
     original = metric_table(profile, span, proto_threshold, port_threshold, window_length)
     # Small tables (metrics per candidate), each used more than once.
     scored = durable(metric_table(members, span, 0.0, 0.0, window_length, ["candidate"], totals=True))

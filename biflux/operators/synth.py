@@ -79,7 +79,7 @@ def _cut(total: Column, done: Column, whole: Column) -> Column:
 def _parts(rows: DataFrame, row_id: str, count: Column, part: int) -> DataFrame:
     """One row per part of at most ``part`` items, spread over the cluster by row and part."""
     split = rows.withColumn("n", count).where(F.col("n") > 0).withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))))
+        "part", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))))
     split = split.withColumn("at", F.col("part") * part).withColumn("items", F.least(F.lit(part), F.col("n") - F.col("at")))
     return split.repartition(row_id, "part")
 
@@ -134,7 +134,7 @@ def plan_packets(
         f"{d}_bytes": _cut(F.col(b), F.col(f"{d}_before") + F.col(d), F.col(p)) - _cut(F.col(b), F.col(f"{d}_before"), F.col(p))
         for d, p, b in (("fwd", "packets", "bytes"), ("rev", "packets_rev", "bytes_rev"))
     })
-    packets = parts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), items - 1))).withColumn("seq", F.col("at") + F.col("i"))
+    packets = parts.withColumn("i", F.explode_outer(F.sequence(F.lit(0).cast("long"), items - 1))).withColumn("seq", F.col("at") + F.col("i"))
     key = (seed, F.col(row_id), F.col("seq"))
     group = Window.partitionBy(row_id, "part")
     rank = F.row_number().over(group.orderBy(draw_bits(*key, "dir"), "seq"))
@@ -194,7 +194,7 @@ def split_amount(rows: DataFrame, row_id: str, amount: str, count: str, low: int
     parts = _parts(base, row_id, F.col(count), part)
     target = _cut(F.col(amount), F.col("at") + F.col("items"), F.col("n")) - _cut(F.col(amount), F.col("at"), F.col("n"))
     items = parts.withColumn("target", target).withColumn(
-        "item", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("items") - 1)))
+        "item", F.explode_outer(F.sequence(F.col("at"), F.col("at") + F.col("items") - 1)))
     draw = low + uniform(seed, F.col(row_id), F.col("item"), "split") * (high - low)
     group = Window.partitionBy(row_id, "part")
     items = items.withColumn("draw", draw).withColumn("real", _fit_to_total(

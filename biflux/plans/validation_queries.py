@@ -69,7 +69,8 @@ def _mapped(spark, sf_dir):
 
 def _exploded(column):
     def run(spark, sf_dir):
-        return _mapped(spark, sf_dir).select("event_id", F.explode(column).alias("field", "value"))
+        rows = _mapped(spark, sf_dir).select("event_id", F.explode_outer(column).alias("field", "value"))
+        return rows.where(F.col("field").isNotNull())
     return run
 
 
@@ -121,15 +122,16 @@ def _normalized(spark, sf_dir):
 
 def _normalize(spark, sf_dir):
     wide = _normalized(spark, sf_dir)
-    scalars = wide.select("event_id", F.explode("scalars").alias("field", "value"))
-    lists = wide.select("event_id", F.explode("lists").alias("list", "items")).select("event_id", F.explode("items").alias("item"))
-    skipped = wide.select("event_id", F.explode("skipped").alias("value")).select("event_id", F.lit("skipped").alias("field"), "value")
-    return scalars.unionByName(lists.select("event_id", F.explode("item").alias("field", "value"))).unionByName(skipped)
+    scalars = wide.select("event_id", F.explode_outer("scalars").alias("field", "value"))
+    lists = wide.select("event_id", F.explode_outer("lists").alias("list", "items")).select("event_id", F.explode_outer("items").alias("item"))
+    skipped = wide.select("event_id", F.explode_outer("skipped").alias("value")).select("event_id", F.lit("skipped").alias("field"), "value")
+    rows = scalars.unionByName(lists.select("event_id", F.explode_outer("item").alias("field", "value"))).unionByName(skipped)
+    return rows.where(F.col("value").isNotNull() & F.col("field").isNotNull())
 
 
 def _directions(spark, sf_dir):
     rows = mp.split_directions(_normalized(spark, sf_dir), _dictionary())
-    return rows.select("event_id", "side", F.explode("values").alias("field", "value"))
+    return rows.select("event_id", "side", F.explode_outer("values").alias("field", "value"))
 
 
 def _flow_map(df, id_name, faults: dict):
@@ -180,7 +182,7 @@ _JUDGED_SQL = {
 
 def _field_compare(spark, sf_dir):
     rows = _validated(spark, sf_dir).where(F.col("fields").isNotNull())
-    return rows.select(F.col("unit_id").alias("flow_id"), F.inline("fields")).groupBy("flow_id", "field", "outcome").agg(F.count("*").alias("records"))
+    return rows.select(F.col("unit_id").alias("flow_id"), F.inline_outer("fields")).groupBy("flow_id", "field", "outcome").agg(F.count("*").alias("records"))
 
 
 def _best_match(spark, sf_dir):
@@ -200,8 +202,8 @@ def _validation_summary(spark, sf_dir):
     results = _validated(spark, sf_dir)
     tested = results.where(F.col("ref_id").isNotNull()).join(profile, "ref_id").select("test", "outcome").unionByName(
         results.where(F.col("ref_id").isNull()).join(units, "unit_id").select("test", "outcome"))
-    keys = _mapped(spark, sf_dir).select(F.concat(F.lit("ipv"), F.when(F.col("event_id") % 9 == 0, 6).otherwise(4)).alias("test"), F.explode("unmapped").alias("key"))
-    skipped = _normalized(spark, sf_dir).select(F.lit("ipv4").alias("test"), F.explode("skipped").alias("field"))
+    keys = _mapped(spark, sf_dir).select(F.concat(F.lit("ipv"), F.when(F.col("event_id") % 9 == 0, 6).otherwise(4)).alias("test"), F.explode_outer("unmapped").alias("key")).where(F.col("key").isNotNull())
+    skipped = _normalized(spark, sf_dir).select(F.lit("ipv4").alias("test"), F.explode_outer("skipped").alias("field")).where(F.col("field").isNotNull())
     summary = va.test_summary(tested, keys, skipped)
     return summary.select("test", "passed", F.concat_ws(",", "unmapped").alias("unmapped"), F.concat_ws(",", "unknown").alias("unknown"))
 
