@@ -1,9 +1,12 @@
-"""XXH32 (seed 0) of an address in canonical hex, as plain column arithmetic.
+"""XXH32 (seed 0) of an address in canonical hex, as a column expression.
 
-The hash is built in steps of one column each, so that Catalyst does not multiply the expressions out.
+Intermediate values are bound by one-element array transforms. Written out as plain arithmetic the expression would grow
+the generated Java method beyond the size the JVM compiles natively, which is several times slower.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
 
 # The five primes of the published XXH32 algorithm.
 P1, P2, P3, P4, P5 = 2654435761, 2246822519, 3266489917, 668265263, 374761393
@@ -12,7 +15,6 @@ _MASK = _M - 1
 
 
 def _low(x: Column) -> Column:
-    """The lowest 32 bits. Masks instead of remainders keep the generated code small enough to be compiled natively."""
     return x.bitwiseAND(F.lit(_MASK))
 
 
@@ -35,24 +37,34 @@ def _swapped(x: Column) -> Column:
     return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
 
 
-def with_ip_hash(df: DataFrame, ip: str, out: str) -> DataFrame:
-    """Add the 32-bit hash of an IPv4 (4 bytes) or IPv6 (16 bytes) address."""
-    c, v6 = F.col, F.length(ip) == 32
-    lanes = [(P1 + P2) % _M, P2, 0, _M - P1]
-    steps = [
-        {f"_k{i}": F.when(v6 | F.lit(i == 0), _word(c(ip), i)).otherwise(0) for i in range(4)},
-        {f"_k{i}": _swapped(c(f"_k{i}")) for i in range(4)},
-        {"_short": _low(_mul(c("_k0"), P3) + (P5 + 4)), **{f"_a{i}": _low(_mul(c(f"_k{i}"), P2) + lanes[i]) for i in range(4)}},
-        {"_short": _rotl(c("_short"), 17), **{f"_a{i}": _rotl(c(f"_a{i}"), 13) for i in range(4)}},
-        {"_short": _mul(c("_short"), P4), **{f"_a{i}": _mul(c(f"_a{i}"), P1) for i in range(4)}},
-        {"_h": F.when(v6, _low(_rotl(c("_a0"), 1) + _rotl(c("_a1"), 7) + _rotl(c("_a2"), 12) + _rotl(c("_a3"), 18) + 16))
-         .otherwise(c("_short"))},
-        {"_h": c("_h").bitwiseXOR(F.shiftright("_h", 15))},
-        {"_h": _mul(c("_h"), P2)},
-        {"_h": c("_h").bitwiseXOR(F.shiftright("_h", 13))},
-        {"_h": _mul(c("_h"), P3)},
-        {out: c("_h").bitwiseXOR(F.shiftright("_h", 16))},
-    ]
-    for step in steps:
-        df = df.withColumns(step)
-    return df.drop("_h", "_short", *[f"_{x}{i}" for x in "ka" for i in range(4)])
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate once, use often."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
+def _round(word: Column, add: Column | int, prime_in: int, bits: int, prime_out: int) -> Column:
+    return _let(_low(_mul(word, prime_in) + add), lambda a: _let(_rotl(a, bits), lambda r: _mul(r, prime_out)))
+
+
+def _finish(h: Column) -> Column:
+    def step(value: Column, bits: int, then: Callable[[Column], Column]) -> Column:
+        return _let(value, lambda v: _let(v.bitwiseXOR(F.shiftright(v, bits)), then))
+
+    return step(h, 15, lambda a: step(_mul(a, P2), 13, lambda b: step(_mul(b, P3), 16, lambda c: c)))
+
+
+def ip_hash(ip: Column) -> Column:
+    """32-bit hash of an IPv4 (4 bytes) or IPv6 (16 bytes) address."""
+    starts = F.array(*[F.lit(x) for x in ((P1 + P2) % _M, P2, 0, _M - P1)])
+    short = _let(_swapped_word(ip, 0), lambda k: _round(k, P5 + 4, P3, 17, P4))
+    words = F.array(*[_swapped_word(ip, i) for i in range(4)])
+    lanes = F.transform(words, lambda k, i: _round(k, starts[i], P2, 13, P1))
+    # Rotation by a column: multiply and split instead of a literal shift.
+    turned = F.transform(lanes, lambda v, i: _let(v * F.element_at(F.array(*[F.lit(1 << b) for b in (1, 7, 12, 18)]), i + 1),
+                                                  lambda w: _low(w).bitwiseOR(F.shiftright(w, 32))))
+    long = F.aggregate(turned, F.lit(16).cast("long"), lambda total, v: _low(total + v))
+    return _finish(F.when(F.length(ip) == 32, long).otherwise(short))
+
+
+def _swapped_word(ip: Column, i: int) -> Column:
+    return _let(_word(ip, i), _swapped)

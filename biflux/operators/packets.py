@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from biflux.functions.keys import CANON, with_canonical_key
 from biflux.functions.scalars import diff_ratio, mbps_to_bytes_per_second
-from biflux.functions.xxh32 import with_ip_hash
+from biflux.functions.xxh32 import ip_hash
 from biflux.schemas import REPORT_COLUMNS
 from biflux.skew import global_scan
 
@@ -99,8 +99,8 @@ def pacing_schedule(packets: DataFrame, kind: str, value: float, order: list[str
 
 def with_queue(packets: DataFrame, queues: int) -> DataFrame:
     """Output queue of a packet: XXH32 of both addresses combined by XOR, so both directions share a queue."""
-    hashed = with_ip_hash(with_ip_hash(packets, "src_ip", "_hs"), "dst_ip", "_hd")
-    return hashed.withColumn("queue", (F.col("_hs").bitwiseXOR(F.col("_hd")) % queues).cast("int")).drop("_hs", "_hd")
+    both = ip_hash(F.col("src_ip")).bitwiseXOR(ip_hash(F.col("dst_ip")))
+    return packets.withColumn("queue", (both % queues).cast("int"))
 
 
 def queue_share(packets: DataFrame, queues: int) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from biflux.functions.xxh32 import with_ip_hash
+from biflux.functions.xxh32 import ip_hash
 from biflux.operators import scenario, synth
 from biflux.operators.profile_enrich import enrich, parse_ranges
 from biflux.operators.profile_trim import TrimSpec, trim
@@ -20,7 +20,7 @@ def profile(spark, rows):
 def test_hash_is_the_published_one(spark):
     addresses = ["10.0.0.1", "255.255.255.255", "0.0.0.0", "2001:db8::1", "::", "fe80::dead:beef"]
     packed = [ipaddress.ip_address(a).packed for a in addresses]
-    df = with_ip_hash(spark.createDataFrame([(p.hex(),) for p in packed], "ip string"), "ip", "h")
+    df = spark.createDataFrame([(p.hex(),) for p in packed], "ip string").withColumn("h", ip_hash(F.col("ip")))
     assert {r.ip: r.h for r in df.collect()} == {p.hex(): xxhash.xxh32_intdigest(p, 0) for p in packed}
 
 
