@@ -216,6 +216,16 @@ def normalize(records: DataFrame, dictionary: FieldDictionary, column: str = "fi
     return records.withColumns({"scalars": kept, "lists": lists}).withColumn("skipped", skipped)
 
 
+def normalize_annotations(annotations: DataFrame, dictionary: FieldDictionary) -> DataFrame:
+    """Normalise expected flows with their optional ``forward`` and ``reverse`` sections."""
+    rows = annotations
+    for section in ("forward", "reverse"):
+        if section in annotations.columns:
+            rows = normalize(rows, dictionary, section).withColumnsRenamed(
+                {"scalars": f"{section}_scalars", "lists": f"{section}_lists"}).drop("skipped", section)
+    return normalize(rows, dictionary)
+
+
 def is_biflow(dictionary: FieldDictionary, column: str = "scalars") -> Column:
     """A field of the reverse direction has a value (not zero, not empty)."""
     reverse = dictionary.names("reverse")

@@ -1,7 +1,6 @@
 """Registered queries: whole verdicts, scenario operators, streaming jobs over the test tables."""
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from biflux.operators.compare import Metric, RunStats
 from biflux.plans import compare_queries as cq
 from biflux.plans.verdicts import overload_verdict, simulation_verdict
 from biflux.plans.views import cte, table, view
+from biflux.runtime import shared_folder
 from biflux.streaming.cache import stream_profile
 from biflux.streaming.meter import stream_timeline
 
@@ -141,8 +141,7 @@ def _ranges(spark, sf_dir):
 
 def _stream_folder(spark, sf_dir, rows, name):
     """A folder of parquet files for a stream to read, next to the checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="biflux-stream-")
-    path = os.path.join(base, f"{name}-{os.urandom(8).hex()}")
+    path = f"{shared_folder(spark)}/{name}-{os.urandom(8).hex()}"
     rows.write.parquet(path)
     return path
 

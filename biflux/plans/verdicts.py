@@ -46,11 +46,12 @@ def overload_verdict(
 def validation_verdict(
     records: DataFrame, annotations: DataFrame, table: dict[str, mapping.Target], checks: validate.Checks, known: dict,
 ) -> tuple[DataFrame, DataFrame]:
-    """Collector records (``unit_id, record``) against annotations (``ref_id, fields``): results and unmapped keys."""
+    """Collector records (``unit_id, record``) against annotations (``ref_id, fields`` and optional
+    ``forward``, ``reverse`` sections): results and unmapped keys."""
     dictionary = checks.dictionary
     mapped = mapping.map_fields(records, table, known)
     flows = mapping.direction_records(mapping.normalize(mapped, dictionary), dictionary)
-    refs = mapping.direction_records(mapping.normalize(annotations, dictionary), dictionary)
+    refs = mapping.direction_records(mapping.normalize_annotations(annotations, dictionary), dictionary)
     keyed_flows, keyless = mapping.with_keys(flows, dictionary, checks.key)
     keyed_refs, _ = mapping.with_keys(refs, dictionary, checks.key)
     result = validate.validate(keyed_flows, keyed_refs, checks)

@@ -3,9 +3,7 @@
 One ship day plays one second. Addresses are canonical hex; every tenth order is an IPv6 conversation.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from biflux.schemas import PROFILE_IPS
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,7 +106,9 @@ _SPARK = {**_SQL, "raw_flows": _RAW.format(us=_RAW_SPARK)}
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``ref_flows, probe_flows, profile, report, packets, raw_flows``."""
     source = "events" if name == "raw_flows" else "lineitem"
-    return spark.sql(_SPARK[name].replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source))
+    # The view text reads one table, which becomes an argument of the statement.
+    text = _SPARK[name].replace(f"FROM {source}", "FROM {source}")
+    return spark.sql(text, source=table(spark, sf_dir, source))
 
 
 def cte(*names: str, **more: str) -> str:
@@ -117,7 +117,3 @@ def cte(*names: str, **more: str) -> str:
     parts = [f"{n} AS ({_SQL[n].replace(_DAY, day).replace('hex(', 'to_hex(')})" for n in names]
     parts += [f"{n} AS ({text})" for n, text in more.items()]
     return "WITH " + ",\n".join(parts) + "\n"
-
-
-def profile_columns(df: DataFrame) -> list[Column]:
-    return [F.col(f.name) for f in PROFILE_IPS.fields if f.name in df.columns]

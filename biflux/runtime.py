@@ -7,21 +7,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from biflux.schemas import FlowDataError
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session (tests) gets a folder of its own,
-    since a machine-local one would not outlive a lost executor.
+    Only a local session (tests) without that setting gets a folder of its own: a machine-local one would not outlive
+    a lost executor.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise FlowDataError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="biflux-")
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise FlowDataError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="biflux-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

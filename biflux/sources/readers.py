@@ -4,6 +4,7 @@ Rows that cannot be used are never dropped silently: parsers return the good row
 """
 
 from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -73,7 +74,8 @@ def with_arrival(lines: DataFrame) -> DataFrame:
     needs no pass over the data.
     """
     names = sorted(_plain(f) for f in lines.inputFiles())
-    files = F.broadcast(lines.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "_file string, _rank long"))
+    files = lines.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "_file string, _rank long")
+    files = F.broadcast(files) if len(names) <= 100_000 else files
     in_block = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = lines.select(
         "*", F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "file:/").alias("_file"),
@@ -83,8 +85,6 @@ def with_arrival(lines: DataFrame) -> DataFrame:
 
 
 def _plain(name: str) -> str:
-    from urllib.parse import unquote
-
     name = unquote(name)
     return "file:/" + name[len("file:"):].lstrip("/") if name.startswith("file:") else name
 
@@ -254,6 +254,26 @@ def read_flow_text(spark: SparkSession, path: str, router: str | None = None, in
     return Parsed(_narrowed(parsed.rows, where, limit), parsed.rejected)
 
 
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Expected flows, one JSON object per line: ``{"test", "key"?, "at_least_one"?, "flow": {field: value, ...}}``.
+
+    ``flow`` may hold ``_forward`` and ``_reverse`` sections; a list is a set of alternatives, or the items of a list
+    field. Gives ``ref_id, test, key, at_least_one, fields, forward, reverse`` with all values as JSON text.
+    """
+    schema = "test string, key array<string>, at_least_one array<string>, flow map<string,string>"
+    lines = with_arrival(spark.read.text(path)).where(F.trim("value") != "")
+    parsed = lines.withColumn("_r", F.from_json("value", schema, {"mode": "FAILFAST"}))
+    flow = F.col("_r.flow")
+
+    def section(name: str) -> Column:
+        return F.from_json(F.try_element_at(flow, F.lit(name)), "map<string,string>")
+
+    return parsed.select(
+        F.col("arrival_seq").alias("ref_id"), "_r.test", "_r.key", "_r.at_least_one",
+        F.map_filter(flow, lambda k, v: ~k.startswith("_")).alias("fields"),
+        section("_forward").alias("forward"), section("_reverse").alias("reverse"))
+
+
 READERS = {"csv": read_rawflow, "json": read_flow_json, "text": read_flow_text, "profile": read_profile, "uniflow": read_uniflow}
 
 
