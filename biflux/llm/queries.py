@@ -5,8 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from biflux.llm import bpe, chat_format, decontaminate, quality_rules, sharding
-from biflux.llm.common import table
+from biflux.llm import bpe, chat_format, decontaminate, lm_scoring, quality_classifier, quality_rules, sharding, toxicity
+from biflux.llm.common import fold, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    scored = toxicity.score(table(spark, sf_dir, "documents"), labels.where(fold(F.col("doc_id"), 4) != 2))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +79,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    scored = quality_classifier.score(table(spark, sf_dir, "documents"), labels.where(fold(F.col("doc_id"), 5) != 0))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold(F.col("doc_id"), 7) == 2
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 _OP6_SQL = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -90,9 +108,12 @@ FROM marked GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_toxicity": (op1_toxicity, None),
     "op2_sharding": (op2_sharding, None),
     "op3_decontamination": (op3_decontamination, _OP3_SQL),
     "op4_quality_rules": (op4_quality_rules, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_chat_format": (op6_chat_format, _OP6_SQL),
+    "op7_quality_classifier": (op7_quality_classifier, None),
+    "op10_lm_scoring": (op10_lm_scoring, None),
 }
