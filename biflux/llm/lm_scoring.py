@@ -85,10 +85,12 @@ class LogBilinear:
             setattr(self, name, flat[at:at + old.size].reshape(old.shape))
             at += old.size
 
-    def trainer(self, noise: int = 128, rate: float = 0.15, seed: int = 5):
+    def trainer(self, noise: int = 64, rate: float = 0.15, seed: int = 5):
         """A function that takes steps of noise-contrastive estimation on (class, one before, two before)."""
         rng = np.random.default_rng(seed)
-        log_noise = np.log(noise * self.shares)
+        for name in ("r", "q", "u", "v", "bias"):
+            setattr(self, name, getattr(self, name).astype(np.float32))
+        log_noise = np.log(noise * self.shares).astype(np.float32)
         cumulative = np.cumsum(self.shares)
         squares = {k: np.full_like(getattr(self, k), 1e-3) for k in ("r", "q", "u", "v", "bias")}
 
@@ -150,7 +152,7 @@ def _count(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, ending int, n bigint").groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
-def _train(rows: DataFrame, shared, step_tokens: int = 2048) -> np.ndarray | None:
+def _train(rows: DataFrame, shared, step_tokens: int = 4096) -> np.ndarray | None:
     """Parameters averaged over partitions, weighted by tokens; one pass over all training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, shares = shared.value

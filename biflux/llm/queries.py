@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from biflux.llm import bpe, chat_format, decontaminate, lm_scoring, quality_classifier, quality_rules, sharding, toxicity
+from biflux.llm import bpe, chat_format, decontaminate, lm_scoring, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
 from biflux.llm.common import fold, table
 
 
@@ -91,6 +91,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 _OP6_SQL = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -115,5 +119,6 @@ QUERIES = {
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_chat_format": (op6_chat_format, _OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
+    "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op10_lm_scoring": (op10_lm_scoring, None),
 }

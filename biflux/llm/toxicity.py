@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from biflux.llm.common import utf8
 
 #: Letters that a character may stand for (fixed values).
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
 SEPARATORS = " .-_*~\t\n"
 _EDGE = b".,;:?\"'()[]{}<>*#%&-_~=/\\`^"
 _PLAIN = re.compile(rb"[a-z\x80-\xff']+\Z")
@@ -68,17 +68,18 @@ class Channel:
                     step[state] = (score, chain)
 
             letters = LEET.get(char, char if "a" <= char <= "z" or ord(char) >= 128 else "")
-            cost = -0.1 if char not in LEET else -0.7
+            cost = -0.1 if char not in LEET else -0.7 if char != "*" else -2.5
+            repeated = -1.0 if char not in LEET else -2.5
             for (a, b), (score, chain) in paths.items():
                 for letter in letters:
                     c = ord(letter) - 96 if "a" <= letter <= "z" else 27
                     offer((b, c), score + cost + self.logs[a][b][c], (chain, letter))
                     if chain is not None and chain[1] == letter:
-                        offer((a, b), score - 1.0, chain)  # a repetition
+                        offer((a, b), score + repeated, chain)
                 if char in SEPARATORS:
                     offer((a, b), score - 1.0, chain)  # spacing inside a word
                 if not letters or char in LEET:
-                    end = -2.0 if char in SEPARATORS else -4.0
+                    end = -2.0 if char in SEPARATORS else -9.0
                     if b:
                         offer((b, 0), score + end + self.logs[a][b][0], (chain, " "))
                     else:
