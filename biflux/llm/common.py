@@ -33,3 +33,8 @@ def utf8(text: Column) -> Column:
 def literal_table(spark: SparkSession, json_text: str, row: str) -> DataFrame:
     """A small table of parameters from JSON, made by the JVM."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(json_text), f"array<struct<{row}>>")).alias("r")).select("r.*")
+
+
+def carried(columns: list[str] | tuple[str, ...]) -> Column:
+    """Columns that travel with a row through an operator, as one struct ``carried``."""
+    return (F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(True)).alias("carried")

@@ -13,7 +13,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from biflux.llm.common import utf8
+from biflux.llm.common import carried, utf8
 
 _WORD_BYTES = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 #: A-Z to a-z; bytes outside words to blanks. Every byte of a character beyond ASCII belongs to a word.
@@ -88,8 +88,10 @@ def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-         item_text_col: str = "text", length: int = 10, most_bytes: int = 64_000_000) -> DataFrame:
-    """(id, n_words, n_hit, items, spans) of every document; spans are (start, end) bytes of the original.
+         item_text_col: str = "text", length: int = 10, most_bytes: int = 64_000_000,
+         carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, n_hit, items, spans, carried) of every document; spans are (start, end) bytes of the original and
+    ``carried`` a struct of the columns that ``carry`` names.
 
     A word inside any occurrence of an item's window is hit. The benchmark goes to every worker, so its text is limited
     to ``most_bytes`` (checked; an error beyond it). Null texts have no words, null item ids count as the item ``null``,
@@ -115,9 +117,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
                 spans.append([{"start": a, "end": b} for a, b in byte_spans(text, runs)])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=[id_col, "n_words", "n_hit", "items", "spans"])
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column(2)],
+                names=["id", "n_words", "n_hit", "items", "spans", "carried"])
 
-    rows = docs.select(F.col(id_col), utf8(F.col(text_col)).alias("text"))
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
+    rows = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text"), carried(carry))
+    kind, more = (rows.schema[c].dataType.simpleString() for c in ("id", "carried"))
+    return rows.mapInArrow(run, f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, carried {more}").withColumnRenamed("id", id_col)

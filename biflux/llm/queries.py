@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from biflux.llm import bpe, chat_format, decontaminate, lm_scoring, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
+from biflux.llm import bpe, chat_format, decontaminate, jaccard_join, lm_scoring, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
 from biflux.llm.common import fold, table
 
 
@@ -92,7 +92,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept", "carried")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 _OP6_SQL = """
@@ -120,5 +124,6 @@ QUERIES = {
     "op6_chat_format": (op6_chat_format, _OP6_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
+    "op9_jaccard_join": (op9_jaccard_join, None),
     "op10_lm_scoring": (op10_lm_scoring, None),
 }

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from biflux.llm.common import utf8
+from biflux.llm.common import carried, utf8
 
 #: Letters that a character may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
@@ -161,16 +161,15 @@ def _over(docs: DataFrame, trigrams: np.ndarray, each, finish, schema: str, only
         if part:
             yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*part))}, schema=kinds)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    of = {"binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    kinds = pa.schema([(name, of[part.split()[1]]) for name, part in zip(names, schema.split(", "))])
     return docs.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          sample: int = 20_000, lexicon: int = 20_000, least_texts: int = 5, smooth: float = 0.5) -> DataFrame:
-    """(id, score): the higher, the likelier label 1; every row of ``docs`` has one, 0 to 1.
+          sample: int = 20_000, lexicon: int = 20_000, least_texts: int = 5, smooth: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, carried): the higher, the likelier label 1; every row of ``docs`` has one, 0 to 1. ``carried`` is a
+    struct of the columns that ``carry`` names.
 
     All given labels may be learned (hold rows out before the call); weights and calibration come from at most ``sample``
     labelled ids, taken by a hash of the id, and keep the ``lexicon`` best features. Of repeated labels of an id the
@@ -179,14 +178,16 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     model is counted over all texts. Narrow but for sums over features: no text is shuffled.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text"), carried(carry))
+    kind, more = (rows.schema[c].dataType.simpleString() for c in ("id", "carried"))
+    none = rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), "carried")
+    rows, whole = rows.drop("carried"), rows
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
         .agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample).collect())
     told = {r.id: r.label for r in known}
     if len(set(told.values())) < 2:
-        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
+        return none
     trigrams = count_letters(docs, text_col)
     shared = sc.broadcast(told)
 
@@ -210,7 +211,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     best = sums.orderBy(F.length("feature") > 0, odds.desc(), "feature").limit(lexicon + 1).collect()
     totals = next(((r.toxic, r.clean) for r in best if not r.feature), (0, 0))
     if not all(totals):
-        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
+        return none
     weights = {}
     for r in best:
         if r.feature:
@@ -231,10 +232,14 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         .groupBy("label", F.round("raw", 1).alias("raw")).agg(F.count("*").alias("n")).collect())
     slope, base = _logistic(points)
 
-    def judged(state: dict, key, found: set[bytes]) -> tuple:
-        return key, 1 / (1 + math.exp(-max(-30.0, min(30.0, base + slope * raw_score(found, lexis.value)))))
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(trigrams)
+        for batch in batches:
+            raw = np.array([raw_score(restorer.features(text.as_py()), lexis.value) for text in batch.column(1)], float)
+            scores = 1 / (1 + np.exp(-np.clip(base + slope * raw, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), batch.column(2)], names=["id", "score", "carried"])
 
-    return _over(rows, trigrams, judged, nothing, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return whole.mapInArrow(judged, f"id {kind}, score double, carried {more}").withColumnRenamed("id", id_col)
 
 
 def _logistic(points: list, penalty: float = 1.0) -> tuple[float, float]:
