@@ -103,13 +103,36 @@ def _sets(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             data = [shingles(v.as_py(), length).tobytes() for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["cls", "data"])
 
+    one = broadcast_if_small(wanted.select("cls", F.col("id").alias("id_"), F.col("row").alias("row_")), 1_000_000)
     return (
-        rows.select("row", "text").join(broadcast_if_small(wanted, 1_000_000), "row").select("cls", "text")
+        rows.select("id", "row", "text").join(one, F.col("id").eqNullSafe(F.col("id_")) & (F.col("row") == F.col("row_"))).select("cls", "text")
         .mapInArrow(run, "cls bigint, data binary").dropDuplicates(["cls"]))
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, both, linked) of pairs (a, b): the exact size of the intersection."""
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link by their prefixes alone.
+
+    Of two sets, the one whose prefix ends first has all its shared prefix shingles in the other's prefix as well, so the
+    intersection is at most the prefixes' own plus what one of the sets has beyond its prefix.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, pa_, pb = (batch.column(k) for k in range(6))
+            keep = []
+            for m, n, x, y in zip(na.to_pylist(), nb.to_pylist(), pa_, pb):
+                p, q = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append((both + max(m - len(p), n - len(q))) * (100 + percent) >= percent * (m + n))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _measured(pairs: DataFrame, classes: DataFrame, rows: DataFrame, length: int, percent: int) -> DataFrame:
+    """(a, b, both, linked) of the pairs (a, b) that can link: the exact size of the intersection of the whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both, linked = [], []
@@ -123,7 +146,10 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * i >= percent * (len(p) + len(q) - i))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "both", "linked"])
 
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("x")), "a")
+    possible = durable(_possible(pairs, classes, percent))
+    wanted = possible.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id", "row"), "cls")
+    sets = durable(_sets(rows, wanted, length))
+    left = possible.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("x")), "a")
     full = left.join(sets.select(F.col("cls").alias("b"), F.col("data").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, both bigint, linked boolean")
 
@@ -166,20 +192,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     common = docs.sparkSession.sparkContext.broadcast(_common(rows, length))
     sketch = durable(_sketches(rows, common, length, percent))
     # regions of shingles: (s, cls); only those with two classes matter
-    packed = (F.col("place") * (1 << 56) + F.shiftright("cls", 7)).alias("pc")
-    spread = sketch.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("s"), "cls", packed)
+    spread = sketch.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("s"), "cls", "place").repartition("s")
+    spread = spread.select("s", "cls", (F.col("place") * (1 << 56) + F.shiftright("cls", 7)).alias("pc"))  # place first, then any order
     shared = spread.groupBy("s").agg(F.min("pc").alias("pivot"), F.max("pc").alias("other")).where("pivot <> other").select("s", "pivot")
     members = durable(spread.join(shared, "s").dropDuplicates(["s", "cls"]))
     # the Voronoi cell: the most central pivot among the regions of a class
-    classes = (
-        members.groupBy("cls").agg(F.min("pc").alias("pc"), F.min("pivot").alias("home_pc"))
-        .join(sketch.where("prefix is not null").groupBy("cls").agg(F.min("n").alias("n"), F.min("row").alias("row")), "cls"))
-    classes = durable(classes)
-    sets = durable(_sets(rows, classes.select("row", "cls"), length))
+    one_row = sketch.where("prefix is not null").groupBy("cls").agg(
+        F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("of"), F.min("prefix").alias("prefix"))
+    classes = durable(
+        members.groupBy("cls").agg(F.min("pc").alias("pc"), F.min("pivot").alias("home_pc")).join(one_row, "cls")
+        .select("cls", "pc", "home_pc", "n", "of.id", "of.row", "prefix"))
     homes = classes.where("home_pc <> pc").select(F.col("cls").alias("b"), F.col("home_pc").alias("pc")).join(
         classes.select("pc", F.col("cls").alias("a")), "pc").select("a", "b")
-    measured = durable(_measured(homes, sets, percent))
-    compared, links = measured.select("a", "b"), measured.where("linked").select("a", "b")
+    homes = durable(homes)
+    measured = durable(_measured(homes, classes, rows, length, percent))
+    compared, links = homes, measured.where("linked").select("a", "b")
     sizes = classes.select("cls", "n")
     # similarity to the pivot of the own cell, for the triangle inequality within a cell
     cells = measured.join(sizes.withColumnRenamed("cls", "a").withColumnRenamed("n", "na"), "a").join(
@@ -203,8 +230,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
             & ((F.col("x.cell") != F.col("y.cell")) | (F.abs(F.col("x.far") - F.col("y.far")) <= radius + 1e-9)))
         pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = durable(_measured(pairs.join(done, ["a", "b"], "left_anti"), sets, percent))
-        compared = compared.union(found.select("a", "b"))
+        pairs = durable(pairs.join(done, ["a", "b"], "left_anti"))
+        found = durable(_measured(pairs, classes, rows, length, percent))
+        compared = compared.union(pairs)
         fresh = found.where("linked").select("a", "b")
         if not fresh.isEmpty():
             links = links.union(fresh)
