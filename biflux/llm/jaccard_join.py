@@ -192,8 +192,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     common = docs.sparkSession.sparkContext.broadcast(_common(rows, length))
     sketch = durable(_sketches(rows, common, length, percent))
     # regions of shingles: (s, cls); only those with two classes matter
-    spread = sketch.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("s"), "cls", "place").repartition("s")
-    spread = spread.select("s", "cls", (F.col("place") * (1 << 56) + F.shiftright("cls", 7)).alias("pc"))  # place first, then any order
+    spread = sketch.where(F.col("prefix").isNotNull()).select(F.posexplode("prefix").alias("pos", "s"), "cls", "place")
+    spread = spread.select("s", "cls", (F.col("place") * (1 << 32) + F.col("pos")).alias("order")).repartition("s")
+    spread = spread.select(
+        "s", "cls", (F.shiftright("order", 32) * (1 << 56) + F.shiftright("cls", 7)).alias("pc"), F.col("order").bitwiseAND((1 << 32) - 1).alias("pos"))
     shared = spread.groupBy("s").agg(F.min("pc").alias("pivot"), F.max("pc").alias("other")).where("pivot <> other").select("s", "pivot")
     members = durable(spread.join(shared, "s").dropDuplicates(["s", "cls"]))
     # the Voronoi cell: the most central pivot among the regions of a class
@@ -214,7 +216,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         F.col("b").alias("cls"), F.col("a").alias("cell"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
     known = durable(sizes.join(cells, "cls", "left").select("cls", "n", F.coalesce("cell", "cls").alias("cell"), F.coalesce("far", F.lit(0.0)).alias("far")))
     members = durable(members.join(known, "cls").withColumn(
-        "turn", F.row_number().over(Window.partitionBy("s").orderBy("pc", "cls")) - 1).select("s", "cls", "turn", "n", "cell", "far"))
+        "turn", F.row_number().over(Window.partitionBy("s").orderBy("pc", "cls")) - 1).select("s", "cls", "turn", "pos", "n", "cell", "far"))
     largest = members.agg(F.coalesce(F.max("turn"), F.lit(0)).alias("m")).first().m
     roots = components(links)
     radius = 1 - percent / 100
@@ -225,8 +227,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         open_ = durable(own.join(mixed.select("s", "main"), "s"))
         pivots = open_.where((F.col("turn") >= first) & (F.col("turn") < first + step) & (F.col("root") != F.col("main")))
         x, y = pivots.alias("x"), open_.alias("y")
+        # at their first common shingle, what lies before it in either prefix is not common
+        most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         fits = (
             (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+            & (most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
             & ((F.col("x.cell") != F.col("y.cell")) | (F.abs(F.col("x.far") - F.col("y.far")) <= radius + 1e-9)))
         pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
