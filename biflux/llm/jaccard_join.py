@@ -23,24 +23,25 @@ from biflux.llm.common import utf8
 from biflux.runtime import broadcast_if_small, durable
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_LAST = np.uint64(1 << 63)
 #: Shingles that lie last in the order; more would still be right, only with larger regions.
 COMMON = 65_536
 
 
 def shingles(text: bytes, length: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the windows of ``length`` lower-cased words; fewer words are one window."""
+    """Sorted distinct 63-bit hashes of the windows of ``length`` lower-cased words; fewer words are one window."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < length:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words)) >> 1], np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(words) - length + 1
     mixed = h[:n].copy()
     for k in range(1, length):
         mixed = (mixed ^ (mixed >> np.uint64(29))) * _M1 + h[k:k + n]
     mixed = (mixed ^ (mixed >> np.uint64(32))) * _M2
-    return np.unique(mixed ^ (mixed >> np.uint64(31)))
+    return np.unique((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(1))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -63,6 +64,7 @@ def _common(rows: DataFrame, length: int, locally: int = 6, most: int = COMMON)
 def _sketches(rows: DataFrame, common, length: int, percent: int) -> DataFrame:
     """(id, row, n, cls, place, prefix): the class is a hash of the set; the prefix comes once per class and batch.
 
+    The prefix has the places of its shingles in the order of all: the hash itself, or 2^63 and the rank of a common one.
     ``place`` is low for sets made of common shingles: such a set is likelier to be the centre of its neighbours.
     """
     kind = rows.schema["id"].dataType.simpleString()
@@ -86,7 +88,7 @@ def _sketches(rows: DataFrame, common, length: int, percent: int) -> DataFrame:
                 seen.add(cls)
                 at = np.minimum(np.searchsorted(sorted_common, found), max(0, len(sorted_common) - 1))
                 often = sorted_common[at] == found if len(sorted_common) else np.zeros(n, bool)
-                last = found[often][np.argsort(order[at[often]], kind="stable")] if often.any() else found[:0]
+                last = np.sort(order[at[often]]).astype(np.uint64) + _LAST if often.any() else found[:0]
                 places.append(126 - int(126 * often.mean()))
                 prefixes.append(np.concatenate([found[~often], last])[:prefix_size(n, percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -113,16 +115,21 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs that may link by their prefixes alone.
 
     Of two sets, the one whose prefix ends first has all its shared prefix shingles in the other's prefix as well, so the
-    intersection is at most the prefixes' own plus what one of the sets has beyond its prefix.
+    intersection is at most the prefixes' own plus what either set has beyond the place where that prefix ends.
     """
+    def most(p: np.ndarray, q: np.ndarray, m: int, n: int) -> int:
+        if p[-1] > q[-1]:
+            p, q, m, n = q, p, n, m
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return both + min(m - len(p), n - int(np.searchsorted(q, p[-1], side="right")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, pa_, pb = (batch.column(k) for k in range(6))
             keep = []
             for m, n, x, y in zip(na.to_pylist(), nb.to_pylist(), pa_, pb):
-                p, q = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append((both + max(m - len(p), n - len(q))) * (100 + percent) >= percent * (m + n))
+                p, q = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                keep.append(100 * min(m, n) >= percent * max(m, n) and most(p, q, m, n) * (100 + percent) >= percent * (m + n))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
@@ -181,7 +188,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, root, row) of every row of ``docs``.
 
-    Rows link when 100 * intersection >= percent * union of their sets of ``length``-word shingles (told by 64-bit
+    Rows link when 100 * intersection >= percent * union of their sets of ``length``-word shingles (told by 63-bit
     hashes); ``component_id`` is the least id reachable, its own included. Rows of one component have one ``root``. A text
     without words has an empty set and links with nothing; null texts are empty; repeated rows are linked; a null id is
     never the least unless there is no other; an empty table gives no rows; other columns are ignored. ``row`` is a
