@@ -221,21 +221,26 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     cells = measured.join(sizes.withColumnRenamed("cls", "a").withColumnRenamed("n", "na"), "a").join(
         sizes.withColumnRenamed("cls", "b").withColumnRenamed("n", "nb"), "b").select(
         F.col("b").alias("cls"), F.col("a").alias("cell"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
-    known = durable(sizes.join(cells, "cls", "left").select("cls", "n", F.coalesce("cell", "cls").alias("cell"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    members = durable(members.join(known, "cls").withColumn(
-        "turn", F.row_number().over(Window.partitionBy("s").orderBy("pc", "cls")) - 1).select("s", "cls", "turn", "pos", "n", "cell", "far"))
+    met = members.groupBy("cls").agg(F.count("*").alias("met"))  # prefix shingles that any other class has in its prefix
+    known = durable(sizes.join(cells, "cls", "left").join(met, "cls").select("cls", "n", "met", F.coalesce("cell", "cls").alias("cell"), F.coalesce("far", F.lit(0.0)).alias("far")))
+    members = members.join(known, "cls").withColumns({
+        "turn": F.row_number().over(Window.partitionBy("s").orderBy("pc", "cls")) - 1, "size": F.count("*").over(Window.partitionBy("s"))})
+    members = durable(members.select("s", "cls", "turn", "size", "pos", "n", "met", "cell", "far"))
     largest = members.agg(F.coalesce(F.max("turn"), F.lit(0)).alias("m")).first().m
     roots = components(links)
     radius = 1 - percent / 100
     first, step = 0, 8
     while first <= largest:
-        own = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        own = members.where(F.col("size") > first).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         mixed = own.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("turn", "root"))["root"].alias("main")).where("low <> high")
         open_ = durable(own.join(mixed.select("s", "main"), "s"))
         pivots = open_.where((F.col("turn") >= first) & (F.col("turn") < first + step) & (F.col("root") != F.col("main")))
         x, y = pivots.alias("x"), open_.alias("y")
         # at their first common shingle, what lies before it in either prefix is not common
         most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+        # and no more of their prefixes is common than what either shares with anyone
+        beyond = F.greatest(*[F.ceil(percent * F.col(n) / 100) - 1 for n in ("x.n", "y.n")])
+        most = F.least(most, F.least("x.met", "y.met") + beyond)
         fits = (
             (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
             & (most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
