@@ -171,7 +171,7 @@ def _train(rows: DataFrame, shared, step_tokens: int = 4096) -> np.ndarray | Non
                 seen += walk(step, lengths, found)
         if seen:
             flat = model.parameters()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * seen), pa.array(np.full(len(flat), seen), pa.int64())], names=["at", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen), pa.int64())], names=["at", "v", "n"])
 
     def walk(step, lengths: list[int], found: list[np.ndarray]) -> int:
         target = np.concatenate(found)
