@@ -29,19 +29,29 @@ COMMON = 65_536
 
 
 def shingles(text: bytes, length: int) -> np.ndarray:
-    """Sorted distinct 63-bit hashes of the windows of ``length`` lower-cased words; fewer words are one window."""
+    """Sorted distinct 63-bit codes of the windows of ``length`` lower-cased words; fewer words are one window.
+
+    The upper six bits say how short a window is: windows of many letters are rarely shared by chance and come first in
+    the order of all shingles. The other bits are a hash.
+    """
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
+    n = max(1, len(words) - length + 1)
+    sizes = np.cumsum([0, *map(len, words)])
     if len(words) < length:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words)) >> 1], np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(words) - length + 1
-    mixed = h[:n].copy()
-    for k in range(1, length):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _M1 + h[k:k + n]
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * _M2
-    return np.unique((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(1))
+        mixed = np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
+        letters = sizes[-1:]
+    else:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        mixed = h[:n].copy()
+        for k in range(1, length):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _M1 + h[k:k + n]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _M2
+        mixed ^= mixed >> np.uint64(31)
+        letters = sizes[length:] - sizes[:n]
+    short = (63 - np.minimum(letters, 63)).astype(np.uint64)
+    return np.unique((short << np.uint64(57)) | (mixed >> np.uint64(7)))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -189,7 +199,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     """(id, n_shingles, component_id, root, row) of every row of ``docs``.
 
     Rows link when 100 * intersection >= percent * union of their sets of ``length``-word shingles (told by 63-bit
-    hashes); ``component_id`` is the least id reachable, its own included. Rows of one component have one ``root``. A text
+    codes); ``component_id`` is the least id reachable, its own included. Rows of one component have one ``root``. A text
     without words has an empty set and links with nothing; null texts are empty; repeated rows are linked; a null id is
     never the least unless there is no other; an empty table gives no rows; other columns are ignored. ``row`` is a
     hash of the text.
