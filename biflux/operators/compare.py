@@ -62,8 +62,8 @@ def add_run_start(reference: DataFrame, start_time: int) -> DataFrame:
 
 
 def drop_multicast(flows: DataFrame) -> DataFrame:
-    """Drop the IPv4 broadcast and the link-local IPv6 multicast destinations (ff02:...)."""
-    return flows.where((F.col("dst_ip") != "ffffffff") & ~((F.length("dst_ip") == 32) & F.col("dst_ip").startswith("ff02")))
+    """Drop the IPv4 broadcast and the link-local IPv6 multicast destinations (ff02::...)."""
+    return flows.where((F.col("dst_ip") != "ffffffff") & ~((F.length("dst_ip") == 32) & F.col("dst_ip").startswith("ff020000")))
 
 
 def merge_flows(flows: DataFrame) -> DataFrame:

@@ -74,12 +74,9 @@ def rebase_to_first(packets: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _tokens_to_ns(tokens: Column, rate: int) -> Column:
-    """Whole seconds plus the rest, shifted to stay within 64 bits for rates above 1e9 per second."""
-    shift = 0
-    while rate >> shift > NS:
-        shift += 1
-    rest = F.shiftright(tokens % rate, shift) * NS
-    return F.floor(tokens / rate) * NS + F.shiftleft(F.floor(rest / rate), shift)
+    """Nanoseconds that a number of tokens takes, rounded down."""
+    scaled, per = tokens.cast("decimal(20,0)") * F.lit(NS).cast("decimal(10,0)"), F.lit(rate).cast("decimal(19,0)")
+    return ((scaled - scaled % per) / per).cast("bigint")
 
 
 def pacing_schedule(packets: DataFrame, kind: str, value: float, order: list[str] | None = None) -> DataFrame:

@@ -136,7 +136,7 @@ def merge_across_loops(
     marked = keyed_scan(base, FLOW_KEY, order, piece, lag={"previous_end": F.col("end_time")}, heavy=heavy)
     opens = F.coalesce(F.col("start_time") - F.col("previous_end") >= inactive_timeout * 1000, F.lit(False))
     marked = marked.withColumn("opens", opens.cast("int"))
-    numbered = keyed_scan(marked, FLOW_KEY, order, piece, total={"before": F.col("opens")}, heavy=heavy or [])
+    numbered = keyed_scan(marked, FLOW_KEY, order, piece, total={"before": F.col("opens")}, heavy=heavy)
     island = (F.col("before") + F.col("opens")).alias("island")
     return numbered.groupBy(*FLOW_KEY, island).agg(*parts).select(*UNIFLOW_COLUMNS)
 

@@ -265,7 +265,7 @@ def payload_class(
     imbalance = F.when(fwd + rev > 0, 1 - F.least(fwd, rev) / F.greatest(fwd, rev)).otherwise(1.0)
     small = per_packet <= unreachable
     few = (fwd <= 3) | (rev <= 3)
-    icmp = F.when(few & small, "icmp_random").when(imbalance <= 0.2, "icmp_echo").when(small, "icmp_random").otherwise("icmp_echo")
+    icmp = F.when(small & (few | (imbalance > 0.2)), "icmp_random").otherwise("icmp_echo")
     return (
         F.when(l4.isin(1, 58), icmp)
         .when((l4 == 6) & F.lit("tls" in enabled) & tls, "tls")

@@ -55,7 +55,7 @@ def _pieced(df: DataFrame, keys: list[str], order: list, piece: list[str], lag,
         *[F.max(f"_{n}").over(_exclusive(outer)).alias(f"_{n}") for n in peak],
     )
     local = df.select(
-        "*",
+        "*", F.row_number().over(inner).alias("_turn"),
         *[F.lag(c).over(inner).alias(n) for n, c in lag.items()],
         *[F.sum(c).over(_exclusive(inner)).alias(n) for n, c in total.items()],
         *[F.max(c).over(_exclusive(inner)).alias(n) for n, c in peak.items()],
@@ -63,7 +63,7 @@ def _pieced(df: DataFrame, keys: list[str], order: list, piece: list[str], lag,
     zero = F.lit(0)
     return local.join(carry, [*keys, *piece]).select(
         *df.columns,
-        *[F.coalesce(F.col(n), F.col(f"_{n}")).alias(n) for n in lag],
+        *[F.when(F.col("_turn") == 1, F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in lag],
         *[(F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_{n}"), zero)).alias(n) for n in total],
         *[F.greatest(F.col(n), F.col(f"_{n}")).alias(n) for n in peak],
     )

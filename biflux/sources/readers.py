@@ -74,11 +74,13 @@ def with_arrival(lines: DataFrame) -> DataFrame:
     needs no pass over the data.
     """
     names = sorted(_plain(f) for f in lines.inputFiles())
+    if len(names) > 1 << 20:
+        raise FlowDataError(f"{len(names)} files are more than can be numbered")
     files = lines.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "_file string, _rank long")
     files = F.broadcast(files) if len(names) <= 100_000 else files
     in_block = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = lines.select(
-        "*", F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "file:/").alias("_file"),
+        "*", F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/").alias("_file"),
         (F.col("_metadata.file_block_start") + in_block).alias("_place"))
     return placed.join(files, "_file").withColumn(
         "arrival_seq", F.shiftleft("_rank", 43) + F.col("_place")).drop("_file", "_place", "_rank")

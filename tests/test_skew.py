@@ -37,3 +37,13 @@ def test_global_scan(spark):
     values = [v for _, _, v in rows()]
     assert [r.last for r in got] == [None, *values[:-1]]
     assert [r.run for r in got] == [sum(values[:i]) for i in range(len(values))]
+
+
+def test_null_before_stays_null_in_pieces(spark):
+    """The value carried from an earlier piece counts only for the first row of a piece."""
+    from biflux import skew
+
+    rows = spark.createDataFrame([("k", t, None if t % 3 == 1 else t) for t in range(12)], "k string, t int, v int")
+    pieced = rows.withColumn("p", F.floor(F.col("t") / 4))
+    got = {r.t: r.before for r in skew._pieced(pieced, ["k"], ["t"], ["p"], {"before": F.col("v")}, {}, {}).collect()}
+    assert got == {t: None if t == 0 or (t - 1) % 3 == 1 else t - 1 for t in range(12)}
