@@ -196,7 +196,7 @@ def score(docs: DataFrame, training: "F.Column", *, id_col: str = "doc_id", text
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every text, learned from rows where ``training`` holds.
 
     ``score`` is the model's log10 probability of the tokens and the end, ``base_score`` the add-one unigram one. The
-    ``words`` most frequent words are classes; the counts of the ``head`` most frequent go to the workers (a bound of a
+    ``words`` most frequent words are classes; the counts of up to ``head`` of the most frequent go to the workers (a bound of a
     few MB), all others are joined by word, spread over the cluster. A null text is empty (one token, the end); a null in
     ``training`` counts as no; repeated rows each have their result; other columns are ignored; without any training row
     all counts are zero and both scores are those of unknown words.
@@ -207,7 +207,14 @@ def score(docs: DataFrame, training: "F.Column", *, id_col: str = "doc_id", text
     counts = durable(_count(rows.where("learn")))
     sums = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, distinct = sum(r.n for r in sums), sum(r.v for r in sums)
-    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.col("n").desc(), "word").limit(head).select("word", "n").collect()]
+    # the least count that at most ``head`` words reach: no task sends more than its share of them
+    least, reached = 1, 0
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.n):
+        reached += r.words
+        if reached > head:
+            least = r.n + 1
+            break
+    top = sorted(((bytes(r.word), r.n) for r in counts.where(F.col("n") >= least).select("word", "n").collect()), key=lambda r: (-r[1], r[0]))
     classes = Classes(top, min(words, max(0, len(top))))
     of_ending = np.zeros((ENDINGS, 2))
     for r in sums:
