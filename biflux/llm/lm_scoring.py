@@ -40,15 +40,23 @@ class Classes:
     def __init__(self, head: list[tuple[bytes, int]], words: int):
         self.words = words
         self.n = words + ENDINGS
-        self.count = dict(head)
-        self.of = {w: k if k < words else words + ending(w) for k, (w, _) in enumerate(head)}
+        self.place = {w: k for k, (w, _) in enumerate(head)}
+        self.kinds = np.array([k if k < words else words + ending(w) for k, (w, _) in enumerate(head)], np.int64)
+        self.gains = np.log10(np.array([n for _, n in head], float) + 1)
+
+    def places(self, found: list[bytes]) -> np.ndarray:
+        """Place of each token among the counted words, -1 for others."""
+        return np.array([-1 if k is None else k for k in map(self.place.get, found)], np.int64)
+
+    def at(self, places: np.ndarray, found: list[bytes]) -> np.ndarray:
+        """Classes of tokens whose places are known."""
+        got = self.kinds[places] if len(self.kinds) else np.zeros(len(places), np.int64)
+        for k in np.flatnonzero(places < 0).tolist():
+            got[k] = self.words + ending(found[k])
+        return got
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
-        of = self.of
-        got = list(map(of.get, found))
-        if None in got:
-            got = [self.words + ending(w) if c is None else c for w, c in zip(found, got)]
-        return np.array(got, np.int64)
+        return self.at(self.places(found), found)
 
 
 def contexts(lengths: list[int], classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,28 +244,30 @@ def score(docs: DataFrame, training: "F.Column", *, id_col: str = "doc_id", text
         one_table, two_table, z = model.tables()
         within = np.log10(of_ending.sum(axis=1) + 1)  # of a class of rare words: log10 of (n + v + 1)
         ln10 = float(np.log(10))
-        count = classes.count
+        gains = np.append(classes.gains, 0.0)  # place -1, a word that is joined later, has none here
         for batch in batches:
             out = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = tokens(value.as_py())
-                kinds = classes(found)
-                one, two = contexts([len(found)], kinds, classes.n)
-                logs = (one_table[one, kinds] + two_table[two, kinds] - z[one, two]).sum(dtype=float) / ln10
-                rare = kinds[kinds >= classes.words] - classes.words
-                logs -= within[rare].sum()
-                base, known, tail = -base_log * len(found), 0, []
-                for w, n in Counter(found).items():
-                    c = count.get(w)
-                    if c is None:
-                        tail.append({"word": w, "n": n})
-                    else:
-                        known += n
-                        gain = n * np.log10(c + 1)
-                        base += gain
-                        if classes.of[w] >= classes.words:
-                            logs += gain
-                out.append((key, len(found), known, base, logs, zlib.crc32(value.as_py()), tail))
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = [value.as_py() for value in part.column(1)]
+                found = [tokens(text) for text in texts]
+                lengths = list(map(len, found))
+                line = [word for own in found for word in own]
+                starts = np.cumsum([0, *lengths[:-1]])
+                places = classes.places(line)
+                kinds = classes.at(places, line)
+                one, two = contexts(lengths, kinds, classes.n)
+                gain, often = gains[places], kinds < classes.words
+                logs = (one_table[one, kinds] + two_table[two, kinds] - z[one, two]).astype(float) / ln10
+                logs += np.where(often, 0.0, gain - within[np.where(often, 0, kinds - classes.words)])
+                base, logs = np.add.reduceat(gain, starts) - base_log * np.array(lengths), np.add.reduceat(logs, starts)
+                known = np.add.reduceat((places >= 0).astype(np.int64), starts)
+                tails: list[Counter[bytes]] = [Counter() for _ in texts]
+                missed = np.flatnonzero(places < 0)
+                for k, text in zip(missed.tolist(), (np.searchsorted(starts, missed, side="right") - 1).tolist()):
+                    tails[text][line[k]] += 1
+                out += zip(part.column(0).to_pylist(), lengths, known.tolist(), base.tolist(), logs.tolist(), map(zlib.crc32, texts),
+                           ([{"word": w, "n": n} for w, n in tail.items()] for tail in tails))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
