@@ -26,7 +26,7 @@ def simulation_verdict(
     """
     expected = replicate.replicate_reference(reference, config, loops, speed=speed)
     chosen: list[Segment] = segments.prefilter_segments(prefilter) if prefilter else [None]
-    found, wanted = compare.prepare(flows, expected, stats, merge=precise, biflows_ts_correction=precise and biflow_export)
+    found, wanted = compare.prepare(flows, expected, stats, merge=precise, biflows_ts_correction=precise and biflow_export, check_unique=precise)
     result = compare.stat_compare(found, wanted, [Rule(metrics, s) for s in chosen], stats, check_complement=bool(prefilter))
     if not precise:
         return result, None
