@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ class Classes:
 
     def places(self, found: list[bytes]) -> np.ndarray:
         """Place of each token among the counted words, -1 for others."""
-        return np.array([-1 if k is None else k for k in map(self.place.get, found)], np.int64)
+        return np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
 
     def at(self, places: np.ndarray, found: list[bytes]) -> np.ndarray:
         """Classes of tokens whose places are known."""
@@ -101,8 +102,10 @@ class LogBilinear:
         log_noise = np.log(noise * self.shares).astype(np.float32)
         cumulative = np.cumsum(self.shares)
         squares = {k: np.full_like(getattr(self, k), 1e-3) for k in ("r", "q", "u", "v", "bias")}
+        room = np.empty((0, noise), np.float32)  # the largest array of a step, kept from one to the next
 
         def descend(name: str, gradient: np.ndarray) -> None:
+            gradient = gradient.astype(np.float32, copy=False)
             squares[name] += gradient * gradient
             getattr(self, name)[...] += rate * gradient / np.sqrt(squares[name])
 
@@ -110,15 +113,22 @@ class LogBilinear:
             return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
         def step(target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+            nonlocal room
             m, n = len(target), len(self.shares)
+            if m > len(room):
+                room = np.empty((m, noise), np.float32)
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(noise)), n - 1)  # shared by the batch
             ra, rb = self.r[one], self.r[two]
             predicted = self.u * ra + self.v * rb
             qt, qd = self.q[target], self.q[drawn]
             true = np.einsum("ij,ij->i", predicted, qt) + self.bias[target] - log_noise[target]
-            false = predicted @ qd.T + self.bias[drawn] - log_noise[drawn]
             pull = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - p(data)
-            push = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+            push = np.matmul(predicted, qd.T, out=room[:m])
+            push += self.bias[drawn] - log_noise[drawn]
+            np.clip(push, -30, 30, out=push)
+            np.exp(np.negative(push, out=push), out=push)
+            push += 1
+            np.divide(-1, push, out=push)  # - p(data) of the noise
             back = pull[:, None] * qt + push @ qd
             gq = scatter(target, pull[:, None] * predicted, n) + scatter(drawn, push.T @ predicted, n)
             gb = np.bincount(target, pull, n) + np.bincount(drawn, push.sum(axis=0), n)
@@ -167,22 +177,21 @@ def _train(rows: DataFrame, shared, step_tokens: int = 4096) -> np.ndarray | Non
         model = LogBilinear(shares)
         step, seen = model.trainer(), 0
         for batch in batches:
-            lengths, found = [], []
+            lengths, line = [], []
             for value in batch.column(0):
                 own = tokens(value.as_py())
                 lengths.append(len(own))
-                found.append(classes(own))
-                if len(found) >= 512:
-                    seen += walk(step, lengths, found)
-                    lengths, found = [], []
-            if found:
-                seen += walk(step, lengths, found)
+                line += own
+                if len(lengths) >= 512 or len(line) >= 400_000:
+                    seen += walk(step, lengths, classes(line))
+                    lengths, line = [], []
+            if line:
+                seen += walk(step, lengths, classes(line))
         if seen:
             flat = model.parameters()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen), pa.int64())], names=["at", "v", "n"])
 
-    def walk(step, lengths: list[int], found: list[np.ndarray]) -> int:
-        target = np.concatenate(found)
+    def walk(step, lengths: list[int], target: np.ndarray) -> int:
         one, two = contexts(lengths, target, len(shared.value[1]))
         order = np.random.default_rng(len(target)).permutation(len(target))
         for k in range(0, len(target), step_tokens):
