@@ -33,16 +33,17 @@ class TrimSpec:
 
 
 def trim_bounds(profile: DataFrame, spec: TrimSpec) -> Column:
-    """Scalar struct ``left, right, outer_left, outer_right``."""
+    """Scalar struct ``left, right, outer_left, outer_right``; an error for flows that span no time, null without flows."""
     first, last = F.min("start_time"), F.max("end_time")
     if spec.main is not None:
         middle = first + (last - first) / 2
         left, right = middle - spec.main / 2, middle + spec.main / 2
     else:
         left, right = F.lit(float(spec.left)), F.lit(float(spec.right))
-    return profile.agg(F.struct(
+    borders = F.struct(
         left.alias("left"), right.alias("right"), (left - spec.tolerance).alias("outer_left"),
-        (right + spec.tolerance).alias("outer_right"))).scalar()
+        (right + spec.tolerance).alias("outer_right"))
+    return profile.agg(F.when(last <= first, F.raise_error(F.lit("the profile spans no time"))).otherwise(borders)).scalar()
 
 
 def trim_category(bounds: Column) -> Column:

@@ -66,6 +66,13 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert sorted(map(tuple, plans[0].collect())) == sorted(map(tuple, plans[1].collect()))
 
 
+def test_trim_refuses_a_profile_without_duration(spark):
+    spec = TrimSpec(tolerance=10, main=100)
+    with pytest.raises(Exception, match="spans no time"):
+        trim(profile(spark, [(7, 7, 1, 60, 0, 0), (7, 7, 2, 120, 0, 0)]), spec, "id").collect()
+    assert trim(profile(spark, []), spec, "id").collect() == []
+
+
 def test_enrich_draws_again_and_gives_up(spark):
     rows = profile(spark, [(0, 1, 1, 60, 1, 60)] * 6)
     found = enrich(rows, "id", ["10.0.0.0/30"], ["2001:db8::/32"], seed=1)
