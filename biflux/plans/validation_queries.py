@@ -245,8 +245,8 @@ def _profile_lines(spark, sf_dir):
 
 
 _HEADER = ["START_TIME", "END_TIME", "L3_PROTO", "L4_PROTO", "SRC_PORT", "DST_PORT", "PACKETS", "BYTES", "PACKETS_REV", "BYTES_REV", "SRC_IP"]
-_ERROR = """CASE flow_id % 40 WHEN 1 THEN 'bad START_TIME' WHEN 2 THEN 'bad L3_PROTO - unknown protocol' WHEN 3 THEN 'bad L4_PROTO - unknown protocol'
-  WHEN 6 THEN 'bad SRC_PORT' WHEN 7 THEN 'bad BYTES' WHEN 9 THEN 'bad SRC_IP' WHEN 10 THEN 'invalid number of components' END"""
+_ERROR = """CASE flow_id % 40 WHEN 1 THEN 'start_time: no number in range' WHEN 2 THEN 'l3_proto: not supported' WHEN 3 THEN 'l4_proto: not supported'
+  WHEN 6 THEN 'src_port: no number in range' WHEN 7 THEN 'bytes: no number in range' WHEN 9 THEN 'src_ip: no address of this version' WHEN 10 THEN 'line: cells do not match the header' END"""
 
 
 def _profile_read(spark, sf_dir):

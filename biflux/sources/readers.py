@@ -125,24 +125,25 @@ def parse_profile(lines: DataFrame, header: list[str], skip_unknown: bool = Fals
     addresses = [n for n in ("SRC_IP", "DST_IP") if n in cell]
     typed = typed.withColumns({n.lower(): F.when(cell[n] != "", ip_parse(cell[n])) for n in addresses})
 
-    error = F.when(F.size("_cells") != len(header), "invalid number of components")
-    for name in ("START_TIME", "END_TIME", "L3_PROTO"):
-        error = error.when(F.col(name).isNull(), f"bad {name}")
-    error = error.when(~F.col("l3_proto").isin(*L3), "bad L3_PROTO - unknown protocol")
-    error = error.when(F.col("l4_proto").isNull(), "bad L4_PROTO")
-    unknown = ~F.col("l4_proto").isin(*L4)
-    error = error.when(unknown, "bad L4_PROTO - unknown protocol")
-    for name in PROFILE_HEADER[4:]:
-        error = error.when(F.col(name).isNull(), f"bad {name}")
-    for name in addresses:
-        width = F.when(F.col("l3_proto") == 4, 8).otherwise(32)
-        error = error.when((cell[name] != "") & ~F.coalesce(F.length(F.col(name)) == width, F.lit(False)), f"bad {name}")
-    error = error.when(F.col("start_time") > F.col("end_time"), "bad START_TIME > END_TIME")
+    def unreadable(names: list[str]) -> list[tuple[str, str, Column]]:
+        return [(n.lower(), "no number in range", F.col(n).isNull()) for n in names]
+
+    # what a row may fail, as (column, reason, failed); the first that holds is told
+    digits = F.when(F.col("l3_proto") == 4, 8).otherwise(32)
+    checks = [
+        ("line", "cells do not match the header", F.size("_cells") != len(header)),
+        *unreadable(PROFILE_HEADER[:3]), ("l3_proto", "not supported", ~F.col("l3_proto").isin(*L3)),
+        *unreadable(["L4_PROTO"]), ("l4_proto", "not supported", ~F.col("l4_proto").isin(*L4)),
+        *unreadable(PROFILE_HEADER[4:]),
+        *[(n.lower(), "no address of this version", (cell[n] != "") & ~F.length(n.lower()).eqNullSafe(digits)) for n in addresses],
+        ("end_time", "before the start", F.col("end_time") < F.col("start_time")),
+    ]
+    error = F.coalesce(*[F.when(failed, f"{column}: {reason}") for column, reason, failed in checks])
     judged = typed.withColumn("error", error)
     no_ports = F.col("l4_proto").isin(1, 58)
     good = judged.where(F.col("error").isNull()).withColumns(
         {c: F.when(no_ports, 0).otherwise(F.col(c)) for c in ("src_port", "dst_port")})
-    skipped = F.lit(skip_unknown) & (F.col("error") == "bad L4_PROTO - unknown protocol")
+    skipped = F.lit(skip_unknown) & (F.col("error") == "l4_proto: not supported")
     keep = [c for c in lines.columns if c != "value"]
     return Parsed(
         good.select(*keep, *PROFILE_COLUMNS, *[n.lower() for n in addresses]),

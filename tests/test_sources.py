@@ -36,7 +36,7 @@ def test_profile_header_order_comments_and_rejects(spark, tmp_path):
     parsed = readers.read_profile(spark, source, skip_unknown=True)
     assert sorted(tuple(r) for r in parsed.rows.collect()) == [(-3, 9, 4, 6, 1, 2, 1, 60, 0, 0), (1, 9, 4, 1, 0, 0, 1, 60, 0, 0)]
     assert sorted((r.error, r.skipped) for r in parsed.rejected.collect()) == [
-        ("bad L4_PROTO - unknown protocol", True), ("bad START_TIME > END_TIME", False)]
+        ("end_time: before the start", False), ("l4_proto: not supported", True)]
     with pytest.raises(FlowDataError):
         readers.parse_profile(parsed.rejected.select("value"), ["START_TIME"])
 
