@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import regex
 import tiktoken
@@ -255,6 +257,57 @@ def test_repeats_by_brute_force(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def crowded_rows(count):
+    """Documents of their own bytes around one passage that all share."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(170))
+    return [(k, "".join(rng.choice("klmnopqrst ") for _ in range(90)) + passage + "".join(rng.choice("uvwxyz\u00e9 ") for _ in range(90))) for k in range(count)]
+
+
+def test_crowded_grams_are_dealt_apart():
+    rows = crowded_rows(400)
+    docs = pa.RecordBatch.from_pydict({"owner": pa.array([d for d, _ in rows]), "text": pa.array([t.encode() for _, t in rows])})
+    largest = {}
+    for crowd in (64, 10_000):
+        grams = pa.Table.from_batches(substring_dedup._gram_rows(iter([docs]), 50, 211, crowd))
+        told = {}
+        for bucket in set(grams.column("bucket").to_pylist()):
+            part = substring_dedup._repeated(grams.filter(pc.equal(grams.column("bucket"), bucket)), 211, crowd)
+            for owner, known in zip(part.column("owner").to_pylist(), part.column("known").to_pylist()):
+                told.setdefault(owner, []).append(known)
+        rows_in = [(d, d, 0, t.encode(), told[d], None) for d, t in rows if d in told]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_in), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.null()))], names=list("abcdef"))
+        out = pa.Table.from_batches(substring_dedup._stretches(iter([batch]), 50, 211)).to_pylist()
+        largest[crowd] = max(Counter((r["bucket"], r["key"]) for r in out if r["text"] is not None).values())
+    assert largest[10_000] > 300 and largest[64] < 30, largest
+
+
+@pytest.mark.parametrize("crowd", [2, 64, 640])
+def test_repeats_around_a_shared_passage(spark, crowd):
+    rows = [*crowded_rows(150), *odd_rows()]
+    first = {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            first.setdefault(b[i:i + 50], math.inf if d is None else d)
+    want = []
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = {j for i in range(len(b) - 49) if first[b[i:i + 50]] < (math.inf if d is None else d) for j in range(i, i + 50)}
+        want.append((d, len(gone), hashlib.sha256(bytes(x for j, x in enumerate(b) if j not in gone)).hexdigest()))
+    out = substring_dedup.remove_repeats(documents(spark, rows), crowd=crowd)
+    assert sorted_rows(out, "doc_id", "n_removed", "kept_sha256") == sorted(want, key=str)
+
+
+def test_indexes_are_bounded():
+    least = {bytes([65 + k % 26]) * 30 + str(k).encode(): k for k in range(1000)}
+    keys = {text: k % 50 for k, text in enumerate(least)}
+    parts = list(substring_dedup._indexes(least, keys, 2000))
+    assert sorted(t for p in parts for t in p) == sorted(least) and len(parts) > 10
+    assert max(sum(map(len, p)) for p in parts) < 3000
+    assert all(len({n for n, p in enumerate(parts) for t in p if keys[t] == key}) == 1 for key in range(50))
+
+
 def test_run_index_is_run_compressed():
     text = bytes(random.Random(3).choice(b"abcd") for _ in range(400))
     strings = [text[:200 + k] for k in range(40)]
