@@ -23,8 +23,14 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SEPARATORS = " .-_*~\t\n"
 _EDGE = b".,;:?\"'()[]{}<>*#%&-_~=/\\`^"
 _PLAIN = re.compile(rb"[a-z\x80-\xff']+\Z")
-_TRIPLE = re.compile(rb"([a-z])\1\1")
-_SPACED = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|+][ \t.\-_*~]{1,2}){3,}[a-z0-9@$!|+](?![a-z0-9])")
+_DOUBLE = re.compile(rb"([a-z])\1+")
+_SIGN = rb"[a-z0-9@$!|+]"
+#: Pieces of up to three signs with separators between them.
+_PIECE = rb"[\s.\-_*~]++" + _SIGN + rb"{1,3}+(?![a-z0-9@$!|+'\x80-\xff])"
+_RUN = re.compile(rb"(?<![a-z0-9@$!|+'\x80-\xff])" + _SIGN + rb"{1,3}+(?:" + _PIECE + rb")++")
+_SINGLES = re.compile(rb"(?:(?<![a-z0-9@$!|+])" + _SIGN + rb"[\s.\-_*~]+){3}")
+_NOISE = re.compile(rb"[0-9@$!|+*]")
+_LETTER = re.compile(rb"[a-z]")
 _CODES = np.zeros(256, np.int64)
 _CODES[97:123] = _CODES[65:91] = np.arange(1, 27)
 _CODES[128:] = 27
@@ -93,39 +99,82 @@ class Channel:
         return "".join(reversed(out))
 
 
+def _once(word: bytes) -> bytes:
+    """Every repeated letter once."""
+    return _DOUBLE.sub(rb"\1", word)
+
+
 class Restorer:
     """Words of restored texts and their features; what a token gives is remembered up to a bound."""
 
-    def __init__(self, trigrams: np.ndarray, remembered: int = 200_000):
+    def __init__(self, trigrams: np.ndarray, remembered: int = 200_000, weighted: dict[bytes, float] | None = None):
+        """With ``weighted`` (the features that count), pieces of plain letters next to each other, of any size, are decoded
+        where they add up to a word or stem of them but for repeated letters; other pieces of plain letters cannot."""
         self.channel, self.remembered = Channel(trigrams), remembered
         self.known: dict[bytes, tuple[bytes, ...]] = {}
+        self.words = None if weighted is None else {_once(f[1:]) for f in weighted}
+        self.cores: dict[bytes, bytes] = {}
+        self.begins = {w[:k] for w in self.words or () for k in range(1, len(w))}
+
+    def restored(self, noisy: bytes) -> set[bytes]:
+        """Features of the words of a stretch, also with every repeated letter once."""
+        found: set[bytes] = set()
+        for word in self.channel.restore(noisy.decode("utf-8", "replace")).split():
+            plain = word.encode()
+            found.update(features(plain))
+            if _DOUBLE.search(plain):
+                found.update(features(_once(plain)))
+        return found
 
     def token(self, token: bytes) -> tuple[bytes, ...]:
         core = token.strip(_EDGE)
-        if _PLAIN.match(core) and not _TRIPLE.search(core):
-            return features(core)
+        if _PLAIN.match(core) and not _DOUBLE.search(core):
+            return features(core)  # letters without a repetition have one path
         found = set(features(core.strip(b"!$@|+")))
-        if any(97 <= b <= 122 for b in core) and len(core) > 2:
-            for word in self.channel.restore(core.decode("utf-8", "replace")).split():
-                found.update(features(word.encode()))
+        if len(core) > 2 and (_LETTER.search(core) or _NOISE.search(core)):
+            found |= self.restored(core)
         return tuple(found)
 
+    def remember(self, key: bytes, make) -> tuple[bytes, ...]:
+        own = self.known.get(key)
+        if own is None:
+            if len(self.known) >= self.remembered:
+                self.known.clear()
+            own = tuple(make(key))
+            if len(key) <= 64:
+                self.known[key] = own
+        return own
+
+    def joined(self, tokens: list[bytes]) -> Iterator[bytes]:
+        """Stretches of tokens that add up to a word or stem with a weight."""
+        words, begins, known = self.words, self.begins, self.cores
+        if len(known) >= self.remembered:
+            known.clear()
+        for token in set(tokens).difference(known):
+            known[token] = _once(token.strip(_EDGE))
+        cores = [known[token] for token in tokens]
+        for i, core in enumerate(cores):
+            if core in begins:
+                whole = core
+                for k in range(i + 1, len(cores)):
+                    whole = _once(whole + cores[k])
+                    if whole in words and cores[k]:
+                        yield b" ".join(t.strip(_EDGE) for t in tokens[i:k + 1])
+                    if whole not in begins:
+                        break
+
     def features(self, text: bytes) -> set[bytes]:
         lower = text.lower()
         found: set[bytes] = set()
-        known = self.known
-        for token in set(lower.split()):
-            own = known.get(token)
-            if own is None:
-                if len(known) >= self.remembered:
-                    known.clear()
-                own = self.token(token)
-                if len(token) <= 64:
-                    known[token] = own
-            found.update(own)
-        for stretch in _SPACED.findall(lower):
-            for word in self.channel.restore(stretch.decode("utf-8", "replace")).split():
-                found.update(features(word.encode()))
+        tokens = lower.split()
+        for token in set(tokens):
+            found.update(self.remember(token, self.token))
+        for run in _RUN.findall(lower):
+            if self.words is None or _SINGLES.search(run) or (_NOISE.search(run) and _LETTER.search(run)):
+                found.update(self.remember(b" ".join(run.split()), self.restored))
+        if self.words:
+            for stretch in self.joined(tokens):
+                found.update(self.remember(stretch, self.restored))
         return found
 
 
@@ -141,12 +190,12 @@ def raw_score(found: set[bytes], weights: dict[bytes, float]) -> float:
     return sum(sorted((weights[f] for f in found if f in weights), reverse=True)[:3])
 
 
-def _over(docs: DataFrame, trigrams: np.ndarray, each, finish, schema: str, only=None) -> DataFrame:
+def _over(docs: DataFrame, trigrams: np.ndarray, each, finish, schema: str, only=None, lexis=None) -> DataFrame:
     """Arrow pass over (id, text): ``each(id, features)`` gives a row or None, ``finish()`` rows at the end."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, state = Restorer(trigrams), {}
+        restorer, state = Restorer(trigrams, weighted=lexis.value if lexis else None), {}
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -228,12 +277,12 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return []
 
     points = (
-        _over(rows, trigrams, point, nothing, "label int, raw double", shared)
+        _over(rows, trigrams, point, nothing, "label int, raw double", shared, lexis)
         .groupBy("label", F.round("raw", 1).alias("raw")).agg(F.count("*").alias("n")).collect())
     slope, base = _logistic(points)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(trigrams)
+        restorer = Restorer(trigrams, weighted=lexis.value)
         for batch in batches:
             raw = np.array([raw_score(restorer.features(text.as_py()), lexis.value) for text in batch.column(1)], float)
             scores = 1 / (1 + np.exp(-np.clip(base + slope * raw, -30, 30)))

@@ -61,6 +61,24 @@ def test_channel_undoes_noise(spark):
         assert f"={word}".encode() in restorer.features(f"and {noisy} here".encode()), noisy
 
 
+SPELLINGS = [
+    ("sttupid", "stupid"), ("iidiot", "idiot"), ("looser", "loser"), ("moroon", "moron"), ("s t u p id", "stupid"), ("(i d i o t)", "idiot"),
+    ('"i d i o t"', "idiot"), ("i   d   i   o   t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("stu pid", "stupid"), ("stu p1d", "stupid"), ("1|)10+", None), ("455", "ass")]
+
+
+def test_noisy_spellings_reach_the_lattice(spark):
+    clean = "the idiot and a loser or stupid clown and a moron ass is here " * 20
+    trigrams = toxicity.count_letters(documents(spark, [(1, clean)]))
+    plain, weighted = toxicity.Restorer(trigrams), toxicity.Restorer(trigrams, weighted={b"=" + w.encode(): 1.0 for _, w in SPELLINGS if w})
+    for noisy, word in SPELLINGS:
+        for restorer in (plain, weighted):
+            found = restorer.features(f"we said {noisy} yesterday".encode())
+            assert word is None or f"={word}".encode() in found, (noisy, found)
+    for noisy in ("stup id", "s tupid", "st upid.", "sttu pid"):
+        assert b"=stupid" in weighted.features(f"we said {noisy} yesterday".encode()), noisy
+    assert b"=looser" in plain.features(b"looser") and b"=stupid" not in weighted.features(b"we said st and upright things")
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.1/labels.parquet")
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
