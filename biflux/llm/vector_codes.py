@@ -252,7 +252,7 @@ def with_group_error(coded: DataFrame, group: Column) -> DataFrame:
     small = broadcast_if_small(sums)
     if small is sums:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("code", "error"), F.lit(SALTS)))
-        small = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        small = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         match = rows["_group"].eqNullSafe(small["_group"]) & (rows["_salt"] == small["_salt"])
     else:
         match = rows["_group"].eqNullSafe(small["_group"])
