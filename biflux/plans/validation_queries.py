@@ -185,14 +185,61 @@ def _field_compare(spark, sf_dir):
     return rows.select(F.col("unit_id").alias("flow_id"), F.inline_outer("fields")).groupBy("flow_id", "field", "outcome").agg(F.count("*").alias("records"))
 
 
-def _best_match(spark, sf_dir):
-    """Several annotations per key: about thirty flows compete for three annotations."""
+def _rivals(spark, sf_dir):
+    """Flows that share keys by fours, every fourth reported from the other end, and annotations with other byte counts."""
+    here, there = F.lower(F.lpad(F.hex(F.floor(F.col("flow_id") / 4)), 8, "0")), F.lit("c0a80001")
+    back = F.col("flow_id") % 4 == 0
     profile = view(spark, sf_dir, "profile").withColumns({
-        "src_ip": F.lower(F.lpad(F.hex(F.col("flow_id") % 500), 8, "0")), "dst_ip": F.lit("c0a80001"),
-        "src_port": F.lit(4000), "dst_port": F.lit(443), "l4_proto": F.lit(6)})
+        "src_ip": F.when(back, there).otherwise(here), "dst_ip": F.when(back, here).otherwise(there),
+        "src_port": F.when(back, 443).otherwise(4000), "dst_port": F.when(back, 4000).otherwise(443), "l4_proto": F.lit(6)})
     flows = _records_of(profile, "unit_id", {})
-    refs = _records_of(profile.where("flow_id < 1500"), "ref_id", {"bytes": "CAST(bytes + flow_id % 2 AS STRING)"})
-    return va.match_flows(durable(flows), durable(refs), _checks()).select("ref_id", "dir", "unit_id", "other_id")
+    return flows, _records_of(profile, "ref_id", {"bytes": "CAST(bytes + flow_id % 2 AS STRING)"})
+
+
+def _best_match(spark, sf_dir):
+    """Errors of the least-error pairing per key, with what stays without a partner."""
+    flows, refs = (durable(x) for x in _rivals(spark, sf_dir))
+    results = va.validate(flows, refs, va.Checks(_dictionary(), ["bytes", "packets", "app"]))
+    faults = F.size(F.filter("fields", lambda o: o["outcome"].isin("error", "missing")))
+    keyed = results.withColumn("k", F.floor(F.coalesce("ref_id", "unit_id") / 4))
+    return keyed.groupBy("k").agg(
+        F.coalesce(F.sum(faults), F.lit(0)).alias("errors"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("missing", "unexpected")])
+
+
+# All placements per key: a step places one annotation, and equal sets of used records keep the least cost.
+_BEST_SQL = {
+    "rec": """SELECT flow_id, flow_id // 4 AS k, CAST(flow_id % 4 = 0 AS INTEGER) AS dir, bytes_rev > 0 OR packets_rev > 0 AS two, flow_id % 5 AS app,
+      row_number() OVER (PARTITION BY flow_id // 4 ORDER BY flow_id) AS i, 1 << CAST(row_number() OVER (PARTITION BY flow_id // 4 ORDER BY flow_id) - 1 AS INTEGER) AS bit,
+      bytes, packets, bytes_rev, packets_rev FROM profile""",
+    "sides": """SELECT flow_id, k, i, bit, two, dir, app, d, CASE WHEN d = dir THEN bytes ELSE bytes_rev END AS b, CASE WHEN d = dir THEN packets ELSE packets_rev END AS p,
+      CASE WHEN d = dir THEN bytes + flow_id % 2 ELSE bytes_rev END AS rb FROM rec, (VALUES (0), (1)) AS x(d) WHERE d = dir OR two""",
+    "fit": """SELECT r.k, r.i, r.two AS rtwo, r.d, u.two AS utwo, u.bit,
+      CAST(r.rb <> u.b AS INTEGER) + CAST(r.p <> u.p AS INTEGER) + CAST(r.app <> u.app AS INTEGER) AS c
+      FROM sides r JOIN sides u ON r.k = u.k AND r.d = u.d""",
+    "one": """SELECT k, i, d, bit AS m, c FROM fit WHERE rtwo AND NOT utwo UNION ALL SELECT k, i, d, 0, 0 FROM sides WHERE two""",
+    "choice": """SELECT k, i, bit AS m0, bit AS m1, sum(c) AS c FROM fit WHERE rtwo AND utwo GROUP BY ALL
+      UNION ALL SELECT a.k, a.i, a.m, b.m, a.c + b.c FROM one a JOIN one b ON a.k = b.k AND a.i = b.i AND a.d = 0 AND b.d = 1
+      UNION ALL SELECT k, i, CASE d WHEN 0 THEN bit ELSE 0 END, CASE d WHEN 1 THEN bit ELSE 0 END, c FROM fit WHERE NOT rtwo
+      UNION ALL SELECT k, i, 0, 0, 0 FROM sides WHERE NOT two""",
+    "steps": """SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, 0 AS m0, 0 AS m1, CAST(0 AS HUGEINT) AS c FROM rec
+      UNION ALL SELECT s.k, o.i, s.m0 | o.m0, s.m1 | o.m1, min(s.c + o.c) FROM steps s JOIN choice o ON o.k = s.k AND o.i = s.i + 1
+      WHERE s.m0 & o.m0 = 0 AND s.m1 & o.m1 = 0 GROUP BY s.k, o.i, s.m0 | o.m0, s.m1 | o.m1""",
+    "need": """SELECT k, max(i) AS n, CAST(sum(CASE WHEN two THEN bit ELSE 0 END) AS INTEGER) AS both, count(*) FILTER (two OR dir = 0) AS s0,
+      count(*) FILTER (two OR dir = 1) AS s1 FROM rec GROUP BY k""",
+}
+
+
+def _hot_match(spark, sf_dir):
+    """A third of all flows under one key, the others by hundreds: one-way records of which only the bytes are compared."""
+    k = F.when(F.col("flow_id") % 3 == 0, -1).otherwise(F.floor(F.col("flow_id") / 100))
+    profile = view(spark, sf_dir, "profile").withColumns({
+        "src_ip": F.lower(F.lpad(F.hex(k + 1), 8, "0")), "dst_ip": F.lit("c0a80001"), "src_port": F.lit(4000), "dst_port": F.lit(443), "l4_proto": F.lit(6),
+        "bytes": F.col("bytes") + F.col("bytes_rev"), "bytes_rev": F.lit(0), "packets_rev": F.lit(0), "k": k})
+    flows = durable(_records_of(profile, "unit_id", {}))
+    refs = durable(_records_of(profile, "ref_id", {"bytes": "CAST(CASE WHEN flow_id % 8 = 0 THEN bytes * 1000 + 1 ELSE bytes + flow_id % 2 END AS STRING)"}))
+    results = va.validate(flows, refs, va.Checks(_dictionary(), ["bytes"]))
+    ids = profile.select(F.col("flow_id").alias("ref_id"), "k")
+    return results.where(F.col("ref_id").isNotNull()).join(ids, "ref_id").groupBy("k").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("ok", "error", "missing")])
 
 
 def _validation_summary(spark, sf_dir):
@@ -307,7 +354,16 @@ QUERIES = {
     "field_coverage": (lambda s, d: va.coverage(_validated(s, d), ["tcp_flags", "app"]), "SELECT true AS covered"),
     "validation_summary": (_validation_summary, """SELECT 'ipv4' AS test, false AS passed, 'vendor:label,vendor:metric' AS unmapped, 'props,src_port' AS unknown
         UNION ALL SELECT 'ipv6', false, 'vendor:label,vendor:metric', ''"""),
-    "best_match": (_best_match, None),
+    "best_match": (_best_match, cte("profile", **_BEST_SQL).replace("WITH", "WITH RECURSIVE", 1) + """
+        SELECT s.k, CAST(min(c) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected FROM steps s JOIN need n ON n.k = s.k AND s.i = n.n
+        WHERE bit_count(m0) = s0 AND bit_count(m1) = s1 AND m0 & n.both = m1 & n.both GROUP BY s.k"""),
+    "hot_match": (_hot_match, cte(
+        "profile", f="SELECT flow_id, CASE WHEN flow_id % 3 = 0 THEN -1 ELSE flow_id // 100 END AS k, bytes + bytes_rev AS u FROM profile",
+        g="SELECT *, CASE WHEN flow_id % 8 = 0 THEN u * 1000 + 1 ELSE u + flow_id % 2 END AS r FROM f",
+        hits="""SELECT a.k, sum(least(a.n, b.n)) AS ok FROM (SELECT k, u AS v, count(*) AS n FROM g GROUP BY ALL) a
+          JOIN (SELECT k, r AS v, count(*) AS n FROM g GROUP BY ALL) b ON a.k = b.k AND a.v = b.v GROUP BY a.k""") + """
+        SELECT g.k, CAST(coalesce(any_value(ok), 0) AS BIGINT) AS ok, count(*) - CAST(coalesce(any_value(ok), 0) AS BIGINT) AS error, CAST(0 AS BIGINT) AS missing
+        FROM g LEFT JOIN hits ON hits.k = g.k GROUP BY g.k"""),
     "read_flow_json": (_flow_json, """SELECT event_id, event_id * 10 AS start_time, event_id * 10 + 5 AS end_time, 6 AS proto, '10.0.0.' || user_id AS src_ip,
         '10.1.0.1' AS dst_ip, CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1000 + user_id END AS INTEGER) AS src_port, 53 AS dst_port, CAST(2 AS BIGINT) AS packets,
         100 + user_id AS bytes FROM events WHERE event_id % 50 > 2"""),

@@ -1,8 +1,11 @@
 import random
+import time
 from itertools import permutations, product
 
+import numpy as np
+
 from biflux.operators import mapping as mp, validate as va
-from biflux.operators.assignment import best_rows, joint_cost, match_bucket
+from biflux.operators.assignment import assign, best_rows, joint_cost, match_bucket, match_kinds, transport
 
 FIELDS = {
     "src_ip": {"type": "string", "direction": "always", "reverse": "dst_ip"},
@@ -151,3 +154,139 @@ def test_match_bucket_against_all_placements():
             assert all(n < 0 for _, _, n, _ in found)
         else:
             assert total(refs, units, found) == want
+
+
+def test_transport_is_the_assignment_of_its_copies():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        rows, columns = rng.integers(1, 5, 2)
+        cost, supply, demand = rng.integers(0, 6, (rows, columns)), rng.integers(1, 5, rows), rng.integers(1, 5, columns)
+        amounts = transport(cost, supply.tolist(), demand.tolist())
+        assert (amounts.sum(1) <= supply).all() and (amounts.sum(0) <= demand).all() and amounts.sum() == min(supply.sum(), demand.sum())
+        spread = np.repeat(np.repeat(cost, supply, 0), demand, 1)
+        found = assign(spread)
+        assert (amounts * cost).sum() == sum(spread[r, c] for r, c in enumerate(found) if c >= 0)
+
+
+def random_kinds(rng, mixed):
+    refs = [{"kind": f"r{i}", "paired": mixed != 0 and rng.random() < (0.5 if mixed == 1 else 1), "dir": rng.randrange(2), "copies": rng.randint(1, 3)} for i in range(rng.randint(1, 3))]
+    units = []
+    for n in range(rng.randint(0, 3)):
+        table = lambda: [[rng.randint(0, 3) for _ in refs] for _ in (0, 1)]
+        units.append({"kind": f"u{n}", "paired": mixed != 0 and rng.random() < (0.5 if mixed == 1 else 1), "dir": rng.randrange(2), "copies": rng.randint(1, 3),
+                      "alone": table(), "both": table(), "lacks": [[] for _ in refs], "gives": [{} for _ in refs]})
+    return refs, units
+
+
+def test_kinds_cost_what_their_copies_cost():
+    rng = random.Random(2)
+    for k in range(300):
+        refs, units = random_kinds(rng, k % 3)
+        index = [i for i, r in enumerate(refs) for _ in range(r["copies"])]
+        one_refs = [refs[i] for i in index]
+        spread = lambda u: {**u, "alone": [[x[i] for i in index] for x in u["alone"]], "both": [[x[i] for i in index] for x in u["both"]], "lacks": [[]] * len(index), "gives": [{}] * len(index)}
+        one_units = [spread(u) for u in units for _ in range(u["copies"])]
+        want = match_bucket(one_refs, one_units)
+        place = {(i, c): n for n, (i, c) in enumerate((i, c) for i, r in enumerate(refs) for c in range(r["copies"]))}
+        at = {(i, c): n for n, (i, c) in enumerate((i, c) for i, u in enumerate(units) for c in range(u["copies"]))}
+        runs = match_kinds(refs, units)
+        found = [(place[i, a + k], d, at[n, b + k] if n >= 0 else -1, -1) for i, a, d, n, b, size in runs for k in range(size)]
+        assert len(found) == len({f[:2] for f in found}) == sum(r["copies"] * (2 if r["paired"] else 1) for r in refs)
+        used = [(n, d) for _, d, n, _ in found if n >= 0]
+        assert len(used) == len(set(used)) == sum(n >= 0 for _, _, n, _ in want)
+        assert total(one_refs, one_units, found) == total(one_refs, one_units, want)
+
+
+def test_many_annotations_under_one_key():
+    rng = random.Random(200)
+    refs, units, contents = [], [], []
+    for i in range(200):
+        refs.append({"id": i, "paired": rng.random() < 0.5, "dir": rng.randrange(2)})
+        contents.append([[rng.randrange(6) for _ in range(4)] for _ in (0, 1)])
+    for n in range(230):
+        ref = refs[n] if n < 200 else {"paired": rng.random() < 0.5, "dir": rng.randrange(2)}
+        own = [[x if rng.random() > 0.08 else 9 for x in side] for side in (contents[n] if n < 200 else [[7] * 4] * 2)]
+        for paired, d in ([(False, 0), (False, 1)] if ref["paired"] and rng.random() < 0.2 else [(ref["paired"], ref["dir"])]):
+            costs = [[sum(a != b for a, b in zip(own[e], contents[i][e])) for i in range(200)] for e in (0, 1)]
+            units.append({"paired": paired, "dir": d, "alone": costs, "both": costs, "lacks": [[]] * 200, "gives": [{}] * 200})
+    rng.shuffle(units)
+    began = time.perf_counter()
+    found = match_bucket(refs, units)
+    assert time.perf_counter() - began < 20
+    slots = [(i, d) for i, r in enumerate(refs) for d in (0, 1) if r["paired"] or r["dir"] == d]
+    assert sorted(f[:2] for f in found) == sorted(slots) and total(refs, units, found) <= sum(sum(x == 9 for x in s) for c in contents for s in c) + 200
+
+
+def modelled(flows, refs):
+    """The rules of one bucket spelled out for fields bytes (own direction) and agent (either), as input of ``brute_force``."""
+    def sides(fields):
+        forward = {k: v for k, v in fields.items() if k in ("bytes", "agent")}
+        backward = {("bytes" if k == "bytes@rev" else k): v for k, v in fields.items() if k in ("bytes@rev", "agent")}
+        d = 0 if fields["src_ip"] == "1" else 1
+        two = "bytes@rev" in fields
+        return {"dir": d, "paired": two, d: forward, 1 - d: backward if two else None}
+
+    def outcome(wanted, own, other):
+        """Missing and wrong fields; the other direction may supply the agent."""
+        bad = {}
+        for name, value in wanted.items():
+            got = own.get(name, (other or {}).get(name) if name == "agent" else None)
+            if got is None:
+                bad[name] = "missing"
+            elif got != value:
+                bad[name] = "error"
+        return bad
+
+    flows, refs = [sides(f) for f in flows], [sides(r) for r in refs]
+    units = []
+    for f in flows:
+        cost = {kind: [[None if r[d] is None or f[d] is None else len(outcome(r[d], f[d], f[1 - d] if kind else None)) for r in refs] for d in (0, 1)] for kind in (0, 1)}
+        lacks = [["agent"] if r[f["dir"]] is not None and outcome(r[f["dir"]], f[f["dir"]], None).get("agent") == "missing" else [] for r in refs]
+        gives = [{"agent": int(r[1 - f["dir"]]["agent"] != f[f["dir"]]["agent"])} if r[1 - f["dir"]] and "agent" in f[f["dir"]] and "agent" in r[1 - f["dir"]] else {} for r in refs]
+        units.append({"paired": f["paired"], "dir": f["dir"], "alone": cost[0], "both": cost[1], "lacks": lacks, "gives": gives})
+    return refs, units
+
+
+def test_search_against_all_placements(spark):
+    """Several flows and annotations per key: two-way and one-way, both ends, repeated, with and without the shared field."""
+    rng = random.Random(11)
+    flows, refs, want = [], [], {}
+    for key in range(60):
+        ends = [{**BASE, "src_port": str(100 + key)}, {**BACK, "dst_port": str(100 + key)}]
+
+        def some(n):
+            rows = []
+            for _ in range(n):
+                row = {**ends[rng.random() < 0.3], "bytes": str(rng.randint(1, 3))}
+                if rng.random() < 0.5:
+                    row["bytes@rev"] = str(rng.randint(1, 3))
+                if key % 2 or rng.random() < 0.5:
+                    row["agent"] = rng.choice("xy")
+                rows += [row] * (1 if rng.random() < 0.8 else 2)
+            return rows[:4 if n > 3 else 3]
+
+        own_flows, own_refs = some(rng.randint(0, 4)), some(rng.randint(1, 3))
+        modelled_refs, units = modelled(own_flows, own_refs)
+        want[100 + key] = brute_force(modelled_refs, units)
+        flows += own_flows
+        refs += own_refs
+    checks = va.Checks(mp.FieldDictionary(FIELDS, KEY), ["bytes", "agent"])
+    found = va.validate(records(spark, flows, "unit_id"), records(spark, refs, "ref_id"), checks).collect()
+    port = lambda r: int((refs[r.ref_id] if r.ref_id is not None else flows[r.unit_id])["src_port" if (refs[r.ref_id] if r.ref_id is not None else flows[r.unit_id])["src_ip"] == "1" else "dst_port"])
+    got = dict.fromkeys(want, 0)
+    for r in found:
+        got[port(r)] += sum(f.outcome in ("error", "missing") for f in r.fields or [])
+    sides = lambda rows: sum(2 if "bytes@rev" in r else 1 for r in rows)
+    assert sum(r.unit_id is not None for r in found) == sides(flows) and sum(r.ref_id is not None for r in found) == sides(refs)
+    assert got == {k: w or 0 for k, w in want.items()}
+
+
+def test_equal_records_pair_off_without_a_search(spark, monkeypatch):
+    """A key of thousands of equal and a few odd records."""
+    flows = [{**BASE, "bytes": str(k % 50)} for k in range(3000)] + [{**BASE, "bytes": "900"}] * 40
+    refs = [{**BASE, "bytes": str(k % 50)} for k in range(2990)] + [{**BASE, "bytes": "700"}] * 30
+    for heavy in (2_000_000, 100):
+        monkeypatch.setattr("biflux.skew.heavy_keys.__defaults__", (heavy, 1 / 16384))
+        checks = va.Checks(mp.FieldDictionary(FIELDS, KEY), SUPPORTED)
+        found = va.validate(records(spark, flows, "unit_id"), records(spark, refs, "ref_id"), checks).groupBy("outcome").count().collect()
+        assert {r.outcome: r["count"] for r in found} == {"ok": 2990, "error": 30, "unexpected": 20}
