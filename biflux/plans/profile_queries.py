@@ -200,6 +200,37 @@ def _build_totals(spark, sf_dir):
 
 _MS_SQL = """SELECT CAST(trunc(start_time * 1000) AS BIGINT) AS s, CAST(trunc(duration * 1000) AS BIGINT) AS d, * EXCLUDE (start_time, duration) FROM raw_flows"""
 _BASE_SQL = "SELECT arg_min(s, arrival_seq) AS z, min(arrival_seq) AS a FROM ms WHERE s <> 0"
+_RECORDS_SQL = """SELECT arrival_seq, s - CASE WHEN arrival_seq >= a THEN z ELSE 0 END AS st, s + d - CASE WHEN arrival_seq >= a THEN z ELSE 0 END AS en,
+    proto, src_ip, dst_ip, CASE WHEN proto IN (6, 17) THEN src_port ELSE 0 END AS sp, CASE WHEN proto IN (6, 17) THEN dst_port ELSE 0 END AS dp, packets, bytes,
+    src_ip > dst_ip AS swap FROM ms, base"""
+#: The fold of each key, one record of every key at a step; ``done`` is the flow that a record closes.
+_FOLD_SQL = {
+    "ms": _MS_SQL, "base": _BASE_SQL, "recs": _RECORDS_SQL,
+    "numbered": """SELECT *, row_number() OVER (PARTITION BY a, b, ap, bp, proto ORDER BY arrival_seq) AS n FROM (
+      SELECT *, CASE WHEN swap THEN dst_ip ELSE src_ip END AS a, CASE WHEN swap THEN src_ip ELSE dst_ip END AS b, CASE WHEN swap THEN dp ELSE sp END AS ap,
+        CASE WHEN swap THEN sp ELSE dp END AS bp FROM recs)""",
+    "keyed": "SELECT *, dense_rank() OVER (ORDER BY a, b, ap, bp, proto) AS k FROM numbered",
+    "folded": """SELECT k, n, {'s': st, 'e': en, 'w': swap, 'p0': CASE WHEN swap THEN 0 ELSE packets END, 'b0': CASE WHEN swap THEN 0 ELSE bytes END,
+        'p1': CASE WHEN swap THEN packets ELSE 0 END, 'b1': CASE WHEN swap THEN bytes ELSE 0 END, 'r': false} AS f,
+        CAST(NULL AS STRUCT(s BIGINT, e BIGINT, w BOOLEAN, p0 BIGINT, b0 BIGINT, p1 BIGINT, b1 BIGINT, r BOOLEAN)) AS done FROM keyed WHERE n = 1
+      UNION ALL SELECT k, n, CASE WHEN takes THEN {'s': least(f.s, st), 'e': greatest(f.e, en), 'w': f.w, 'p0': f.p0 + CASE WHEN swap THEN 0 ELSE packets END,
+          'b0': f.b0 + CASE WHEN swap THEN 0 ELSE bytes END, 'p1': f.p1 + CASE WHEN swap THEN packets ELSE 0 END, 'b1': f.b1 + CASE WHEN swap THEN bytes ELSE 0 END,
+          'r': f.r OR (swap <> f.w AND packets > 0)}
+        ELSE {'s': st, 'e': en, 'w': swap, 'p0': CASE WHEN swap THEN 0 ELSE packets END, 'b0': CASE WHEN swap THEN 0 ELSE bytes END,
+          'p1': CASE WHEN swap THEN packets ELSE 0 END, 'b1': CASE WHEN swap THEN bytes ELSE 0 END, 'r': false} END, CASE WHEN NOT takes THEN f END
+      FROM (SELECT c.k, x.n, c.f, x.st, x.en, x.swap, x.packets, x.bytes,
+          (NOT c.f.r AND x.swap <> c.f.w AND x.st <= c.f.e + 30000 AND x.en + 30000 >= c.f.s) OR (x.packets = 1 AND abs(x.st - c.f.e) < 30000)
+          OR (c.f.e - c.f.s >= 270000 AND x.st <= c.f.e + 30000) AS takes
+        FROM folded c JOIN keyed x ON x.k = c.k AND x.n = c.n + 1)""",
+    "flows": """SELECT k, unnest([done, CASE WHEN n = max(n) OVER (PARTITION BY k) THEN f END]) AS f FROM folded""",
+}
+def profile_sql(records: str = "SELECT * FROM recs0") -> str:
+    """The profile of all records, or of another selection of them."""
+    parts = {**{k: _FOLD_SQL[k] for k in ("ms", "base")}, "recs0": _RECORDS_SQL, **_FOLD_SQL, "recs": records}
+    return cte("raw_flows", **parts).replace("WITH", "WITH RECURSIVE", 1) + """SELECT f.s AS start_time, f.e AS end_time, CAST(4 AS INTEGER) AS l3_proto, proto AS l4_proto,
+    CAST(CASE WHEN f.w THEN bp ELSE ap END AS INTEGER) AS src_port, CAST(CASE WHEN f.w THEN ap ELSE bp END AS INTEGER) AS dst_port, CASE WHEN f.w THEN f.p1 ELSE f.p0 END AS packets,
+    CASE WHEN f.w THEN f.b1 ELSE f.b0 END AS bytes, CASE WHEN f.w THEN f.p0 ELSE f.p1 END AS packets_rev, CASE WHEN f.w THEN f.b0 ELSE f.b1 END AS bytes_rev
+  FROM flows JOIN (SELECT DISTINCT k, proto, ap, bp FROM keyed) USING (k) WHERE f IS NOT NULL"""
 
 
 def _raw_times(spark, sf_dir):
@@ -251,7 +282,7 @@ QUERIES = {
         CASE l3_proto WHEN 4 THEN 8 ELSE 32 END AS width, CAST(0 AS BIGINT) AS mixed FROM profile GROUP BY l3_proto"""),
     "raw_flow_times": (_raw_times, cte("raw_flows", ms=_MS_SQL, base=_BASE_SQL) + """SELECT arrival_seq,
         s - CASE WHEN arrival_seq >= a THEN z ELSE 0 END AS start_time, s + d - CASE WHEN arrival_seq >= a THEN z ELSE 0 END AS end_time FROM ms, base"""),
-    "build_profile": (_build, None),
+    "build_profile": (_build, profile_sql()),
     "build_profile_totals": (_build_totals, cte("raw_flows", ms=_MS_SQL, base=_BASE_SQL) + """SELECT proto AS l4_proto, min(s) - any_value(z) AS start_time,
         max(s + d) - any_value(z) AS end_time, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM ms, base GROUP BY proto"""),
 }

@@ -8,12 +8,14 @@ from biflux.functions.ip import network_bounds
 from biflux.functions.scalars import speed_tokens
 from biflux.operators import scenario
 from biflux.operators.compare import Metric, RunStats
-from biflux.plans import compare_queries as cq
+from biflux.operators.profile_build import to_ms
+from biflux.plans import compare_queries as cq, profile_queries as pq
 from biflux.plans.verdicts import overload_verdict, simulation_verdict
 from biflux.plans.views import cte, table, view
 from biflux.runtime import shared_folder
-from biflux.streaming.cache import stream_profile
-from biflux.streaming.meter import stream_timeline
+from biflux.streaming.cache import close_profile_stream, limited_open_flows, run_limited_stream
+from biflux.streaming.closing import drain
+from biflux.streaming.meter import open_seconds, stream_timeline
 
 CONFIG = {"units": [{"srcip": "None"}, {"srcip": "addConstant(16777216)"}], "loop": {"srcip": "addOffset(33554432)"}}
 # (loop, source offset, destination offset, units)
@@ -146,28 +148,51 @@ def _stream_folder(spark, sf_dir, rows, name):
     return path
 
 
-def _collected(stream, spark, path):
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}-out").option(
-        "checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}-out")
+def _source(spark, path):
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def _stream_profile(spark, sf_dir):
-    """Finished biflows of a stream over all events (flows still open at the end stay in the state)."""
-    from biflux.operators.profile_build import to_ms
-
+    """All biflows of a stream over all events: finished ones, and those still open at its end."""
     path = _stream_folder(spark, sf_dir, to_ms(view(spark, sf_dir, "raw_flows")), "profile")
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return _collected(stream_profile(source), spark, path)
+    return close_profile_stream(_source(spark, path), f"{path}-out", f"{path}-state")[0]
+
+
+def _stream_limited(spark, sf_dir):
+    """Four caches of at most 24 flows over flows whose ports change every half hour. Records last 245 s at most, so what a
+    full cache lets go could not have been extended: the result is that of a cache without a limit."""
+    later = F.when(F.col("start_time") > 0, F.floor(F.col("start_time") / 1_800_000)).otherwise(0).cast("int")
+    rows = to_ms(view(spark, sf_dir, "raw_flows")).withColumns({
+        "end_time": F.col("start_time") + F.floor((F.col("end_time") - F.col("start_time")) / 2),
+        **{c: F.when(F.col(c) == 40000, F.col(c) + later).otherwise(F.col(c)) for c in ("src_port", "dst_port")}})
+    path = _stream_folder(spark, sf_dir, rows, "limited")
+    drain(run_limited_stream(_source(spark, path), f"{path}-out", f"{path}-state", limit=24, caches=4))
+    still = limited_open_flows(spark, f"{path}-state")
+    return spark.read.schema(still.schema).parquet(f"{path}-out").unionByName(still)
+
+
+def _stream_late(spark, sf_dir):
+    """A stream in two parts, every 50th record of the second one 10 000 s late: what was counted, what was dropped."""
+    rows = to_ms(view(spark, sf_dir, "raw_flows"))
+    half = rows.count() // 2
+    late = F.when((F.col("arrival_seq") >= half) & (F.col("arrival_seq") % 50 == 0), 10_000_000).otherwise(0)
+    rows = rows.withColumns({c: F.col(c) - late for c in ("start_time", "end_time")})
+    path = _stream_folder(spark, sf_dir, rows.where(F.col("arrival_seq") < half), "late")
+    _, before = close_profile_stream(_source(spark, path), f"{path}-out", f"{path}-state")
+    rows.where(F.col("arrival_seq") >= half).write.mode("append").parquet(path)
+    flows, after = close_profile_stream(_source(spark, path), f"{path}-out", f"{path}-state")
+    return flows.agg(F.sum(F.col("packets") + F.col("packets_rev")).alias("packets"), F.sum(F.col("bytes") + F.col("bytes_rev")).alias("bytes"),
+                     F.lit(before + after).cast("long").alias("late_rows"))
 
 
 def _stream_timeline(spark, sf_dir):
-    """Seconds the watermark has passed, from a stream over all profile rows."""
+    """Every second of a stream over all profile rows: those the watermark has passed, and the rest from the state."""
     path = _stream_folder(spark, sf_dir, view(spark, sf_dir, "profile"), "timeline")
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    done = _collected(stream_timeline(source), spark, path)
-    return done.select("second", F.round("packets", 6).alias("packets"), F.round("bits", 6).alias("bits"), "starts")
+    stream = stream_timeline(_source(spark, path))
+    drain(stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}-out").option(
+        "checkpointLocation", f"{path}-state").trigger(availableNow=True).start())
+    seconds = spark.read.schema(stream.schema).parquet(f"{path}-out").unionByName(open_seconds(spark, f"{path}-state"))
+    return seconds.select("second", F.round("packets", 6).alias("packets"), F.round("bits", 6).alias("bits"), "starts")
 
 
 QUERIES = {
@@ -198,9 +223,15 @@ QUERIES = {
         FROM f JOIN p ON p.probe = f.probe GROUP BY f.probe) SELECT probe, fails_at, speed, speed >= 20000 AS passed FROM b"""),
     "extended_ranges": (_ranges, cte("ref_flows", nets="SELECT DISTINCT substr(src_ip, 1, 6) || '00' AS low, substr(src_ip, 1, 6) || 'ff' AS high FROM ref_flows WHERE length(src_ip) = 8") + f"""
         SELECT DISTINCT {cq._add_sql('low', 'o')} AS low, {cq._add_sql('high', 'o')} AS high FROM nets, (VALUES (0), (256), (1024), (1280), (2048), (2304)) v(o)"""),
-    "stream_profile": (_stream_profile, None),
+    "stream_profile": (_stream_profile, pq.profile_sql()),
+    "stream_limited": (_stream_limited, pq.profile_sql("""SELECT * REPLACE (st + (en - st) // 2 AS en,
+        CASE sp WHEN 40000 THEN 40000 + greatest(st, 0) // 1800000 ELSE sp END AS sp, CASE dp WHEN 40000 THEN 40000 + greatest(st, 0) // 1800000 ELSE dp END AS dp) FROM recs0""")),
+    "stream_late_rows": (_stream_late, cte("raw_flows", ms=pq._MS_SQL, base=pq._BASE_SQL, recs=pq._RECORDS_SQL, split="SELECT count(*) // 2 AS half FROM events",
+        moved="SELECT *, arrival_seq >= half AS second, en - CASE WHEN arrival_seq >= half AND arrival_seq % 50 = 0 THEN 10000000 ELSE 0 END AS t FROM recs, split",
+        mark="SELECT max(t) - 300000 AS w FROM moved WHERE NOT second") + """SELECT CAST(sum(packets) FILTER (NOT (second AND t <= w)) AS BIGINT) AS packets,
+        CAST(sum(bytes) FILTER (NOT (second AND t <= w)) AS BIGINT) AS bytes, count(*) FILTER (second AND t <= w) AS late_rows FROM moved, mark"""),
     "stream_timeline": (_stream_timeline, cte("profile", sec="""SELECT start_time // 1000 AS a, end_time // 1000 AS b, packets + packets_rev AS p, bytes + bytes_rev AS y FROM profile""",
         per="""SELECT second, sum(p::DOUBLE / (b - a + 1)) AS packets, sum(y::DOUBLE * 8 / (b - a + 1)) AS bits, count(*) FILTER (second = a) AS starts
           FROM (SELECT *, unnest(generate_series(a, b)) AS second FROM sec) GROUP BY second""") + """
-        SELECT second, round(packets, 6) AS packets, round(bits, 6) AS bits, starts FROM per WHERE second < (SELECT max(second) FROM per) - 300"""),
+        SELECT second, round(packets, 6) AS packets, round(bits, 6) AS bits, starts FROM per"""),
 }

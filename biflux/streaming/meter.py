@@ -1,6 +1,8 @@
 """Per-second traffic series on a live stream of flows."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from biflux.streaming.closing import state_rows
 
 
 def stream_timeline(flows: DataFrame, lateness: str = "300 seconds") -> DataFrame:
@@ -20,3 +22,9 @@ def stream_timeline(flows: DataFrame, lateness: str = "300 seconds") -> DataFram
         F.sum("packets").alias("packets"), F.sum("bits").alias("bits"),
         F.count_if(F.col("second") == F.col("first")).alias("starts"),
     ).select(F.unix_seconds("window.start").alias("second"), "packets", "bits", "starts")
+
+
+def open_seconds(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Seconds that the watermark of a stopped stream has not passed: the rest of the series."""
+    sums = F.col("value").cast("struct<packets:double,bits:double,starts:bigint>").alias("sums")
+    return state_rows(spark, checkpoint).select(F.unix_seconds("key.window.start").alias("second"), sums).select("second", "sums.*")
