@@ -3,15 +3,16 @@
 Rows that cannot be used are never dropped silently: parsers return the good rows and the rejected ones with a reason.
 """
 
+from decimal import Decimal
 from typing import NamedTuple
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from biflux.functions.ip import ip_parse
+from biflux.runtime import broadcast_if_small, durable
 from biflux.schemas import PROFILE_COLUMNS, RAWFLOW, UNIFLOW, UNIFLOW_COLUMNS, FlowDataError
 
-_UINT64 = 2**63 - 1  # counters are stored as signed 64-bit numbers
+_INT64, _UINT64 = 2**63 - 1, 2**64 - 1
 PROFILE_HEADER = [c.upper() for c in PROFILE_COLUMNS]
 
 
@@ -31,18 +32,19 @@ def as_uniflow(spark: SparkSession, source: str | DataFrame) -> DataFrame:
 
 
 def read_uniflow(spark: SparkSession, path: str, where: str | None = None, limit: int | None = None) -> DataFrame:
-    """Exported or expected flow CSV. Columns may come in any order; empty ports are 0; a bad cell fails the read."""
-    names = [c.strip() for c in _header(spark, path).split(",")]
-    types = {f.name.upper(): f.dataType.simpleString() for f in UNIFLOW.fields}
-    if set(types) - set(names):
-        raise FlowDataError(f"unable to read flows from {path}: columns {sorted(set(types) - set(names))} missing")
-    schema = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in names)
-    raw = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    flows = raw.select(
-        F.col("START_TIME").alias("start_time"), F.col("END_TIME").alias("end_time"), F.col("PROTOCOL").alias("protocol"),
-        ip_parse(F.col("SRC_IP")).alias("src_ip"), ip_parse(F.col("DST_IP")).alias("dst_ip"),
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("SRC_PORT", "DST_PORT")],
-        F.col("PACKETS").alias("packets"), F.col("BYTES").alias("bytes"))
+    """Exported or expected flow CSV. Each file's own header gives its order of columns; empty ports are 0; a bad cell fails
+    the read, and so does a file without one of the columns."""
+    lines = _content(spark, path, [f.name.upper() for f in UNIFLOW.fields])
+
+    def typed(name: str, kind: str) -> Column:
+        cell = _cell(name)
+        value = ip_parse(cell) if name.endswith("_IP") else cell.try_cast(kind)
+        if name.endswith("_PORT"):
+            value = F.when(F.coalesce(cell, F.lit("")) == "", 0).otherwise(value)
+        reason = F.concat(F.lit(f"{name} unreadable in "), "file", F.lit(": "), "value")
+        return F.when(value.isNull(), F.raise_error(reason)).otherwise(value).cast(kind).alias(name.lower())
+
+    flows = lines.select(*[typed(f.name.upper(), f.dataType.simpleString()) for f in UNIFLOW.fields])
     return _narrowed(flows, where, limit)
 
 
@@ -51,60 +53,94 @@ def _narrowed(df: DataFrame, where: str | None, limit: int | None) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without blank ones and comments."""
-    text = spark.read.text(path).withColumn("value", F.trim("value"))
-    return text.where((F.col("value") != "") & ~F.col("value").startswith("#"))
+def _placed(text: DataFrame) -> DataFrame:
+    """Lines with their file, the start of their block in it, and a number that rises inside the block."""
+    return text.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
 
 
-def _header(spark: SparkSession, path: str) -> str:
-    try:
-        first = _lines(spark, path).first()
-    except Exception as err:
-        raise FlowDataError(f"unable to read {path}") from err
-    if first is None:
-        raise FlowDataError(f"{path} has no header")
-    return first["value"]
+def _is_content() -> Column:
+    text = F.trim("value")
+    return (text != "") & ~text.startswith("#")
 
 
-def with_arrival(lines: DataFrame) -> DataFrame:
-    """Number lines by file name and place in the file (unique and rising, not dense).
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Per block of a file: the number of lines before it in all files (by name, then place), its first ``at``, and block
+    and ``at`` of the first line of its file that is neither blank nor a comment.
 
-    A block starts at a byte offset and cannot hold more lines than bytes, so offset plus line number inside the block
-    needs no pass over the data.
+    One row per block, from one pass with sums per task; the running sum goes over blocks, not lines. It counts lines, so
+    the numbers are the same however the files are cut and however often a task is repeated.
     """
-    names = sorted(_plain(f) for f in lines.inputFiles())
-    if len(names) > 1 << 20:
-        raise FlowDataError(f"{len(names)} files are more than can be numbered")
-    files = lines.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "_file string, _rank long")
-    files = F.broadcast(files) if len(names) <= 100_000 else files
-    in_block = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = lines.select(
-        "*", F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/").alias("_file"),
-        (F.col("_metadata.file_block_start") + in_block).alias("_place"))
-    return placed.join(files, "_file").withColumn(
-        "arrival_seq", F.shiftleft("_rank", 43) + F.col("_place")).drop("_file", "_place", "_rank")
+    counted = placed.groupBy("_file", "_block").agg(F.count("*").alias("lines"), F.min("_at").alias("first"), F.min(F.when(_is_content(), F.col("_at"))).alias("content"))
+    name = F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy("name", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.first(F.when(F.col("content").isNotNull(), F.struct("_block", "content")), ignorenulls=True).over(in_file)
+    found = counted.withColumns({"name": name, "head": head})
+    found = found.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    return durable(found.select("_file", "_block", "first", "before", F.col("head._block").alias("head_block"), F.col("head.content").alias("head_at")))
 
 
-def _plain(name: str) -> str:
-    name = unquote(name)
-    return "file:/" + name[len("file:"):].lstrip("/") if name.startswith("file:") else name
+def with_arrival(lines: DataFrame) -> DataFrame:
+    """Number the lines of text files by file name and place in the file, from 0 on without gaps."""
+    placed = _placed(lines)
+    numbered = placed.join(broadcast_if_small(_blocks(placed)), ["_file", "_block"])
+    return numbered.select(*lines.columns, (F.col("before") + F.col("_at") - F.col("first")).alias("arrival_seq"))
+
+
+def _content(spark: SparkSession, path: str, needed: list[str], known: list[str] | None = None) -> DataFrame:
+    """Lines below the header of their file: ``value, cells, header`` (its names), ``file, arrival_seq``.
+
+    The first line of a file that is neither blank nor a comment is its header. Files without one, or whose header lacks
+    a needed column, has one twice or (with ``known``) one that is not known, are an error. Blank lines and comments are
+    left out. The text is read three times: counts per block, headers, rows.
+    """
+    try:
+        placed = _placed(spark.read.text(path))
+        blocks = _blocks(placed)
+    except Exception as err:
+        raise FlowDataError(f"unable to read {path}") from err
+    blocks = broadcast_if_small(blocks)
+    own_head = (F.col("_block") == F.col("head_block")) & (F.col("_at") == F.col("head_at"))
+    names = F.transform(F.split("value", ","), lambda c: F.trim(c))
+    headers = durable(placed.join(blocks, ["_file", "_block"]).where(own_head).select("_file", names.alias("header")))
+    wrong = {
+        "no column " + n: ~F.array_contains("header", n) for n in needed} | {"a column twice": F.size("header") != F.size(F.array_distinct("header"))}
+    if known is not None:
+        wrong["an unknown column"] = F.size(F.array_except("header", F.array(*[F.lit(n) for n in known]))) > 0
+    fault = F.coalesce(*[F.when(holds, F.lit(text)) for text, holds in wrong.items()])
+    bad = headers.select(F.col("_file").alias("file"), fault.alias("fault")).where("fault IS NOT NULL").first()
+    if bad is not None:
+        raise FlowDataError(f"{bad.file} has {bad.fault}")
+    lost = blocks.where("head_at IS NULL").first()
+    if lost is not None or headers.isEmpty():
+        raise FlowDataError(f"{lost["_file"] if lost else path} has no header")
+    # Joined by block, not by file: a file of any size spreads.
+    found = placed.join(broadcast_if_small(blocks.join(headers, "_file")), ["_file", "_block"])
+    return found.where(_is_content() & ~own_head).select(
+        F.trim("value").alias("value"), F.transform(F.split(F.trim("value"), ","), lambda c: F.trim(c)).alias("cells"), "header", F.col("_file").alias("file"),
+        (F.col("before") + F.col("_at") - F.col("first")).alias("arrival_seq"))
+
+
+def _cell(name: str) -> Column:
+    """The cell below a name of the row's own header; null if either is missing."""
+    return F.get("cells", (F.array_position("header", name) - 1).cast("int"))
 
 
 def _number(text: Column, low: int, high: int) -> Column:
-    value = text.try_cast("bigint")
-    return F.when(text.rlike(r"^-?\d+$") & value.between(low, high), value)
+    value = text.try_cast("bigint" if high <= _INT64 else "decimal(20,0)")
+    return F.when(text.rlike(r"^-?\d+$") & value.between(low, high if high <= _INT64 else F.lit(Decimal(high))), value)
 
 
 # Address versions and transport protocols a profile may have (ICMP, TCP, UDP, ICMPv6).
 L3, L4 = (4, 6), (1, 6, 17, 58)
 
 
-def parse_profile(lines: DataFrame, header: list[str], skip_unknown: bool = False) -> Parsed:
+def parse_profile(lines: DataFrame, header: list[str], skip_unknown: bool = False, wide: bool = False) -> Parsed:
     """Profile lines (``value``) -> typed rows. ``header`` gives the column order, SRC_IP and DST_IP are optional.
 
     Rejected lines carry ``error``; with ``skip_unknown`` a line with an unknown transport protocol is only skipped,
-    which its ``skipped`` flag tells.
+    which its ``skipped`` flag tells. Counters are 64-bit integers; with ``wide`` they are decimals and may go up to
+    2**64 - 1.
     """
     known = [*PROFILE_HEADER, "SRC_IP", "DST_IP"]
     for name in header:
@@ -114,15 +150,21 @@ def parse_profile(lines: DataFrame, header: list[str], skip_unknown: bool = Fals
         raise FlowDataError("a header component appears twice")
     if set(PROFILE_HEADER) - set(header):
         raise FlowDataError(f"components {sorted(set(PROFILE_HEADER) - set(header))} missing in header")
-    cells = lines.withColumn("_cells", F.transform(F.split("value", ","), lambda c: F.trim(c)))
-    cell = {n: F.try_element_at("_cells", F.lit(i + 1)) for i, n in enumerate(header)}
+    keep = [c for c in lines.columns if c != "value"]
+    cells = lines.withColumns({"cells": F.transform(F.split("value", ","), lambda c: F.trim(c)), "header": F.array(*[F.lit(n) for n in header])})
+    return _profile_rows(cells, keep, [n for n in ("SRC_IP", "DST_IP") if n in header], skip_unknown, wide)
+
+
+def _profile_rows(cells: DataFrame, keep: list[str], addresses: list[str], skip_unknown: bool, wide: bool) -> Parsed:
+    most = _UINT64 if wide else _INT64
+    cell = {n: _cell(n) for n in [*PROFILE_HEADER, *addresses]}
     limits = {
-        "START_TIME": (-_UINT64, _UINT64), "END_TIME": (-_UINT64, _UINT64), "L3_PROTO": (0, 255), "L4_PROTO": (0, 255),
-        "SRC_PORT": (0, 65535), "DST_PORT": (0, 65535), **{c: (0, _UINT64) for c in PROFILE_HEADER[6:]},
+        "START_TIME": (-_INT64, _INT64), "END_TIME": (-_INT64, _INT64), "L3_PROTO": (0, 255), "L4_PROTO": (0, 255),
+        "SRC_PORT": (0, 65535), "DST_PORT": (0, 65535), **{c: (0, most) for c in PROFILE_HEADER[6:]},
     }
     values = {n: _number(F.when(cell[n] == "", "0").otherwise(cell[n]) if n.endswith("_PORT") else cell[n], *b) for n, b in limits.items()}
-    typed = cells.withColumns({n.lower(): v.cast("int" if n.endswith(("PROTO", "PORT")) else "long") for n, v in values.items()})
-    addresses = [n for n in ("SRC_IP", "DST_IP") if n in cell]
+    typed = cells.withColumns({
+        n.lower(): v.cast("int" if n.endswith(("PROTO", "PORT")) else "decimal(20,0)" if limits[n][1] > _INT64 else "long") for n, v in values.items()})
     typed = typed.withColumns({n.lower(): F.when(cell[n] != "", ip_parse(cell[n])) for n in addresses})
 
     def unreadable(names: list[str]) -> list[tuple[str, str, Column]]:
@@ -131,7 +173,7 @@ def parse_profile(lines: DataFrame, header: list[str], skip_unknown: bool = Fals
     # what a row may fail, as (column, reason, failed); the first that holds is told
     digits = F.when(F.col("l3_proto") == 4, 8).otherwise(32)
     checks = [
-        ("line", "cells do not match the header", F.size("_cells") != len(header)),
+        ("line", "cells do not match the header", F.size("cells") != F.size("header")),
         *unreadable(PROFILE_HEADER[:3]), ("l3_proto", "not supported", ~F.col("l3_proto").isin(*L3)),
         *unreadable(["L4_PROTO"]), ("l4_proto", "not supported", ~F.col("l4_proto").isin(*L4)),
         *unreadable(PROFILE_HEADER[4:]),
@@ -144,16 +186,16 @@ def parse_profile(lines: DataFrame, header: list[str], skip_unknown: bool = Fals
     good = judged.where(F.col("error").isNull()).withColumns(
         {c: F.when(no_ports, 0).otherwise(F.col(c)) for c in ("src_port", "dst_port")})
     skipped = F.lit(skip_unknown) & (F.col("error") == "l4_proto: not supported")
-    keep = [c for c in lines.columns if c != "value"]
     return Parsed(
         good.select(*keep, *PROFILE_COLUMNS, *[n.lower() for n in addresses]),
         judged.where(F.col("error").isNotNull()).select(*keep, "value", "error", skipped.alias("skipped")))
 
 
-def read_profile(spark: SparkSession, path: str, skip_unknown: bool = False) -> Parsed:
-    header = _header(spark, path)
-    lines = _lines(spark, path).where(F.col("value") != header)
-    return parse_profile(lines, [c.strip() for c in header.split(",")], skip_unknown)
+def read_profile(spark: SparkSession, path: str, skip_unknown: bool = False, wide: bool = False) -> Parsed:
+    """Profile CSV files, each with the columns in the order of its own header."""
+    lines = _content(spark, path, PROFILE_HEADER, [*PROFILE_HEADER, "SRC_IP", "DST_IP"])
+    named = lines.agg(*[F.coalesce(F.bool_or(F.array_contains("header", n)), F.lit(False)).alias(n) for n in ("SRC_IP", "DST_IP")]).first()
+    return _profile_rows(lines, [], [n for n in ("SRC_IP", "DST_IP") if named[n]], skip_unknown, wide)
 
 
 def strict_profile(parsed: DataFrame) -> Parsed:
@@ -184,17 +226,9 @@ def _typed(rows: DataFrame, values: dict[str, Column], keep: list[str]) -> Parse
 
 
 def read_rawflow(spark: SparkSession, path: str, where: str | None = None, limit: int | None = None) -> Parsed:
-    """Raw flow CSV (start and duration in float seconds) with ``arrival_seq`` in file order."""
-    header = _header(spark, path)
-    names = [c.strip() for c in header.split(",")]
+    """Raw flow CSV (start and duration in float seconds) with ``arrival_seq`` in file order; each file has its own header."""
     needed = [f.name.upper() for f in RAWFLOW.fields]
-    for name in needed:
-        if name not in names:
-            raise FlowDataError(f"field {name!r} not present in the CSV file")
-    numbered = with_arrival(spark.read.text(path)).withColumn("value", F.trim("value"))
-    lines = numbered.where((F.col("value") != "") & ~F.col("value").startswith("#") & (F.col("value") != header))
-    cells = F.transform(F.split("value", ","), lambda c: F.trim(c))
-    parsed = _typed(lines, {n.lower(): F.try_element_at(cells, F.lit(names.index(n) + 1)) for n in needed}, ["arrival_seq"])
+    parsed = _typed(_content(spark, path, needed), {n.lower(): _cell(n) for n in needed}, ["arrival_seq"])
     return Parsed(_narrowed(parsed.rows, where, limit), parsed.rejected)
 
 

@@ -30,7 +30,3 @@ def write_report(report: DataFrame, path: str, gzip: bool = False) -> int:
     columns = [ip_format(F.col(c)).alias(c) if c.endswith("_ip") else F.col(c) for c in REPORT_COLUMNS]
     return _write(report.select(*columns), path, gzip)
 
-
-def write_table(df: DataFrame, path: str) -> int:
-    """Any result table (comparison, metrics) as CSV."""
-    return _write(df, path, False)
