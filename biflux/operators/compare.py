@@ -4,6 +4,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from biflux.functions.ip import ip_format
 from biflux.functions.keys import with_canonical_key
 from biflux.functions.scalars import rel_diff_truncated
 from biflux.operators.segments import COMPLEMENT, Segment, complement, in_any, segment_label, segment_predicate
@@ -62,8 +63,9 @@ def add_run_start(reference: DataFrame, start_time: int) -> DataFrame:
 
 
 def drop_multicast(flows: DataFrame) -> DataFrame:
-    """Drop the IPv4 broadcast and the link-local IPv6 multicast destinations (ff02::...)."""
-    return flows.where((F.col("dst_ip") != "ffffffff") & ~((F.length("dst_ip") == 32) & F.col("dst_ip").startswith("ff020000")))
+    """Drop the IPv4 broadcast and the link-local IPv6 multicast destinations whose text begins with ``ff02::``."""
+    multicast = (F.length("dst_ip") == 32) & F.when(F.col("dst_ip").startswith("ff020000"), ip_format(F.col("dst_ip")).startswith("ff02::")).otherwise(False)
+    return flows.where((F.col("dst_ip") != "ffffffff") & ~multicast)
 
 
 def merge_flows(flows: DataFrame) -> DataFrame:

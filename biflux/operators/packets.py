@@ -1,12 +1,14 @@
 """Operators on packet tables: metering, order, pacing, queues, reassembly into biflows."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from biflux.functions.keys import CANON, with_canonical_key
 from biflux.functions.scalars import diff_ratio, mbps_to_bytes_per_second
 from biflux.functions.xxh32 import ip_hash
 from biflux.schemas import REPORT_COLUMNS
-from biflux.skew import global_scan
+from biflux.skew import global_scan, keyed_scan
 
 PACKET_ORDER = ["ts_ns", "flow_id", "seq"]
 NS = 1_000_000_000
@@ -51,9 +53,9 @@ def desired_vs_metered(desired: DataFrame, report: DataFrame) -> DataFrame:
         for w in ("packets", "bytes")])))
 
 
-def merge_by_time(packets: DataFrame) -> DataFrame:
-    """All packets in sending order: a range-partitioned sort."""
-    return packets.orderBy(*PACKET_ORDER)
+def merge_by_time(*tables: DataFrame) -> DataFrame:
+    """Packets of several tables in sending order, as one range-partitioned sort."""
+    return reduce(DataFrame.unionByName, tables).orderBy(*PACKET_ORDER)
 
 
 def with_position(packets: DataFrame, order: list[str]) -> DataFrame:
@@ -125,9 +127,13 @@ def _reassembled(packets: DataFrame, min_size: int) -> tuple[DataFrame, DataFram
         F.col("mpls_label").alias("mpls_low"), F.col("mpls_label").alias("mpls_high"), F.lit(0).cast("long").alias("fragmented"),
         (F.col("size") > min_size).cast("long").alias("over_min_size"))
     more, last = F.col("frag_flag") == "more", F.col("frag_flag") == "last"
+    # A last fragment ends its packet; what follows under the same id is another one.
+    owner = ["src_ip", "dst_ip", "l3_proto", "frag_id"]
+    pieces = packets.where(F.col("frag_flag") != "none").withColumn("_ends", last.cast("long"))
+    pieces = keyed_scan(pieces, owner, ["ts_ns", "seq", "_ends", "size"], {"_piece": F.floor(F.col("ts_ns") / 60_000_000_000)}, total={"_session": F.col("_ends")})
     # Ports and protocol are only known from the first fragment.
     first = F.struct("ts_ns", "seq")
-    grouped = packets.where(F.col("frag_flag") != "none").groupBy("src_ip", "dst_ip", "l3_proto", "frag_id").agg(
+    grouped = pieces.groupBy(*owner, "_session").agg(
         F.min("ts_ns").alias("ts_ns"), F.max(F.when(last, F.col("ts_ns"))).alias("last_ns"),
         *[F.min_by(c, first).alias(c) for c in ("src_port", "dst_port", "l4_proto")],
         F.sum("size").alias("size"), F.count("*").alias("packets"),
@@ -139,7 +145,7 @@ def _reassembled(packets: DataFrame, min_size: int) -> tuple[DataFrame, DataFram
         "ts_ns", "src_ip", "dst_ip", "src_port", "dst_port", "l3_proto", "l4_proto", "size", "packets",
         "vlan_low", "vlan_high", "mpls_low", "mpls_high", F.col("last").alias("fragmented"), F.col("last").alias("over_min_size"))
     broken = grouped.where(~complete).select(
-        "src_ip", "dst_ip", F.col("frag_id"),
+        "src_ip", "dst_ip", F.col("frag_id"), "ts_ns",
         F.when(F.col("last") == 0, "unmatched fragments left").otherwise("fragment without a beginning").alias("error"))
     return whole.unionByName(joined), broken
 
@@ -147,6 +153,9 @@ def _reassembled(packets: DataFrame, min_size: int) -> tuple[DataFrame, DataFram
 def packets_to_biflows(packets: DataFrame, min_size: int = 512) -> tuple[DataFrame, DataFrame]:
     """Packets -> biflows in the direction of the first packet, and the fragments that do not fit together.
 
+    Fragments of one id are read by time: each last one completes the packet of those before it, so an id may be used
+    again; a last one without any before it, and fragments that no last one follows, are broken (``ts_ns`` is their first).
+
     ``error`` marks flows whose packets differ in VLAN or MPLS label.
     """
     parts, broken = _reassembled(packets, min_size)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 
 from biflux.functions.ip import ip_add
 from biflux.schemas import FLOW_KEY, UNIFLOW_COLUMNS, FlowDataError
-from biflux.skew import keyed_scan
+from biflux.skew import global_scan, heavy_keys, keyed_scan
 
 _PIECE_ROWS = 1_000_000
 
@@ -133,6 +133,7 @@ def merge_across_loops(
     order = ["loop", index]
     piece = {"piece_loop": F.col("loop"), "piece_no": F.floor(F.col(index) / _PIECE_ROWS)}
     base = replicated.select(*UNIFLOW_COLUMNS, *order)
+    heavy = heavy_keys(base, FLOW_KEY) if heavy is None else heavy  # searched once for both scans
     marked = keyed_scan(base, FLOW_KEY, order, piece, lag={"previous_end": F.col("end_time")}, heavy=heavy)
     opens = F.coalesce(F.col("start_time") - F.col("previous_end") >= inactive_timeout * 1000, F.lit(False))
     marked = marked.withColumn("opens", opens.cast("int"))
@@ -151,10 +152,14 @@ def replicate_reference(
     ignore_loops: list[int] | None = None,
     index: str | None = None,
 ) -> DataFrame:
-    """Config in, expected uniflow table out. ``index`` is the position of a source row (needed for ``merge``)."""
+    """Config in, expected uniflow table out. ``index`` is the position of a source row, which ``merge`` follows.
+
+    Without one, rows are numbered in the order of all their columns, so the result does not depend on partitions or
+    retries; readers give the position in the files as ``arrival_seq``.
+    """
     plan = ReplicationPlan.from_config(config, ignore_loops)
     if merge and index is None:
-        flows, index = flows.withColumn("_index", F.monotonically_increasing_id()), "_index"
+        flows, index = global_scan(flows.select(*UNIFLOW_COLUMNS), UNIFLOW_COLUMNS, total={"_index": F.lit(1).cast("long")}), "_index"
     copied = replicate(flows, plan, loops, speed)
     if merge:
         return merge_across_loops(copied, index, inactive_timeout)

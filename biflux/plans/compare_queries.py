@@ -163,7 +163,8 @@ def _multicast(spark, sf_dir):
     # Every 50th reference row is sent to a broadcast or a link-local multicast address first.
     ref = view(spark, sf_dir, "ref_flows")
     planted = ref.withColumn("dst_ip", F.when(F.col("src_port") % 50 == 0, "ffffffff").when(
-        F.col("src_port") % 50 == 1, "ff0200000000000000000000000000fb").otherwise(F.col("dst_ip")))
+        F.col("src_port") % 50 == 1, "ff0200000000000000000000000000fb").when(  # ff02:0:1::5 and ff02:0:0:1::5 are others
+        F.col("src_port") % 50 == 2, "ff020000000100000000000000000005").when(F.col("src_port") % 50 == 3, "ff020000000000010000000000000005").otherwise(F.col("dst_ip")))
     kept = compare.drop_multicast(planted)
     return kept.groupBy("protocol").agg(F.count("*").alias("flows"), F.sum("packets").alias("packets"))
 
@@ -299,10 +300,12 @@ LOOPING = {"units": [{"srcip": "None"}], "loop": {"srcip": "addOffset(1)"}}
 
 def _few_keys(spark, sf_dir):
     """Reference rows folded onto few 5-tuples, so that loops and neighbours meet."""
-    ref = view(spark, sf_dir, "ref_flows").where(F.length("src_ip") == 8)
-    index = (F.col("src_port") - 1024).cast("long")
+    ref = view(spark, sf_dir, "ref_flows")
+    index, four = (F.col("src_port") - 1024).cast("long"), F.length("src_ip") == 8
     return ref.withColumns({
-        "idx": index, "src_ip": F.lower(F.lpad(F.hex(167772160 + index % 64), 8, "0")), "dst_ip": F.lit("c0a80001"),
+        "idx": index, "src_ip": F.when(four, F.lower(F.lpad(F.hex(167772160 + index % 64), 8, "0"))).otherwise(
+            F.concat(F.lit("20010db8"), F.lower(F.lpad(F.hex(index % 7), 24, "0")))),
+        "dst_ip": F.when(four, F.lit("c0a80001")).otherwise(F.lit("20010db8" + "0" * 23 + "1")),
         "src_port": F.lit(4000), "dst_port": F.lit(53), "protocol": F.lit(17),
         "end_time": F.least(F.col("end_time"), F.col("start_time") + 60_000),
     })
@@ -313,15 +316,17 @@ def _across(spark, sf_dir):
     return replicate.merge_across_loops(replicate.replicate(_few_keys(spark, sf_dir), plan, 3), "idx", 30)
 
 
-_FEW_SQL = """SELECT src_port - 1024 AS idx, '0a0000' || lower(lpad(to_hex((src_port - 1024) % 64), 2, '0')) AS src_ip, start_time,
-    least(end_time, start_time + 60000) AS end_time, packets, bytes FROM ref_flows WHERE length(src_ip) = 8"""
+_FEW_SQL = """SELECT src_port - 1024 AS idx, CASE length(src_ip) WHEN 8 THEN '0a0000' || lower(lpad(to_hex((src_port - 1024) % 64), 2, '0'))
+      ELSE '20010db8' || lower(lpad(to_hex((src_port - 1024) % 7), 24, '0')) END AS src_ip, start_time,
+    least(end_time, start_time + 60000) AS end_time, packets, bytes FROM ref_flows"""
 _ACROSS_SQL = cte("ref_flows", few=_FEW_SQL, copies=f"""
     SELECT {_add_sql('src_ip', 'loop')} AS src_ip, loop, idx, start_time + loop * len AS start_time, end_time + loop * len AS end_time,
       packets, bytes FROM few, (SELECT max(end_time) - min(start_time) AS len FROM few) l, (VALUES (0), (1), (2)) v(loop)""",
   gaps="""SELECT *, CASE WHEN start_time - lag(end_time) OVER (PARTITION BY src_ip ORDER BY loop, idx) >= 30000 THEN 1 ELSE 0 END AS opens
     FROM copies""",
   islands="SELECT *, sum(opens) OVER (PARTITION BY src_ip ORDER BY loop, idx) AS island FROM gaps") + """
-  SELECT min(start_time) AS start_time, max(end_time) AS end_time, 17 AS protocol, src_ip, 'c0a80001' AS dst_ip, 4000 AS src_port,
+  SELECT min(start_time) AS start_time, max(end_time) AS end_time, 17 AS protocol, src_ip,
+    CASE length(src_ip) WHEN 8 THEN 'c0a80001' ELSE '20010db800000000000000000000000' || '1' END AS dst_ip, 4000 AS src_port,
     53 AS dst_port, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM islands GROUP BY src_ip, island"""
 
 

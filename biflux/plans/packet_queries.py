@@ -28,13 +28,25 @@ def _desired(spark, sf_dir):
 
 
 _TURN = "CASE WHEN {s} THEN {a} ELSE {b} END"
+def _fragmented(spark, sf_dir):
+    """Packets of which the later ones of a flow are fragments, with ids that are used again and ends before beginnings."""
+    later = F.col("seq") > 2
+    return _packets(spark, sf_dir).withColumns({
+        "frag_flag": F.when(~later, "none").when((F.floor(F.col("size") / 40) + F.col("seq")) % 3 == 0, "last").otherwise("more"),
+        "frag_id": F.when(later, 7 + F.col("seq") % 2).otherwise(0).cast("long")})
+
+
 _BIFLOW_SQL = {
+    "cut": """SELECT * REPLACE (CASE WHEN seq <= 2 THEN 'none' WHEN (size // 40 + seq) % 3 = 0 THEN 'last' ELSE 'more' END AS frag_flag,
+        CAST(CASE WHEN seq > 2 THEN 7 + seq % 2 ELSE 0 END AS BIGINT) AS frag_id) FROM packets""",
+    "marked": """SELECT *, coalesce(sum(CASE frag_flag WHEN 'last' THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip, dst_ip, l3_proto, frag_id ORDER BY ts_ns, seq, frag_flag = 'last', size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM cut WHERE frag_flag <> 'none'""",
     "whole": """SELECT ts_ns, src_ip, dst_ip, src_port, dst_port, l3_proto, l4_proto, size, 1 AS packets, vlan_id AS v1, vlan_id AS v2,
-        0 AS fragmented, CASE WHEN size > 512 THEN 1 ELSE 0 END AS over_min_size FROM packets WHERE frag_flag = 'none'""",
+        0 AS fragmented, CASE WHEN size > 512 THEN 1 ELSE 0 END AS over_min_size FROM cut WHERE frag_flag = 'none'""",
     "frags": """SELECT min(ts_ns) AS ts_ns, src_ip, dst_ip, any_value(src_port) AS src_port, any_value(dst_port) AS dst_port, l3_proto,
         any_value(l4_proto) AS l4_proto, sum(size) AS size, count(*) AS packets, min(vlan_id) AS v1, max(vlan_id) AS v2,
         count(*) FILTER (frag_flag = 'last') AS fragmented, count(*) FILTER (frag_flag = 'last') AS over_min_size,
-        count(*) FILTER (frag_flag = 'more') AS more, frag_id FROM packets WHERE frag_flag <> 'none' GROUP BY src_ip, dst_ip, l3_proto, frag_id""",
+        count(*) FILTER (frag_flag = 'more') AS more, frag_id FROM marked GROUP BY src_ip, dst_ip, l3_proto, frag_id, session""",
     "parts": "SELECT * FROM whole UNION ALL SELECT * EXCLUDE (more, frag_id) FROM frags WHERE more > 0 AND fragmented > 0",
     "keyed": """SELECT *, src_ip > dst_ip AS swap FROM parts""",
     "flows": """SELECT least(src_ip, dst_ip) AS a_ip, greatest(src_ip, dst_ip) AS b_ip, CASE WHEN swap THEN dst_port ELSE src_port END AS a_port,
@@ -212,9 +224,9 @@ QUERIES = {
           CAST(abs(sum(dp) - sum(mp)) AS DOUBLE) / CAST(sum(dp) AS DOUBLE) AS total_diff, round(avg(CASE WHEN dp = 0 THEN 0 ELSE abs(dp - mp)::DOUBLE / dp END), 6) AS mean_diff FROM j
         UNION ALL SELECT 'bytes', CAST(sum(db) AS BIGINT), CAST(sum(mb) AS BIGINT), CAST(abs(sum(db) - sum(mb)) AS DOUBLE) / CAST(sum(db) AS DOUBLE),
           round(avg(CASE WHEN db = 0 THEN 0 ELSE abs(db - mb)::DOUBLE / db END), 6) FROM j"""),
-    "packets_to_biflows": (lambda s, d: pk.packets_to_biflows(_packets(s, d))[0], _biflows_sql()),
-    "broken_fragments": (lambda s, d: pk.packets_to_biflows(_packets(s, d))[1], cte("packets", frags=_BIFLOW_SQL["frags"]) + """
-        SELECT src_ip, dst_ip, frag_id, CASE WHEN fragmented = 0 THEN 'unmatched fragments left' ELSE 'fragment without a beginning' END AS error
+    "packets_to_biflows": (lambda s, d: pk.packets_to_biflows(_fragmented(s, d))[0], _biflows_sql()),
+    "broken_fragments": (lambda s, d: pk.packets_to_biflows(_fragmented(s, d))[1], cte("packets", **{k: _BIFLOW_SQL[k] for k in ("cut", "marked", "frags")}) + """
+        SELECT src_ip, dst_ip, frag_id, ts_ns, CASE WHEN fragmented = 0 THEN 'unmatched fragments left' ELSE 'fragment without a beginning' END AS error
         FROM frags WHERE more = 0 OR fragmented = 0"""),
     "compare_biflows": (_compare_biflows, cte("packets", keys="SELECT DISTINCT flow_id FROM packets") + """
         SELECT CASE WHEN flow_id % 50 = 0 THEN 'left_only' WHEN flow_id % 40 = 0 THEN 'different' ELSE 'swapped' END AS outcome, count(*) AS flows

@@ -136,8 +136,9 @@ def _threshold(spark, sf_dir):
 
 
 def _ranges(spark, sf_dir):
-    ranges = view(spark, sf_dir, "ref_flows").where(F.length("src_ip") == 8).select(
-        F.concat(F.substring("src_ip", 1, 6), F.lit("00")).alias("low"), F.concat(F.substring("src_ip", 1, 6), F.lit("ff")).alias("high")).distinct()
+    """Ranges of 256 addresses of both versions."""
+    net = F.substring("src_ip", F.lit(1), F.length("src_ip") - 2)
+    ranges = view(spark, sf_dir, "ref_flows").select(F.concat(net, F.lit("00")).alias("low"), F.concat(net, F.lit("ff")).alias("high")).distinct()
     return scenario.extended_range_table(ranges, [0, 256], 1024, 3)
 
 
@@ -221,7 +222,7 @@ QUERIES = {
       p AS (SELECT *, speed < 5000 + probe * 500 AS passed FROM r), f AS (SELECT probe, min(speed) FILTER (NOT passed) AS fails_at FROM p GROUP BY probe),
       b AS (SELECT f.probe, any_value(fails_at) AS fails_at, CAST(greatest(coalesce(max(speed) FILTER (passed AND (fails_at IS NULL OR speed < fails_at)), 1000), 1000) AS INTEGER) AS speed
         FROM f JOIN p ON p.probe = f.probe GROUP BY f.probe) SELECT probe, fails_at, speed, speed >= 20000 AS passed FROM b"""),
-    "extended_ranges": (_ranges, cte("ref_flows", nets="SELECT DISTINCT substr(src_ip, 1, 6) || '00' AS low, substr(src_ip, 1, 6) || 'ff' AS high FROM ref_flows WHERE length(src_ip) = 8") + f"""
+    "extended_ranges": (_ranges, cte("ref_flows", nets="SELECT DISTINCT substr(src_ip, 1, length(src_ip) - 2) || '00' AS low, substr(src_ip, 1, length(src_ip) - 2) || 'ff' AS high FROM ref_flows") + f"""
         SELECT DISTINCT {cq._add_sql('low', 'o')} AS low, {cq._add_sql('high', 'o')} AS high FROM nets, (VALUES (0), (256), (1024), (1280), (2048), (2304)) v(o)"""),
     "stream_profile": (_stream_profile, pq.profile_sql()),
     "stream_limited": (_stream_limited, pq.profile_sql("""SELECT * REPLACE (st + (en - st) // 2 AS en,

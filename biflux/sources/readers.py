@@ -31,9 +31,9 @@ def as_uniflow(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     return read_uniflow(spark, source)
 
 
-def read_uniflow(spark: SparkSession, path: str, where: str | None = None, limit: int | None = None) -> DataFrame:
+def read_uniflow(spark: SparkSession, path: str, where: str | None = None, limit: int | None = None, numbered: bool = False) -> DataFrame:
     """Exported or expected flow CSV. Each file's own header gives its order of columns; empty ports are 0; a bad cell fails
-    the read, and so does a file without one of the columns."""
+    the read, and so does a file without one of the columns. ``numbered`` adds ``arrival_seq``, the place in the files."""
     lines = _content(spark, path, [f.name.upper() for f in UNIFLOW.fields])
 
     def typed(name: str, kind: str) -> Column:
@@ -44,7 +44,8 @@ def read_uniflow(spark: SparkSession, path: str, where: str | None = None, limit
         reason = F.concat(F.lit(f"{name} unreadable in "), "file", F.lit(": "), "value")
         return F.when(value.isNull(), F.raise_error(reason)).otherwise(value).cast(kind).alias(name.lower())
 
-    flows = lines.select(*[typed(f.name.upper(), f.dataType.simpleString()) for f in UNIFLOW.fields])
+    place = ["arrival_seq"] if numbered else []
+    flows = lines.select(*[typed(f.name.upper(), f.dataType.simpleString()) for f in UNIFLOW.fields], *place)
     return _narrowed(flows, where, limit)
 
 

@@ -92,3 +92,19 @@ def test_scenario_helpers():
     assert [s.source for s in segments[:4]] == ["64.0.0.0/8", "4000::/8", "65.0.0.0/8", "4100::/8"] and segments[4].source == "70.0.0.0/8"
     assert scenario.bisection_step(0, 1000, 100) == 500 and scenario.bisection_step(0, 90, 100) is None
     assert scenario.extended_ranges(["10.0.0.0/24"], [0, 256], 1024, 2) == ["10.0.0.0/24", "10.0.1.0/24", "10.0.4.0/24", "10.0.5.0/24"]
+
+
+def test_fragments_of_a_reused_id(spark):
+    """(time, flag): an end before any beginning, two packets under one id, a rest without an end."""
+    from biflux.operators import packets as pk
+
+    flags = [(1, "last"), (2, "more"), (3, "more"), (4, "last"), (5, "more"), (6, "last"), (7, "last"), (8, "more")]
+    rows = [(t * 10**6, t, "0a000001", "0a000002", 5, 6, 4, 17, 100, 0, 0, 9, f) for t, f in flags] + [(10**7, 9, "0a000001", "0a000002", 5, 6, 4, 17, 600, 0, 0, 0, "none")]
+    schema = "ts_ns long, seq int, src_ip string, dst_ip string, src_port int, dst_port int, l3_proto int, l4_proto int, size long, vlan_id int, mpls_label int, frag_id long, frag_flag string"
+    flows, broken = pk.packets_to_biflows(spark.createDataFrame(rows, schema).repartition(4))
+    assert sorted((r.ts_ns // 10**6, r.error) for r in broken.collect()) == [
+        (1, "fragment without a beginning"), (7, "fragment without a beginning"), (8, "unmatched fragments left")]
+    flow = flows.first()
+    assert (flow.packets, flow.bytes, flow.fragmented, flow.over_min_size) == (6, 1100, 2, 3)
+    merged = [r.ts_ns for r in pk.merge_by_time(*[spark.createDataFrame([rows[k]], schema).withColumn("flow_id", pk.F.lit(1)) for k in (5, 0, 3)]).collect()]
+    assert merged == sorted(merged)

@@ -67,3 +67,14 @@ def test_counter_is_fine_in_ignored_loops():
 
 def test_loop_only():
     assert parse_loop_only("All") == frozenset() and parse_loop_only(2) == {2} and parse_loop_only([1, "3-5"]) == {1, 3, 4, 5}
+
+
+def test_merge_without_an_index_does_not_depend_on_partitions(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(s := rng.randrange(0, 400_000, 1000), s + rng.randrange(90_000), 6, f"0a0000{rng.randrange(3):02x}", "c0a80001", 5, 6, rng.randrange(9), rng.randrange(99)) for _ in range(300)]
+    flows = spark.createDataFrame(rows + rows[:20], UNIFLOW)
+    plan = {"units": [{"srcip": "None"}, {"srcip": "addConstant(1)"}], "loop": {"srcip": "addOffset(1)"}}
+    found = [sorted(map(tuple, replicate_reference(flows.repartition(n), plan, 3, merge=True, inactive_timeout=20).collect())) for n in (1, 7, 64)]
+    assert found[0] == found[1] == found[2] and 0 < len(found[0]) < 3 * 2 * 320
