@@ -5,6 +5,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from biflux.functions.scalars import rel_diff_percent, size_class
+from biflux.runtime import durable
+from biflux.skew import global_scan
 
 SIZE_CLASSES = ["small", "medium", "large", "huge"]
 DEFAULT_THRESHOLD = 0.005
@@ -29,8 +31,15 @@ def profile_span(profile: DataFrame, window_length: int = DEFAULT_WINDOW) -> Spa
     return Span(*profile.agg(F.min("start_time"), windows.cast("long")).first())
 
 
-def _item(group: str, key: Column, amount: Column) -> Column:
-    return F.struct(F.lit(group).alias("grp"), key.cast("string").alias("name"), amount.cast("double").alias("amount"))
+_STEP = "decimal(38,12)"
+
+
+def _item(group: str, key: Column, amount: Column | None, step: Column | None = None) -> Column:
+    """A summand; ``step`` is for amounts that are taken away again later and must then leave exactly nothing."""
+    none = F.lit(None)
+    return F.struct(
+        F.lit(group).alias("grp"), key.cast("string").alias("name"), (none if amount is None else amount).cast("double").alias("amount"),
+        (none if step is None else step).cast(_STEP).alias("step"))
 
 
 def _window_steps(span: Span, window_length: int) -> list[Column]:
@@ -45,29 +54,36 @@ def _window_steps(span: Span, window_length: int) -> list[Column]:
     first_window = F.least(F.floor(start / length), last)
     last_window = F.least(F.floor(end / length), last)
     rate = _both("packets") / F.nullif(end - start, F.lit(0))
-    head = (F.least((first_window + 1) * length, end) - start) * rate
-    tail = (end - last_window * length) * rate
-    whole = length * rate
+    head, tail, whole = (x.cast(_STEP) for x in (
+        (F.least((first_window + 1) * length, end) - start) * rate, (end - last_window * length) * rate, length * rate))
     one = [(first_window, _both("packets")), (first_window + 1, -_both("packets"))]
     many = [(first_window, head), (first_window + 1, whole - head), (last_window, tail - whole), (last_window + 1, -tail)]
 
     def steps(items) -> Column:
-        return F.array(*[_item("window", w, a) for w, a in items])
+        return F.array(*[_item("window", w, None, a) for w, a in items])
 
     return F.when(first_window == last_window, steps(one)).otherwise(steps(many))
 
 
-def raw_sums(profile: DataFrame, span: Span, window_length: int = DEFAULT_WINDOW, by: list[str] | None = None) -> DataFrame:
-    """All sums the metrics need, from one scan and one aggregation: ``by..., grp, name, amount``."""
+def raw_sums(profile: DataFrame, span: Span, window_length: int = DEFAULT_WINDOW, members: dict[int, Column] | None = None) -> DataFrame:
+    """All sums the metrics need, from one scan and one aggregation: ``grp, name, amount, step``.
+
+    With ``members`` (conditions by candidate number), the sums of every candidate, with a column ``candidate``. A row
+    then carries one flag per candidate, and each sum is an aggregate of its own, so rows are not repeated.
+    """
     one = F.lit(1)
     items = F.array(
         _item("total", F.lit("packets"), _both("packets")), _item("total", F.lit("bytes"), _both("bytes")), _item("total", F.lit("flows"), one),
         _item("l3", F.col("l3_proto"), one), _item("size", size_class(_both("bytes"), _both("packets")), one),
         _item("proto", F.col("l4_proto"), one), _item("port", F.col("src_port"), one), _item("port", F.col("dst_port"), one),
     )
-    by = by or []
-    rows = profile.select(*by, F.inline(F.concat(items, _window_steps(span, window_length))))
-    return rows.groupBy(*by, "grp", "name").agg(F.sum("amount").alias("amount"))
+    members = members or {}
+    rows = profile.select(*[c.alias(f"_m{k}") for k, c in members.items()], F.inline(F.concat(items, _window_steps(span, window_length))))
+    if not members:
+        return rows.groupBy("grp", "name").agg(F.sum("amount").alias("amount"), F.sum("step").alias("step"))
+    sums = rows.groupBy("grp", "name").agg(*[F.sum(F.when(F.col(f"_m{k}"), F.col(c))).alias(f"_{c}{k}") for k in members for c in ("amount", "step")])
+    each = F.array(*[F.struct(F.lit(k).alias("candidate"), F.col(f"_amount{k}").alias("amount"), F.col(f"_step{k}").alias("step")) for k in members])
+    return sums.select("grp", "name", F.inline(each)).where("amount IS NOT NULL OR step IS NOT NULL")
 
 
 def metric_table(
@@ -76,19 +92,20 @@ def metric_table(
     proto_threshold: float = DEFAULT_THRESHOLD,
     port_threshold: float = DEFAULT_THRESHOLD,
     window_length: int = DEFAULT_WINDOW,
-    by: list[str] | None = None,
+    members: dict[int, Column] | None = None,
     totals: bool = False,
 ) -> DataFrame:
-    """Long table ``by..., grp, name, value``: ratios, address version, packet size, protocol, port and window shares
-    and, with ``totals``, the number of flows.
+    """Long table ``grp, name, value``: ratios, address version, packet size, protocol, port and window shares and, with
+    ``totals``, the number of flows. With ``members`` the same per ``candidate``.
 
-    Everything after :func:`raw_sums` works on its small result (at most 256 protocols, 65536 ports and the windows).
+    Everything after :func:`raw_sums` works on its result (at most 256 protocols, 65536 ports and the windows).
     """
-    by = by or []
-    sums = raw_sums(profile, span, window_length, by)
+    by = ["candidate"] if members else []
+    sums = durable(raw_sums(profile, span, window_length, members))
     value = {n: F.max(F.when((F.col("grp") == "total") & (F.col("name") == n), F.col("amount"))) for n in ("packets", "bytes", "flows")}
-    scope = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    sums = sums.select(*sums.columns, *[v.over(scope).alias(f"t_{n}") for n, v in value.items()])
+    # One row, or one per candidate.
+    whole = sums.groupBy(*by).agg(*[v.alias(f"t_{n}") for n, v in value.items()])
+    sums = sums.join(F.broadcast(whole), by) if by else sums.select("*", *[whole.select(f"t_{n}").scalar().alias(f"t_{n}") for n in value])
     packets, octets, flows = (F.col(f"t_{n}") for n in ("packets", "bytes", "flows"))
     keep = [*by, "grp", "name", "value"]
 
@@ -100,15 +117,18 @@ def metric_table(
     threshold = F.when(F.col("grp") == "proto", proto_threshold).when(F.col("grp") == "port", port_threshold).otherwise(0.0)
     shares = sums.where(F.col("grp").isin("l3", "size", "proto", "port"))
     shares = shares.withColumn("value", F.col("amount") / divisor).where(F.col("value") >= threshold).select(*keep)
-    series = Window.partitionBy(*by, "grp").orderBy(F.col("name").cast("long"))
-    steps = sums.where(F.col("grp") == "window").select(
-        *by, "grp", "name", F.sum("amount").over(series).alias("now"),
-        F.lead(F.col("name").cast("long")).over(series).alias("until"), packets.alias("packets"))
-    last = F.coalesce(F.col("until"), F.lit(span.windows)) - 1
     at = F.col("name").cast("long")
-    windows = steps.where(last >= at).select(
-        *by, "grp", F.explode(F.sequence(at, last).cast("array<string>")).alias("name"),
-        (F.greatest(F.col("now"), F.lit(0.0)) / F.col("packets")).alias("value"))
+    steps = sums.where((F.col("grp") == "window") & (at < span.windows)).select(*by, at.alias("at"), "step", packets.alias("packets"))
+    if by:
+        series = Window.partitionBy("candidate").orderBy("at")
+        steps = steps.select("*", F.sum("step").over(series).alias("now"), F.coalesce(F.lead("at").over(series), F.lit(span.windows)).alias("until"))
+        steps = steps.withColumn("at", F.explode(F.sequence(F.col("at"), F.col("until") - 1)))
+    else:  # every window, then a running sum over ranges of them
+        axis = profile.sparkSession.range(span.windows).toDF("at")
+        steps = global_scan(axis.join(steps.drop("packets"), "at", "left"), ["at"], total={"before": F.col("step")})
+        steps = steps.select("at", (F.col("before") + F.coalesce("step", F.lit(0))).alias("now"), whole.select("t_packets").scalar().alias("packets"))
+    windows = steps.select(
+        *by, F.lit("window").alias("grp"), F.col("at").cast("string").alias("name"), (F.col("now").cast("double") / F.col("packets")).alias("value"))
     table = ratios.unionByName(shares).unionByName(windows)
     if totals:
         count = sums.where((F.col("grp") == "total") & (F.col("name") == "flows"))
@@ -127,16 +147,14 @@ def window_rsd(metrics: DataFrame, span: Span) -> DataFrame:
     return inside.select((F.sqrt(F.greatest(variance, F.lit(0.0))) / mean).alias("rsd"))
 
 
-def metric_diff(original: DataFrame, sample: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``by..., grp, name, original, solution, diff`` in percent for every metric of the original."""
-    by = by or []
+def metric_diff(original: DataFrame, sample: DataFrame, candidates: list[int] | None = None) -> DataFrame:
+    """``grp, name, original, solution, diff`` in percent for every metric of the original; with ``candidates``, for each of
+    these."""
+    by = ["candidate"] if candidates else []
     sample = sample.withColumnRenamed("value", "solution")
     original = original.withColumnRenamed("value", "original")
-    if by:
-        candidates = sample.select(*by).distinct()
-        # Every candidate is measured on every metric of the original; both sides are metric tables, not data.
-        names = original.agg(F.collect_list(F.struct("grp", "name", "original")).alias("m")).scalar()
-        original = candidates.select(*by, F.inline(names))
+    if candidates:
+        original = original.withColumn("candidate", F.explode(F.array(*[F.lit(k) for k in candidates])))
     joined = original.join(sample, [*by, "grp", "name"], "left")
     value = F.coalesce(F.col("solution"), F.lit(0.0))
     return joined.select(*by, "grp", "name", "original", value.alias("solution"),
@@ -168,7 +186,9 @@ def timeline(profile: DataFrame, inactive_timeout: int = 30) -> DataFrame:
     """
     start, end = F.floor(F.col("start_time") / 1000), F.floor(F.col("end_time") / 1000)
     seconds = end - start + 1
+    # Decimals: what a flow adds is taken away exactly, however many flows come between.
     rates = {"kpps": _both("packets") / seconds / 1000, "mbps": _both("bytes") * 8 / seconds / (1024 * 1024)}
+    rates = {n: v.cast("decimal(38,16)") for n, v in rates.items()}
 
     def step(at: Column, traffic: int, active: int, starts: int, ends: int) -> Column:
         return F.struct(at.alias("second"), *[(v * traffic).alias(n) for n, v in rates.items()],
@@ -181,8 +201,8 @@ def timeline(profile: DataFrame, inactive_timeout: int = 30) -> DataFrame:
     per_second = profile.select(F.inline(steps)).groupBy("second").agg(*[F.sum(c).alias(c) for c in fields])
     first, last = profile.agg(F.min("start_time"), F.max("end_time")).first()
     axis = profile.sparkSession.range(first // 1000, last // 1000 + inactive_timeout + 1).toDF("second")
-    dense = axis.join(per_second, "second", "left").na.fill(0)
-    running = Window.orderBy("second")
-    return dense.select(
-        "second", F.sum("kpps").over(running).alias("kpps"), F.sum("mbps").over(running).alias("mbps"),
-        F.sum("active").over(running).alias("active"), "starts", "ends")
+    dense = axis.join(per_second, "second", "left").select("second", *[F.coalesce(c, F.lit(0).cast(per_second.schema[c].dataType)).alias(c) for c in fields])
+    running = ["kpps", "mbps", "active"]
+    scanned = global_scan(dense, ["second"], total={f"_{c}": F.col(c) for c in running})
+    return scanned.select(
+        "second", *[(F.col(f"_{c}") + F.col(c)).cast("long" if c == "active" else "double").alias(c) for c in running], "starts", "ends")

@@ -55,17 +55,24 @@ def score_candidates(
     rates = _rates(smallest, largest, candidates)
     span = profile_span(profile, window_length)
     ranked = _ranked(profile, row_id, seed, span, window_length)
-    chosen = F.array_compact(F.array(*[F.when(_member(i, r, seed), F.lit(i)) for i, r in enumerate(rates)]))
-    members = ranked.withColumn("candidate", F.explode_outer(chosen)).where(F.col("candidate").isNotNull())
+    members = {i: _member(i, r, seed) for i, r in enumerate(rates)}
+    scores = score_members(profile, ranked, members, span, deviation, proto_threshold, port_threshold, window_length)
+    return scores.withColumn("accepted", F.col("accepted") & F.col("share").between(smallest, largest))
+
+
+def score_members(
+    profile: DataFrame, rows: DataFrame, members: dict[int, Column], span: Span, deviation: float = 0.005,
+    proto_threshold: float = DEFAULT_THRESHOLD, port_threshold: float = DEFAULT_THRESHOLD, window_length: int = DEFAULT_WINDOW,
+) -> DataFrame:
+    """``candidate, share, fitness, worst, accepted`` of samples given as conditions on ``rows`` (the profile, with any
+    columns the conditions need). All candidates' sums come from one aggregation of one scan."""
     original = metric_table(profile, span, proto_threshold, port_threshold, window_length)
     # Small tables (metrics per candidate), each used more than once.
-    scored = durable(metric_table(members, span, 0.0, 0.0, window_length, ["candidate"], totals=True))
-    result = fitness(metric_diff(original, scored, ["candidate"]), deviation, ["candidate"])
+    scored = durable(metric_table(rows, span, 0.0, 0.0, window_length, members, totals=True))
+    result = fitness(metric_diff(original, scored, [*members]), deviation, ["candidate"])
     size = scored.where((F.col("grp") == "total") & (F.col("name") == "flows")).select("candidate", F.col("value").alias("flows"))
     share = F.col("flows") / F.lit(profile.count())
-    return result.join(size, "candidate").select(
-        "candidate", share.alias("share"), "fitness", "worst",
-        (F.col("accepted") & share.between(smallest, largest)).alias("accepted"))
+    return result.join(size, "candidate").select("candidate", share.alias("share"), "fitness", "worst", "accepted")
 
 
 def sample(

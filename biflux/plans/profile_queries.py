@@ -87,14 +87,13 @@ def _sample_diff(spark, sf_dir):
 
 
 def _fitness(spark, sf_dir):
-    return _rounded(profile_metrics.fitness(_diff(spark, sf_dir).where(F.col("grp") != "window"), 0.05), "fitness").withColumn(
-        "worst", F.round("worst", 6))
+    return _rounded(profile_metrics.fitness(_diff(spark, sf_dir), 0.05), "fitness").withColumn("worst", F.round("worst", 6))
 
 
 def _report_totals(spark, sf_dir):
     profile = _profile(spark, sf_dir)
     report = profile_sample.sample_report(profile, profile.where(_MASK))
-    return _rounded(report.where(F.col("grp").isin("total", "ratio", "l3", "proto")), "original", "solution").withColumn("diff", F.round("diff", 3))
+    return _rounded(report, "original", "solution").withColumn("diff", F.round("diff", 3))
 
 
 def _top_ports(spark, sf_dir):
@@ -102,7 +101,8 @@ def _top_ports(spark, sf_dir):
 
 
 def _timeline(spark, sf_dir):
-    return _rounded(profile_metrics.timeline(_profile(spark, sf_dir)).drop("active"), "kpps", "mbps")
+    series = profile_metrics.timeline(_profile(spark, sf_dir)).drop("active")
+    return series.withColumns({c: F.round(F.col(c).cast("decimal(38,16)"), 6).cast("double") for c in ("kpps", "mbps")})
 
 
 def _active(spark, sf_dir):
@@ -168,6 +168,28 @@ def _scores(spark, sf_dir):
     return profile_sample.score_candidates(_profile(spark, sf_dir), "flow_id", 0.2, 0.4, candidates=8, seed=3)
 
 
+#: Given samples: a share of all rows, one of the early ones, one that leaves a protocol out, and no row.
+_GIVEN = ["flow_id % 3 = 0", "flow_id % 4 = 1 AND start_time < 900000", "l4_proto = 6 AND flow_id % 2 = 0", "flow_id < 0"]
+
+
+def _given_sql() -> str:
+    parts, rows = dict(_metric_sql()), []
+    for k, condition in enumerate(_GIVEN):
+        parts |= {f"part{k}": f"SELECT * FROM profile WHERE {condition}", **_metric_sql(f"part{k}", f"s{k}", 0, 0)}
+        rows.append(f"""SELECT {k} AS candidate, (SELECT n FROM s{k}_tot) / (SELECT n FROM m_tot) AS share, grp, CASE WHEN m.value <> 0
+            THEN abs(coalesce(s.value, 0) - m.value) * 100 / m.value WHEN coalesce(s.value, 0) = 0 THEN 0 ELSE 100 END AS diff FROM m LEFT JOIN s{k} s USING (grp, name)""")
+    return cte("profile", **parts, diffs=" UNION ALL ".join(rows)) + """SELECT candidate, round(any_value(share), 6) AS share,
+        round(greatest((100 - sum(diff * diff) FILTER (grp <> 'window')) / 2 + (100 - pow(avg(diff) FILTER (grp = 'window'), 2)) / 2, 0), 6) AS fitness,
+        round(max(diff), 6) AS worst, max(diff) <= 5 AS accepted FROM diffs WHERE share > 0 GROUP BY candidate"""
+
+
+def _given(spark, sf_dir):
+    profile = _profile(spark, sf_dir)
+    span = profile_metrics.profile_span(profile)
+    scores = profile_sample.score_members(profile, profile, {k: F.expr(c) for k, c in enumerate(_GIVEN)}, span, 0.05)
+    return _rounded(scores, "share", "fitness").withColumn("worst", F.round("worst", 6))
+
+
 V4_RANGES, V6_RANGES = ["10.0.0.0/8 30%", "172.16.0.0/13", "192.0.2.7/32 20%"], ["2001:db8::/33 60%", "2001:db8:8000::/35"]
 
 
@@ -248,18 +270,19 @@ QUERIES = {
         ORDER BY m.value DESC, name LIMIT 5"""),
     "sample_diff": (_sample_diff, cte("profile", **_DIFF_SQL) + """SELECT grp, name, round(original, 6) AS original, round(solution, 6) AS solution,
         round(diff, 3) AS diff FROM diff"""),
-    "sample_fitness": (_fitness, cte("profile", **_DIFF_SQL) + """SELECT round(greatest((100 - sum(diff * diff)) / 2 + 50, 0), 6) AS fitness,
-        round(max(diff), 6) AS worst, max(diff) <= 5 AS accepted FROM diff WHERE grp <> 'window'"""),
+    "sample_fitness": (_fitness, cte("profile", **_DIFF_SQL) + """SELECT round(greatest((100 - sum(diff * diff) FILTER (grp <> 'window')) / 2
+          + (100 - pow(avg(diff) FILTER (grp = 'window'), 2)) / 2, 0), 6) AS fitness, round(max(diff), 6) AS worst, max(diff) <= 5 AS accepted FROM diff"""),
     "sample_report": (_report_totals, cte("profile", **_DIFF_SQL) + """SELECT grp, name, round(original, 6) AS original, round(solution, 6) AS solution,
-        round(diff, 3) AS diff FROM diff WHERE grp IN ('ratio', 'l3', 'proto')
+        round(diff, 3) AS diff FROM diff
         UNION ALL SELECT 'total', 'packets', NULL, p, NULL FROM s_tot UNION ALL SELECT 'total', 'bytes', NULL, b, NULL FROM s_tot
         UNION ALL SELECT 'total', 'flows', NULL, n, NULL FROM s_tot"""),
     "sample_scores": (_scores, None),
+    "sample_scores_given": (_given, _given_sql()),
     "sample_profile": (_sample, None),
-    "timeline": (_timeline, cte("profile", **_TIME_SQL, per="""SELECT second, sum(p / (b - a + 1) / 1000) AS kpps, sum(y * 8 / (b - a + 1) / (1024 * 1024)) AS mbps
+    "timeline": (_timeline, cte("profile", **_TIME_SQL, per="""SELECT second, sum(CAST(p / (b - a + 1) / 1000 AS DECIMAL(38,16))) AS kpps, sum(CAST(y * 8 / (b - a + 1) / (1024 * 1024) AS DECIMAL(38,16))) AS mbps
           FROM (SELECT *, unnest(generate_series(a, b)) AS second FROM sec) GROUP BY second""",
         st="SELECT a AS second, count(*) AS starts FROM sec GROUP BY a", en="SELECT b AS second, count(*) AS ends FROM sec GROUP BY b") + """
-        SELECT second, round(coalesce(kpps, 0), 6) AS kpps, round(coalesce(mbps, 0), 6) AS mbps, coalesce(starts, 0) AS starts, coalesce(ends, 0) AS ends
+        SELECT second, CAST(round(coalesce(kpps, 0), 6) AS DOUBLE) AS kpps, CAST(round(coalesce(mbps, 0), 6) AS DOUBLE) AS mbps, coalesce(starts, 0) AS starts, coalesce(ends, 0) AS ends
         FROM axis LEFT JOIN per USING (second) LEFT JOIN st USING (second) LEFT JOIN en USING (second)"""),
     "active_flows": (_active, cte("profile", **_TIME_SQL, per="""SELECT second, count(*) AS active
           FROM (SELECT unnest(generate_series(a, b + 30)) AS second FROM sec) GROUP BY second""") + """
