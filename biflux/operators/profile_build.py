@@ -4,8 +4,8 @@ Whether a record extends the open flow of its key depends on the records before
 order. The fold runs over sorted partitions (``mapInPandas``): a task streams through many keys and holds one open flow,
 never a group.
 
-A key with an outstanding share of the rows would keep one task busy. Such keys are cut into pieces by arrival. All
-pieces are folded in parallel, first as if nothing were open before them. A piece is folded again only if the piece
+A key with an outstanding share of the rows would keep one task busy. Such keys are cut into pieces of equal numbers of
+rows by arrival. All pieces are folded in parallel, first as if nothing were open before them. A piece is folded again only if the piece
 before it turns out to leave something else behind. The rounds end when no piece changes, which is exactly the result
 of the sequential fold.
 """
@@ -20,11 +20,12 @@ from biflux.functions.keys import CANON, l3_from_text, with_canonical_key, zero_
 from biflux.operators import fold
 from biflux.runtime import durable
 from biflux.schemas import PROFILE_COLUMNS
-from biflux.skew import heavy_keys, split_heavy
+from biflux.skew import heavy_keys, keyed_scan, split_heavy
 
 INACTIVE, ACTIVE = 30_000, 300_000
 KEY = [*CANON, "proto"]
 PIECES = 4096
+_SLICE = 1_000_000
 _GROUP = [*KEY, "piece"]
 _ROW_COLUMNS = [*KEY, "arrival_seq", "start_time", "end_time", "swap", "packets", "bytes", "l3_proto"]
 _STATE = "e_long boolean, e_start long, e_end long, e_swap boolean, e_reversed boolean"
@@ -165,9 +166,11 @@ def build_profile(
     if not heavy:
         return _as_profile(_folded(rows.withColumn("piece", F.lit(0).cast("long")), None, inactive, active, False))
     cold, hot = split_heavy(rows, KEY, heavy)
-    span = hot.agg(F.struct(F.min("arrival_seq").alias("a"), F.max("arrival_seq").alias("b"))).scalar()
-    width = F.ceil((span["b"] - span["a"] + 1) / pieces)
-    hot = durable(hot.withColumn("piece", F.floor((F.col("arrival_seq") - span["a"]) / width).cast("long")))
+    # Pieces hold equal numbers of a key's rows, wherever in the input these lie.
+    slices = {"_slice": F.floor(F.col("arrival_seq") / _SLICE)}
+    ranked = durable(keyed_scan(hot, KEY, ["arrival_seq"], slices, total={"rank": F.lit(1).cast("long")}, heavy=heavy))
+    size = max(1, -(-ranked.agg(F.max("rank")).first()[0] // pieces))
+    hot = ranked.withColumn("piece", F.floor(F.col("rank") / size).cast("long")).drop("rank")
     entries = _entry_states(hot, inactive, active)
     joined = _joined_pieces(_folded(hot, entries, inactive, active, False))
     whole = _folded(cold.withColumn("piece", F.lit(0).cast("long")), None, inactive, active, False)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from biflux.functions.draws import pick, random_hex, uniform
 from biflux.functions.ip import network_bounds
 from biflux.functions.keys import CANON, with_canonical_key
-from biflux.runtime import durable
+from biflux.runtime import broadcast_if_small, durable
 from biflux.schemas import FlowDataError
 
 MAX_TRIES = 10
@@ -74,24 +74,30 @@ def enrich(profile: DataFrame, row_id: str, ipv4_ranges: list[str], ipv6_ranges:
     """Add ``src_ip`` and ``dst_ip`` so that no two rows share a direction-free 5-tuple.
 
     All rows draw at once. The few rows that lose a collision to an earlier draw or a smaller row number draw again, up
-    to ten times. The drawn table is checkpointed between the passes.
+    to ten times. The first draw is written once; later passes write only the rows that drew again.
     """
     ranges4, ranges6 = parse_ranges(ipv4_ranges), parse_ranges(ipv6_ranges)
     columns = [c for c in profile.columns if c not in ("src_ip", "dst_ip")]
     key = [*CANON, "l4_proto"]
-    turn = F.struct("try", row_id)
 
     def drawn(rows: DataFrame, attempt: int) -> DataFrame:
         fresh = rows.select(*columns).withColumn("try", F.lit(attempt))
         return with_canonical_key(_draw(fresh, ranges4, ranges6, row_id, seed), tie_on_port=True).drop("swap")
 
-    current = durable(drawn(profile, 0))
-    for attempt in range(1, MAX_TRIES + 1):
-        shared = current.groupBy(*key).agg(F.min(turn).alias("winner"), F.count("*").alias("rows")).where(F.col("rows") > 1)
-        losers = durable(current.join(shared, key).where(turn != F.col("winner")).select(row_id))
+    first = durable(drawn(profile, 0))
+    shared = first.groupBy(*key).agg(F.min(row_id).alias("winner"), F.count("*").alias("rows")).where(F.col("rows") > 1)
+    losers = durable(first.join(shared, key).where(F.col(row_id) != F.col("winner")).select(row_id))
+    kept = first.join(losers, row_id, "left_anti")
+    for attempt in range(1, MAX_TRIES):
         if losers.isEmpty():
-            return current.select(*columns, "src_ip", "dst_ip")
-        if attempt < MAX_TRIES:
-            again = drawn(current.join(losers, row_id, "left_semi"), attempt)
-            current = durable(current.join(losers, row_id, "left_anti").unionByName(again))
+            return kept.select(*columns, "src_ip", "dst_ip")
+        again = durable(drawn(first.join(broadcast_if_small(losers), row_id, "left_semi"), attempt))
+        drawn_keys = broadcast_if_small(again.select(*key).distinct())
+        taken = kept.join(drawn_keys, key, "left_semi").select(*key).distinct()  # settled rows keep their place
+        best = again.groupBy(*key).agg(F.min(row_id).alias("winner"))
+        won = durable(again.join(taken, key, "left_anti").join(best, key).where(F.col(row_id) == F.col("winner")).drop("winner").select(again.columns))
+        losers = durable(again.select(row_id).join(won, row_id, "left_anti"))
+        kept = kept.unionByName(won)
+    if losers.isEmpty():
+        return kept.select(*columns, "src_ip", "dst_ip")
     raise FlowDataError("unique address pairs not found, a range is too small")

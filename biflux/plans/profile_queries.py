@@ -131,10 +131,24 @@ def _trim(spark, sf_dir):
 
 
 def _trim_checks(spark, sf_dir):
-    """What must hold for any random draw: exact counts per category and borders kept."""
-    trimmed = _trim(spark, sf_dir)
-    return trimmed.where(F.col("category") != "scaled").groupBy("category").agg(
-        F.count("*").alias("flows"), (F.min("start_time") >= 500_000).alias("after_left"), (F.max("end_time") <= 1_900_000).alias("before_right"))
+    """What must hold for any random draw: exact counts per category, borders kept, and each row within what its original allows."""
+    same = ["start_time", "end_time", "packets", "bytes", "packets_rev", "bytes_rev"]
+    before = _profile(spark, sf_dir).select("flow_id", *[F.col(c).alias(f"o_{c}") for c in same])
+    rows = _trim(spark, sf_dir).join(before, "flow_id")
+    start, end, first, last = (F.col(c) for c in ("start_time", "end_time", "o_start_time", "o_end_time"))
+    starts = F.when(first < 700_000, start.between(F.greatest(first, F.lit(500_000)), 700_000)).otherwise(start == first)
+    ends = F.when(F.col("packets") + F.col("packets_rev") == 1, end == start).when(
+        last > 1_700_000, end.between(1_700_000, F.least(last, F.lit(1_900_000)))).otherwise(end == last)
+    fewer = F.lit(True)
+    for p, b in (("packets", "bytes"), ("packets_rev", "bytes_rev")):
+        silent = (F.col(f"o_{p}") == 0) & (F.col(f"o_{b}") == 0)
+        fewer = fewer & F.when(silent, (F.col(p) == 0) & (F.col(b) == 0)).otherwise(
+            F.col(p).between(1, F.col(f"o_{p}")) & (F.col(b) > 0) & (F.col(b) <= F.greatest(F.col(f"o_{b}"), F.lit(profile_trim.MIN_BYTES))))
+    unchanged = F.forall(F.array(*[F.col(c) == F.col(f"o_{c}") for c in same]), lambda x: x)
+    sound = F.when(F.col("category") == "scaled", starts & ends & fewer).otherwise(unchanged)
+    return rows.groupBy("category").agg(
+        F.count("*").alias("flows"), (F.min("start_time") >= 500_000).alias("after_left"), (F.max("end_time") <= 1_900_000).alias("before_right"),
+        F.bool_and(sound).alias("sound"))
 
 
 def _trim_statistics(spark, sf_dir):
@@ -297,7 +311,7 @@ QUERIES = {
     "trim_profile": (_trim, None),
     "trim_half_exact": (_trim_checks, cte("profile", marked=f"SELECT *, {_TRIM_CASE} AS category FROM profile") + """
         SELECT category, CASE WHEN category = 'tolerance' THEN CAST(round_even(count(*) / 2, 0) AS BIGINT) ELSE count(*) END AS flows,
-          true AS after_left, true AS before_right FROM marked WHERE category IN ('nonaltered', 'tolerance') GROUP BY category"""),
+          true AS after_left, true AS before_right, true AS sound FROM marked WHERE category <> 'dropped' GROUP BY category"""),
     "trim_statistics": (_trim_statistics, None),
     "trim_statistics_inside": (_trim_inside, _INSIDE_SQL),
     "enrich_profile": (_enrich, None),
