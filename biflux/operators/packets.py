@@ -8,6 +8,7 @@ from biflux.functions.keys import CANON, with_canonical_key
 from biflux.functions.scalars import diff_ratio, mbps_to_bytes_per_second
 from biflux.functions.xxh32 import ip_hash
 from biflux.schemas import REPORT_COLUMNS
+from biflux.runtime import durable
 from biflux.skew import global_scan, keyed_scan
 
 PACKET_ORDER = ["ts_ns", "flow_id", "seq"]
@@ -103,8 +104,15 @@ def with_queue(packets: DataFrame, queues: int) -> DataFrame:
 
 
 def queue_share(packets: DataFrame, queues: int) -> DataFrame:
-    """Packets, bytes and their shares per queue."""
-    counted = with_queue(packets, queues).groupBy("queue").agg(F.count("*").alias("packets"), F.sum("size").alias("bytes"))
+    """Packets, bytes and their shares per queue. Packets are counted per pair of addresses, and each different address is
+    hashed once."""
+    pairs = durable(packets.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("packets"), F.sum("size").alias("bytes")))
+    addresses = pairs.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
+    hashed = durable(addresses.withColumn("hash", ip_hash(F.col("ip"))))
+    for side in ("src", "dst"):
+        pairs = pairs.join(hashed.select(F.col("ip").alias(f"{side}_ip"), F.col("hash").alias(f"{side}_hash")), f"{side}_ip")
+    queue = (F.col("src_hash").bitwiseXOR(F.col("dst_hash")) % queues).cast("int")
+    counted = pairs.groupBy(queue.alias("queue")).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
     totals = packets.agg(F.struct(F.count("*").alias("packets"), F.sum("size").alias("bytes"))).scalar()
     return counted.withColumns({f"{c}_share": F.col(c) / totals[c] for c in ("packets", "bytes")})
 

@@ -1,8 +1,11 @@
 """Registered queries over collector records: mapping, normalisation, field validation."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from biflux.operators import mapping as mp, validate as va
+from biflux.plans.verdicts import validation_verdict
 from biflux.plans.views import cte, table, view
 from biflux.runtime import durable
 from biflux.sources import readers
@@ -242,6 +245,95 @@ def _hot_match(spark, sf_dir):
     return results.where(F.col("ref_id").isNotNull()).join(ids, "ref_id").groupBy("k").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("ok", "error", "missing")])
 
 
+# List fields: two expected items per flow; received ones come in another order, one with a wrong time to live, one missing or one more.
+_ITEM_A = """concat('{"name": "a', flow_id % 3, '", "ttl": ', flow_id % 5 + MORE, '}')"""
+_ITEM_B = """'{"name": "b", "ttl": 9}'"""
+_SEEN_LIST = f"""concat('[', {_ITEM_B}, CASE WHEN flow_id % 13 <> 0 THEN concat(', ', {_ITEM_A.replace('MORE', 'CASE WHEN flow_id % 7 = 0 THEN 20 ELSE 0 END')}) ELSE '' END,
+  CASE WHEN flow_id % 11 = 0 THEN ', {{"name": "c", "ttl": 1}}' ELSE '' END, ']')"""
+_WANTED_LIST = f"concat('[', {_ITEM_A.replace('MORE', '0')}, ', ', {_ITEM_B}, ']')"
+
+
+def _lists(strategy):
+    def run(spark, sf_dir):
+        profile = view(spark, sf_dir, "profile")
+        flows = _records_of(profile, "unit_id", {"dns_rr": _SEEN_LIST})
+        refs = _records_of(profile, "ref_id", {"dns_rr": _WANTED_LIST})
+        results = va.validate(flows, refs, va.Checks(_dictionary(), ["dns_rr", "dns_rr.name", "dns_rr.ttl"], {"dns_rr": strategy}))
+        return results.select(F.col("ref_id").alias("flow_id"), F.inline("fields")).where(F.col("field").startswith("dns_rr")).groupBy(
+            "flow_id", "field", "outcome").agg(F.count("*").alias("records"))
+    return run
+
+
+def _lists_sql(rows: str) -> str:
+    """Outcomes per direction of a flow: those of both its records, since lists may come from either side."""
+    return cte("profile", sides=_SIDES, seen=rows) + "SELECT flow_id, field, outcome, count(*) AS records FROM sides JOIN seen USING (flow_id) GROUP BY ALL"
+
+
+# With the first item missing and one too many, the extra item (named c, with a time to live of 1) takes its place.
+_FULL_LISTS = """SELECT flow_id, 'dns_rr.name' AS field, CASE WHEN flow_id % 143 = 0 THEN 'error' WHEN flow_id % 13 = 0 THEN 'missing' ELSE 'ok' END AS outcome FROM profile
+  UNION ALL SELECT flow_id, 'dns_rr.ttl', CASE WHEN flow_id % 143 = 0 THEN CASE flow_id % 5 WHEN 1 THEN 'ok' ELSE 'error' END
+    WHEN flow_id % 13 = 0 THEN 'missing' WHEN flow_id % 7 = 0 THEN 'error' ELSE 'ok' END FROM profile
+  UNION ALL SELECT flow_id, unnest(['dns_rr.name', 'dns_rr.ttl']), 'ok' FROM profile
+  UNION ALL SELECT flow_id, 'dns_rr', 'unexpected' FROM profile WHERE flow_id % 11 = 0 AND flow_id % 13 <> 0"""
+_ONE_LISTS = "SELECT flow_id, unnest(['dns_rr.name', 'dns_rr.ttl']) AS field, 'ok' AS outcome FROM profile"
+
+
+def _override(spark, sf_dir):
+    """Annotations with sections of their own per direction: other bytes forward, another application backward."""
+    profile = view(spark, sf_dir, "profile")
+    flows = _records_of(profile, "unit_id", {})
+    annotations = _flow_map(profile, "ref_id", {"bytes": "'1'"}).join(
+        profile.select(F.col("flow_id").alias("ref_id"), F.create_map(F.lit("bytes"), F.col("bytes").cast("string")).alias("forward"),
+                       F.create_map(F.lit("app"), F.when(F.col("flow_id") % 3 == 0, "other").otherwise(F.concat(F.lit("app"), F.col("flow_id") % 5))).alias("reverse")), "ref_id")
+    dictionary = _dictionary()
+    refs = mp.with_keys(mp.direction_records(mp.normalize_annotations(annotations, dictionary), dictionary), dictionary)[0]
+    results = va.validate(flows, refs, va.Checks(dictionary, ["bytes", "packets", "app"]))
+    return results.select(F.col("ref_id").alias("flow_id"), F.inline("fields")).where("outcome IN ('ok', 'error', 'missing')").groupBy(
+        "flow_id", "field", "outcome").agg(F.count("*").alias("records"))
+
+
+def _custom_key(spark, sf_dir):
+    """Matched by hosts alone, so the ports are compared; records without a host address have no key."""
+    dictionary, key = _dictionary(), ["src_ip", "dst_ip"]
+    profile = view(spark, sf_dir, "profile")
+
+    def keyed(name, faults):
+        normalized = mp.normalize(_flow_map(profile, name, faults), dictionary)
+        return mp.with_keys(mp.direction_records(normalized, dictionary), dictionary, key)
+
+    flows, keyless = keyed("unit_id", {"src_ip": "CASE WHEN flow_id % 10 <> 3 THEN src_ip END", "src_port": "CAST(src_port + CASE WHEN flow_id % 6 = 0 THEN 1 ELSE 0 END AS STRING)"})
+    refs, _ = keyed("ref_id", {})
+    results = va.validate(flows, refs, va.Checks(dictionary, ["src_port", "dst_port", "bytes"], key=key))
+    lost = keyless.select(F.lit("no key").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("flows"))
+    return va.flow_statistics(results).unionByName(lost)
+
+
+def _verdict(spark, sf_dir):
+    """From collector records to the verdict: mapped, normalised, matched and counted per outcome, with the keys nobody mapped."""
+    known = mp.converters(PROTOCOLS)
+    profile = view(spark, sf_dir, "profile")
+    cells = {"flow:src": "src_ip", "flow:dst": "dst_ip", "flow:sport": "CAST(src_port AS STRING)", "flow:dport": "CAST(dst_port AS STRING)",
+             "flow:proto": "CASE l4_proto WHEN 17 THEN 'udp' ELSE 'tcp' END", "flow:bytes": "CAST(bytes AS STRING)", "flow:bytes@rev": "CAST(bytes_rev AS STRING)",
+             "flow:packets": "CASE WHEN flow_id % 9 <> 0 THEN concat('0x', lower(hex(packets))) END", "flow:app": "concat('app', flow_id % 4)", "flow:junk": "CASE WHEN flow_id % 5 = 0 THEN 'x' END"}
+    entries = F.array_compact(F.array(*[F.when(F.expr(v).isNotNull(), F.struct(F.lit(k).alias("key"), F.expr(v).alias("value"))) for k, v in cells.items()]))
+    records = profile.where("flow_id % 8 <> 1").select(F.col("flow_id").alias("unit_id"), F.map_from_entries(entries).alias("record"))
+    mapping = mp.check_mapping({
+        "flow:src": {"map": "src_ip"}, "flow:dst": {"map": "dst_ip"}, "flow:sport": {"map": "src_port"}, "flow:dport": {"map": "dst_port"},
+        "flow:proto": {"map": "protocol", "converter": "protocol_identifier_to_number"}, "flow:bytes": {"map": "bytes"}, "flow:bytes@rev": {"map": "bytes@rev"},
+        "flow:packets": {"map": "packets", "converter": "hex_to_int"}, "flow:app": {"map": "app"}}, known)
+    annotations = _flow_map(profile.where("flow_id % 8 <> 2"), "ref_id", {"packets@rev": "CAST(NULL AS STRING)", "app": "concat('app', flow_id % 4)"})
+    results, unmapped = validation_verdict(records, annotations, mapping, va.Checks(_dictionary(), ["bytes", "packets", "app"]), known)
+    keys = unmapped.select(F.concat(F.lit("unmapped "), "key").alias("outcome"), F.col("records").alias("flows"))
+    return va.flow_statistics(results).unionByName(keys)
+
+
+def _coverage(spark, sf_dir):
+    """Per set of fields, whether any of them was really compared."""
+    results = durable(_validated(spark, sf_dir))
+    sets = {"any": ["tcp_flags", "app"], "flags": ["tcp_flags"], "mac": ["mac"], "bytes": ["bytes"], "lists": ["dns_rr", "dns_rr.name"]}
+    return reduce(DataFrame.unionByName, [va.coverage(results, f).select(F.lit(n).alias("fields"), "covered") for n, f in sets.items()])
+
+
 def _validation_summary(spark, sf_dir):
     """Verdict per test, where the address version plays the test."""
     profile = view(spark, sf_dir, "profile").select(F.col("flow_id").alias("ref_id"), F.concat(F.lit("ipv"), "l3_proto").alias("test"))
@@ -351,7 +443,20 @@ QUERIES = {
         SELECT CASE WHEN flow_id % 97 = 0 THEN 'missing' WHEN flow_id % 101 = 0 THEN 'unexpected'
           WHEN side = 0 AND (flow_id % 89 = 0 OR flow_id % 83 = 0) THEN 'error' ELSE 'ok' END AS outcome, count(*) AS flows
         FROM sides WHERE NOT (flow_id % 97 = 0 AND flow_id % 101 = 0) GROUP BY 1"""),
-    "field_coverage": (lambda s, d: va.coverage(_validated(s, d), ["tcp_flags", "app"]), "SELECT true AS covered"),
+    "field_coverage": (_coverage, cte("profile", **_JUDGED_SQL, wanted="SELECT * FROM (VALUES ('any', 'tcp_flags'), ('any', 'app'), ('flags', 'tcp_flags'), ('mac', 'mac'), ('bytes', 'bytes'), ('lists', 'dns_rr')) v(fields, field)") + """
+        SELECT fields, bool_or(coalesce(outcome IN ('ok', 'error'), false)) AS covered FROM wanted LEFT JOIN fields USING (field) GROUP BY fields""".replace("LEFT JOIN fields", "LEFT JOIN fields judged").replace("GROUP BY fields", "GROUP BY wanted.fields").replace("SELECT fields", "SELECT wanted.fields AS fields")),
+    "field_compare_lists": (_lists("FullArray"), _lists_sql(_FULL_LISTS)),
+    "field_compare_one_in_list": (_lists("OneInArray"), _lists_sql(_ONE_LISTS)),
+    "field_compare_overrides": (_override, cte("profile", sides=_SIDES, fields="""
+        SELECT flow_id, side, 'bytes' AS field, 'ok' AS outcome FROM sides UNION ALL SELECT flow_id, side, 'packets', 'ok' FROM sides
+        UNION ALL SELECT flow_id, side, 'app', CASE WHEN side = 1 AND flow_id % 3 = 0 THEN 'error' ELSE 'ok' END FROM sides""") + "SELECT flow_id, field, outcome, count(*) AS records FROM fields GROUP BY ALL"),
+    "match_by_custom_key": (_custom_key, cte("profile", sides=_SIDES) + """
+        SELECT CASE WHEN flow_id % 10 = 3 THEN 'missing' WHEN flow_id % 6 = 0 THEN 'error' ELSE 'ok' END AS outcome, count(*) AS flows FROM sides GROUP BY 1
+        UNION ALL SELECT 'no key', count(*) FROM profile WHERE flow_id % 10 = 3"""),
+    "validation_verdict": (_verdict, cte("profile", sides="SELECT flow_id, 0 AS side FROM profile UNION ALL SELECT flow_id, 1 FROM profile WHERE bytes_rev > 0") + """
+        SELECT CASE WHEN flow_id % 8 = 1 THEN 'missing' WHEN flow_id % 8 = 2 THEN 'unexpected' WHEN side = 0 AND flow_id % 9 = 0 THEN 'error' ELSE 'ok' END AS outcome,
+          count(*) AS flows FROM sides GROUP BY 1
+        UNION ALL SELECT 'unmapped flow:junk', count(*) FROM profile WHERE flow_id % 8 <> 1 AND flow_id % 5 = 0"""),
     "validation_summary": (_validation_summary, """SELECT 'ipv4' AS test, false AS passed, 'vendor:label,vendor:metric' AS unmapped, 'props,src_port' AS unknown
         UNION ALL SELECT 'ipv6', false, 'vendor:label,vendor:metric', ''"""),
     "best_match": (_best_match, cte("profile", **_BEST_SQL).replace("WITH", "WITH RECURSIVE", 1) + """
