@@ -170,11 +170,18 @@ def _count(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, ending int, n bigint").groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
+def _classes(sent: dict) -> Classes:
+    """The classes of what was broadcast, made at the first use in a worker process."""
+    if "classes" not in sent:
+        sent["classes"] = Classes(sent["top"], sent["words"])
+    return sent["classes"]
+
+
 def _train(rows: DataFrame, shared, step_tokens: int = 4096) -> np.ndarray | None:
     """Parameters averaged over partitions, weighted by tokens; one pass over all training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, shares = shared.value
-        model = LogBilinear(shares)
+        classes = _classes(shared.value)
+        model = LogBilinear(shared.value["shares"])
         step, seen = model.trainer(), 0
         for batch in batches:
             lengths, line = [], []
@@ -192,7 +199,7 @@ def _train(rows: DataFrame, shared, step_tokens: int = 4096) -> np.ndarray | Non
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen), pa.int64())], names=["at", "v", "n"])
 
     def walk(step, lengths: list[int], target: np.ndarray) -> int:
-        one, two = contexts(lengths, target, len(shared.value[1]))
+        one, two = contexts(lengths, target, len(shared.value["shares"]))
         order = np.random.default_rng(len(target)).permutation(len(target))
         for k in range(0, len(target), step_tokens):
             part = order[k:k + step_tokens]
@@ -240,14 +247,15 @@ def score(docs: DataFrame, training: "F.Column", *, id_col: str = "doc_id", text
         of_ending[ending(w)] -= n, 1
     class_counts = np.array([n for _, n in top[:classes.words]] + list(of_ending[:, 0]), float)
     shares = (class_counts + 0.5) / (class_counts + 0.5).sum()
-    trainer = sc.broadcast((classes, shares))
+    # Plain data: a worker makes the classes itself, once, and needs no copy of this package.
+    trainer = sc.broadcast({"top": top, "words": classes.words, "shares": shares})
     learned = _train(rows.where("learn"), trainer)
-    shared = sc.broadcast((classes, shares, learned, of_ending))
+    shared = sc.broadcast({"top": top, "words": classes.words, "shares": shares, "learned": learned, "of_ending": of_ending})
     base_log = float(np.log10(total + distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, shares, learned, of_ending = shared.value
-        model = LogBilinear(shares)
+        classes, learned, of_ending = _classes(shared.value), shared.value["learned"], shared.value["of_ending"]
+        model = LogBilinear(shared.value["shares"])
         if learned is not None:
             model.assign(learned)
         one_table, two_table, z = model.tables()
