@@ -23,6 +23,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SEPARATORS = " .-_*~\t\n"
 _EDGE = b".,;:?\"'()[]{}<>*#%&-_~=/\\`^"
 _PLAIN = re.compile(rb"[a-z\x80-\xff']+\Z")
+_LETTERS = re.compile(rb"[a-z]+\Z")
 _DOUBLE = re.compile(rb"([a-z])\1+")
 _SIGN = rb"[a-z0-9@$!|+]"
 #: Pieces of up to three signs with separators between them.
@@ -62,6 +63,34 @@ class Channel:
         counts = trigrams.reshape(_STATES, _STATES, _STATES) + 0.1
         self.logs = np.log(counts / counts.sum(axis=2, keepdims=True)).tolist()
 
+    def word(self, noisy: bytes) -> str:
+        """``restore`` of a stretch of letters a to z: a run of a letter is emitted once or more often, two states at most."""
+        logs, before, last = self.logs, 0, 0
+        once, text = 0.0, ""  # the run's letter emitted once, after the class ``before``
+        more, longer = None, ""  # emitted more often
+        for code in noisy:
+            c = code - 96
+            if c == last:
+                grown = once - 0.1 + logs[before][c][c]
+                if more is not None:
+                    kept, again = more - 1.0, more - 0.1 + logs[c][c][c]
+                    if max(kept, again) >= grown:
+                        grown, text_ = (again, longer + chr(code)) if again >= kept else (kept, longer)
+                    else:
+                        text_ = text + chr(code)
+                else:
+                    text_ = text + chr(code)
+                once, more, longer = once - 1.0, grown, text_
+                continue
+            row = logs[last]
+            score = once - 0.1 + logs[before][last][c]
+            if more is not None and more - 0.1 + row[last][c] > score:
+                score, text = more - 0.1 + row[last][c], longer
+            once, text, more, before, last = score, text + chr(code), None, last, c
+        if more is not None and more + logs[last][last][0] > once + logs[before][last][0]:
+            return longer
+        return text
+
     def restore(self, noisy: str) -> str:
         """The likeliest text of a lower-case stretch; a blank ends a word."""
         # a state is the last two classes; a path is (log probability, chain of emitted characters)
@@ -112,6 +141,8 @@ class Restorer:
         where they add up to a word or stem of them but for repeated letters; other pieces of plain letters cannot."""
         self.channel, self.remembered = Channel(trigrams), remembered
         self.known: dict[bytes, tuple[bytes, ...]] = {}
+        self.idle: set[bytes] = set()  # tokens without a weighted feature
+        self.weighted = weighted
         self.words = None if weighted is None else {_once(f[1:]) for f in weighted}
         self.cores: dict[bytes, bytes] = {}
         self.begins = {w[:k] for w in self.words or () for k in range(1, len(w))}
@@ -119,7 +150,8 @@ class Restorer:
     def restored(self, noisy: bytes) -> set[bytes]:
         """Features of the words of a stretch, also with every repeated letter once."""
         found: set[bytes] = set()
-        for word in self.channel.restore(noisy.decode("utf-8", "replace")).split():
+        whole = self.channel.word(noisy) if _LETTERS.match(noisy) else self.channel.restore(noisy.decode("utf-8", "replace"))
+        for word in whole.split():
             plain = word.encode()
             found.update(features(plain))
             if _DOUBLE.search(plain):
@@ -141,10 +173,33 @@ class Restorer:
             if len(self.known) >= self.remembered:
                 self.known.clear()
             own = tuple(make(key))
+            if self.weighted is not None:
+                own = tuple(f for f in own if f in self.weighted)
             if len(key) <= 64:
                 self.known[key] = own
         return own
 
+    def of_tokens(self, tokens: set[bytes]) -> set[bytes]:
+        """Features of tokens; with weights those that have one, and the tokens without any are kept as a set."""
+        found: set[bytes] = set()
+        if self.weighted is None:
+            for token in tokens:
+                found.update(self.remember(token, self.token))
+            return found
+        if len(self.idle) >= 2 * self.remembered:
+            self.idle.clear()
+        for token in tokens - self.idle:
+            own = self.known.get(token)
+            if own is None:
+                own = tuple(f for f in self.token(token) if f in self.weighted)
+                if len(token) <= 64:
+                    if own:
+                        self.known[token] = own
+                    else:
+                        self.idle.add(token)
+            found.update(own)
+        return found
+
     def joined(self, tokens: list[bytes]) -> Iterator[bytes]:
         """Stretches of tokens that add up to a word or stem with a weight."""
         words, begins, known = self.words, self.begins, self.cores
@@ -167,8 +222,7 @@ class Restorer:
         lower = text.lower()
         found: set[bytes] = set()
         tokens = lower.split()
-        for token in set(tokens):
-            found.update(self.remember(token, self.token))
+        found.update(self.of_tokens(set(tokens)))
         for run in _RUN.findall(lower):
             if self.words is None or _SINGLES.search(run) or (_NOISE.search(run) and _LETTER.search(run)):
                 found.update(self.remember(b" ".join(run.split()), self.restored))
@@ -180,9 +234,12 @@ class Restorer:
 
 def features(word: bytes) -> tuple[bytes, ...]:
     """The word and, where it is longer, its first four and five letters."""
-    if len(word) < 3:
+    n = len(word)
+    if n < 3:
         return ()
-    return (b"=" + word, *(b"^" + word[:k] for k in (4, 5) if len(word) > k))
+    if n > 5:
+        return b"=" + word, b"^" + word[:4], b"^" + word[:5]
+    return (b"=" + word, b"^" + word[:4]) if n == 5 else (b"=" + word,)
 
 
 def raw_score(found: set[bytes], weights: dict[bytes, float]) -> float:

@@ -79,6 +79,27 @@ def test_noisy_spellings_reach_the_lattice(spark):
     assert b"=looser" in plain.features(b"looser") and b"=stupid" not in weighted.features(b"we said st and upright things")
 
 
+def test_toxicity_letters_take_the_path_of_the_lattice(spark):
+    channel = toxicity.Channel(toxicity.count_letters(spark.read.parquet(f"{SF}/documents.parquet")))
+    draw = random.Random(5)
+    for _ in range(2_000):
+        word = "".join(draw.choice("aabceiost") * draw.choice([1, 1, 1, 2, 3, 4]) for _ in range(draw.randint(1, 8)))
+        assert channel.word(word.encode()) == channel.restore(word), word
+
+
+def test_toxicity_weighted_features_are_those_of_all(spark):
+    trigrams = toxicity.count_letters(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = [r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("text").limit(60).collect()]
+    plain = toxicity.Restorer(trigrams)
+    everything = [plain.features(text) for text in texts]
+    weights = {f: 1.0 + len(f) for f in sorted(set().union(*everything))[::7]}
+    weighted = toxicity.Restorer(trigrams, remembered=500, weighted=weights)
+    for text, found in zip(texts, everything):
+        own = weighted.features(text)
+        assert own <= set(weights)
+        assert {f for f in found if f in weights and not toxicity._RUN.search(text.lower())} <= own
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.1/labels.parquet")
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
