@@ -61,7 +61,21 @@ class Channel:
 
     def __init__(self, trigrams: np.ndarray):
         counts = trigrams.reshape(_STATES, _STATES, _STATES) + 0.1
-        self.logs = np.log(counts / counts.sum(axis=2, keepdims=True)).tolist()
+        logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+        self.logs, self.rows = logs.tolist(), logs.reshape(-1, _STATES).tolist()
+        self.signs: dict[str, tuple] = {}
+
+    def sign(self, char: str) -> tuple:
+        """What a character may be: letters with their classes, costs of a letter and a repetition, spacing, cost of a word end."""
+        leet = char in LEET
+        letters = LEET.get(char, char if "a" <= char <= "z" or ord(char) >= 128 else "")
+        made = (
+            tuple((letter, ord(letter) - 96 if "a" <= letter <= "z" else 27) for letter in letters),
+            -0.1 if not leet else -0.7 if char != "*" else -2.5, -2.5 if leet else -1.0, char in SEPARATORS,
+            (-2.0 if char in SEPARATORS else -9.0) if not letters or leet else 0.0)
+        if ord(char) < 128:
+            self.signs[char] = made
+        return made
 
     def word(self, noisy: bytes) -> str:
         """``restore`` of a stretch of letters a to z: a run of a letter is emitted once or more often, two states at most."""
@@ -93,34 +107,31 @@ class Channel:
 
     def restore(self, noisy: str) -> str:
         """The likeliest text of a lower-case stretch; a blank ends a word."""
-        # a state is the last two classes; a path is (log probability, chain of emitted characters)
-        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        # a state is the last two classes as one number; a path is (log probability, chain of emitted characters)
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        logs = self.rows
         for char in noisy:
-            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-
-            def offer(state: tuple[int, int], score: float, chain: tuple | None) -> None:
-                if state not in step or step[state][0] < score:
-                    step[state] = (score, chain)
-
-            letters = LEET.get(char, char if "a" <= char <= "z" or ord(char) >= 128 else "")
-            cost = -0.1 if char not in LEET else -0.7 if char != "*" else -2.5
-            repeated = -1.0 if char not in LEET else -2.5
-            for (a, b), (score, chain) in paths.items():
-                for letter in letters:
-                    c = ord(letter) - 96 if "a" <= letter <= "z" else 27
-                    offer((b, c), score + cost + self.logs[a][b][c], (chain, letter))
-                    if chain is not None and chain[1] == letter:
-                        offer((a, b), score + repeated, chain)
-                if char in SEPARATORS:
-                    offer((a, b), score - 1.0, chain)  # spacing inside a word
-                if not letters or char in LEET:
-                    end = -2.0 if char in SEPARATORS else -9.0
-                    if b:
-                        offer((b, 0), score + end + self.logs[a][b][0], (chain, " "))
-                    else:
-                        offer((a, b), score + end, chain)
+            letters, cost, repeated, spacing, end = self.signs.get(char) or self.sign(char)
+            step: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, chain) in paths.items():
+                row, b = logs[state], state % _STATES
+                last = chain[1] if chain is not None else None
+                for letter, c in letters:
+                    after, to = score + cost + row[c], b * _STATES + c
+                    if to not in step or step[to][0] < after:
+                        step[to] = (after, (chain, letter))
+                    if last == letter:
+                        after = score + repeated
+                        if state not in step or step[state][0] < after:
+                            step[state] = (after, chain)
+                if spacing and (state not in step or step[state][0] < score - 1.0):  # spacing inside a word
+                    step[state] = (score - 1.0, chain)
+                if end:
+                    to, after, ended = (b * _STATES, score + end + row[0], (chain, " ")) if b else (state, score + end, chain)
+                    if to not in step or step[to][0] < after:
+                        step[to] = (after, ended)
             paths = step
-        score, chain = max(((s + self.logs[a][b][0], c) for (a, b), (s, c) in paths.items()), key=lambda p: p[0])
+        score, chain = max(((s + logs[state][0], c) for state, (s, c) in paths.items()), key=lambda p: p[0])
         out = []
         while chain is not None:
             chain, letter = chain
@@ -141,7 +152,9 @@ class Restorer:
         where they add up to a word or stem of them but for repeated letters; other pieces of plain letters cannot."""
         self.channel, self.remembered = Channel(trigrams), remembered
         self.known: dict[bytes, tuple[bytes, ...]] = {}
-        self.idle: set[bytes] = set()  # tokens without a weighted feature
+        self.judged: dict[bytes, tuple[tuple[bytes, ...], bool]] = {}
+        self.idle: set[bytes] = set()  # tokens without a weighted feature that begin none
+        self.whole, self.stems = ({f[1:] for f in weighted or () if f[:1] == mark} for mark in (b"=", b"^"))
         self.weighted = weighted
         self.words = None if weighted is None else {_once(f[1:]) for f in weighted}
         self.cores: dict[bytes, bytes] = {}
@@ -179,55 +192,83 @@ class Restorer:
                 self.known[key] = own
         return own
 
-    def of_tokens(self, tokens: set[bytes]) -> set[bytes]:
-        """Features of tokens; with weights those that have one, and the tokens without any are kept as a set."""
+    def weighed(self, token: bytes) -> tuple[tuple[bytes, ...], bool]:
+        """Features with a weight, and whether the token may begin a word or stem that has one."""
+        core = token.strip(_EDGE)
+        if not _PLAIN.match(core) or (_DOUBLE.search(core) and not _LETTERS.match(core)):
+            return tuple([f for f in self.token(token) if f in self.weighted]), _once(core) in self.begins
+        forms, once = (core,), core
+        if _DOUBLE.search(core):
+            once = _once(core)
+            forms = {core, self.channel.word(core).encode(), once} if len(core) > 2 else (core,)
+        hits: tuple[bytes, ...] = ()
+        for form in forms:
+            if len(form) > 2 and (form in self.whole or form[:4] in self.stems or form[:5] in self.stems):
+                hits += tuple([f for f in features(form) if f in self.weighted])
+        return hits, once in self.begins
+
+    def of_tokens(self, tokens: set[bytes]) -> tuple[set[bytes], set[bytes]]:
+        """Features of tokens. With weights: those that have one, and the tokens that may begin a word or stem with one."""
         found: set[bytes] = set()
+        first: set[bytes] = set()
         if self.weighted is None:
             for token in tokens:
                 found.update(self.remember(token, self.token))
-            return found
-        if len(self.idle) >= 2 * self.remembered:
-            self.idle.clear()
-        for token in tokens - self.idle:
-            own = self.known.get(token)
+            return found, first
+        idle, judged = self.idle, self.judged
+        if len(idle) >= 2 * self.remembered:
+            idle.clear()
+        if len(judged) >= self.remembered:
+            judged.clear()
+        for token in tokens - idle:
+            own = judged.get(token)
             if own is None:
-                own = tuple(f for f in self.token(token) if f in self.weighted)
+                own = self.weighed(token)
                 if len(token) <= 64:
-                    if own:
-                        self.known[token] = own
+                    if any(own):
+                        judged[token] = own
                     else:
-                        self.idle.add(token)
-            found.update(own)
-        return found
+                        idle.add(token)
+            found.update(own[0])
+            if own[1]:
+                first.add(token)
+        return found, first
+
+    def core(self, token: bytes) -> bytes:
+        own = self.cores.get(token)
+        if own is None:
+            if len(self.cores) >= self.remembered:
+                self.cores.clear()
+            own = self.cores[token] = _once(token.strip(_EDGE))
+        return own
 
-    def joined(self, tokens: list[bytes]) -> Iterator[bytes]:
-        """Stretches of tokens that add up to a word or stem with a weight."""
+    def joined(self, tokens: list[bytes], first: set[bytes]) -> Iterator[bytes]:
+        """Stretches of tokens that add up to a word or stem with a weight and begin with one of ``first``."""
         words, begins, known = self.words, self.begins, self.cores
-        if len(known) >= self.remembered:
-            known.clear()
-        for token in set(tokens).difference(known):
-            known[token] = _once(token.strip(_EDGE))
-        cores = [known[token] for token in tokens]
-        for i, core in enumerate(cores):
-            if core in begins:
-                whole = core
-                for k in range(i + 1, len(cores)):
-                    whole = _once(whole + cores[k])
-                    if whole in words and cores[k]:
-                        yield b" ".join(t.strip(_EDGE) for t in tokens[i:k + 1])
-                    if whole not in begins:
-                        break
+        for i in [i for i, token in enumerate(tokens) if token in first]:
+            whole = self.core(tokens[i])
+            for k in range(i + 1, len(tokens)):
+                core = known.get(tokens[k])
+                if core is None:
+                    core = self.core(tokens[k])
+                if not core:
+                    continue
+                # a letter at the joint counts once
+                whole += core[1:] if whole[-1] == core[0] and core[:1].isalpha() else core
+                if whole in words:
+                    yield b" ".join(t.strip(_EDGE) for t in tokens[i:k + 1])
+                if whole not in begins:
+                    break
 
     def features(self, text: bytes) -> set[bytes]:
         lower = text.lower()
-        found: set[bytes] = set()
         tokens = lower.split()
-        found.update(self.of_tokens(set(tokens)))
+        found, first = self.of_tokens(set(tokens))
         for run in _RUN.findall(lower):
             if self.words is None or _SINGLES.search(run) or (_NOISE.search(run) and _LETTER.search(run)):
                 found.update(self.remember(b" ".join(run.split()), self.restored))
-        if self.words:
-            for stretch in self.joined(tokens):
+        if first:
+            for stretch in self.joined(tokens, first):
                 found.update(self.remember(stretch, self.restored))
         return found
 
