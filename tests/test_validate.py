@@ -3,6 +3,7 @@ import time
 from itertools import permutations, product
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from biflux.operators import mapping as mp, validate as va
 from biflux.operators.assignment import assign, best_rows, joint_cost, match_bucket, match_kinds, transport
@@ -290,3 +291,13 @@ def test_equal_records_pair_off_without_a_search(spark, monkeypatch):
         checks = va.Checks(mp.FieldDictionary(FIELDS, KEY), SUPPORTED)
         found = va.validate(records(spark, flows, "unit_id"), records(spark, refs, "ref_id"), checks).groupBy("outcome").count().collect()
         assert {r.outcome: r["count"] for r in found} == {"ok": 2990, "error": 30, "unexpected": 20}
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_normalised_records_are_made_once_per_row(spark):
+    # The filter on missing key fields and the key columns read the records; none of them may make the records again.
+    text = planned(records(spark, [{**BASE, "bytes": "5", "bytes@rev": "7"}], "unit_id").select("unit_id", "bucket", "dir", "f", "r"))
+    assert text.count("as bigint") <= 4  # typed scalars, list items (in an array, alone and twice as a size)
