@@ -301,3 +301,13 @@ def test_normalised_records_are_made_once_per_row(spark):
     # The filter on missing key fields and the key columns read the records; none of them may make the records again.
     text = planned(records(spark, [{**BASE, "bytes": "5", "bytes@rev": "7"}], "unit_id").select("unit_id", "bucket", "dir", "f", "r"))
     assert text.count("as bigint") <= 4  # typed scalars, list items (in an array, alone and twice as a size)
+
+
+def test_the_best_list_item_is_ranked_once(spark):
+    checks = va.Checks(mp.FieldDictionary(FIELDS, KEY), SUPPORTED, {"rr": "OneInArray"})
+    rows = records(spark, [{**BASE, "rr": '{"name": "a", "ttl": "1"}'}], "unit_id").select("biflow", F.col("f").alias("obs"), F.col("f").alias("want"))
+    found = va.with_comparisons(
+        rows, {"fields": (lambda x: F.col("obs"), lambda x: F.col("obs"), lambda x: x)}, "want", checks, F.col("biflow"), single=True)
+    judged = F.col("fields")[0]
+    assert planned(found.select(judged.alias("a"), F.size(judged).alias("n")).where("n > 0")).count("array_min(") == 1
+    assert sorted((f.field, f.outcome) for f in found.first().fields[0])[-2:] == [("rr.name", "ok"), ("rr.ttl", "ok")]
