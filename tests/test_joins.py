@@ -107,3 +107,25 @@ def test_tolerance_match_of_odd_tables(spark):
     assert found in ({(1, 7), (2, None), (3, None)}, {(2, 7), (1, None), (3, None)})
     assert {(r.flow_id, r.report_id) for r in tl.tolerance_match(left, right.limit(0)).collect()} == {(1, None), (2, None), (3, None)}
     assert {(r.flow_id, r.report_id) for r in tl.tolerance_match(left.limit(0), right).collect()} == {(None, 7)}
+
+
+def test_shares_without_a_row_per_hit(spark, monkeypatch):
+    """Ranges of one id count as their union, over both versions; no flow is written once per range that holds it."""
+    monkeypatch.setattr(rg, "range_hits", lambda *_: pytest.fail("a row per hit"))
+    rng = random.Random(3)
+    pool = [f"0a0000{rng.randrange(40):02x}" for _ in range(30)] + [f"20010db8{rng.randrange(40):024x}" for _ in range(30)] + [None]
+    flows = [(rng.choice(pool), rng.choice(pool), rng.choice([None, 3, 7])) for _ in range(300)]
+    spans = []
+    for i in range(40):
+        for _ in range(i % 5):
+            head = rng.choice(["0a0000", "20010db8" + "0" * 22])
+            low, high = sorted(rng.randrange(40) for _ in range(2))
+            spans.append((i, f"{head}{low:02x}", f"{head}{min(high, low + 8):02x}", 0.0))
+    spans += spans[:5] + [(None, "00000000", "ffffffff", 0.0)]
+    made = rg.range_share(spark.createDataFrame(flows, "src_ip string, dst_ip string, bytes long"),
+                          spark.createDataFrame(spans, "range_id long, low string, high string, expected double")).collect()
+    inside = lambda a, i: a is not None and any(s[0] == i and len(a) == len(s[1]) and s[1] <= a <= s[2] for s in spans)
+    assert len(made) == len(spans)
+    for r in made:
+        hits = [f for f in flows if r.range_id is not None and (inside(f[0], r.range_id) or inside(f[1], r.range_id))]
+        assert (r.flows, r.bytes) == (len(hits), sum(f[2] or 0 for f in hits))
