@@ -7,6 +7,7 @@ the parts in closed form, so parts are independent and a flow with a third of al
 import ipaddress
 from dataclasses import dataclass
 from itertools import accumulate
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,6 +18,8 @@ from biflux.schemas import FlowDataError
 from biflux.skew import global_scan
 
 PART = 65_536
+#: Items a task sorts at once: a few hundred bytes each, for up to six sorts, stay in memory.
+TASK_ITEMS = 4 * PART
 # Default packet size intervals (from, to, probability).
 DEFAULT_SIZES = [
     (64, 79, 0.2824), (80, 159, 0.073), (160, 319, 0.0115), (320, 639, 0.012), (640, 1279, 0.0092), (1280, 1514, 0.6119),
@@ -77,11 +80,17 @@ def _cut(total: Column, done: Column, whole: Column) -> Column:
 
 
 def _parts(rows: DataFrame, row_id: str, count: Column, part: int) -> DataFrame:
-    """One row per part of at most ``part`` items, spread over the cluster by row and part."""
-    split = rows.withColumn("n", count).where(F.col("n") > 0).withColumn(
+    """One row per part of at most ``part`` items, spread over the cluster by row and part.
+
+    Parts are small, but their items are not: tasks are as many as the counted items call for, so no sort has to spill.
+    """
+    split = rows.withColumn("n", count).where(F.col("n") > 0)
+    items = split.agg(F.sum(F.col("n").cast("double"))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(items / TASK_ITEMS))
+    split = split.withColumn(
         "part", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / part))))
     split = split.withColumn("at", F.col("part") * part).withColumn("items", F.least(F.lit(part), F.col("n") - F.col("at")))
-    return split.repartition(row_id, "part")
+    return split.repartition(tasks, row_id, "part")
 
 
 def _fit_to_total(draw: Column, total: Column, low: Column, high: Column, group) -> Column:

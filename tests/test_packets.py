@@ -49,6 +49,19 @@ def test_gap_limit(spark, part):
         assert times[-1] == end * 10**9 and max(b - a for a, b in zip(times, times[1:])) <= 10 * 10**9 + 1
 
 
+def test_tasks_follow_the_items_of_the_parts(spark, monkeypatch):
+    """Few rows that plan many packets are dealt over as many tasks as the packets call for; the plan stays the same."""
+    rows = profile(spark, [(0, 90_000, 300, 60_000, 100, 20_000)] * 6)
+    plans = []
+    for size in (100, 10_000):
+        monkeypatch.setattr(synth, "TASK_ITEMS", size)
+        split = synth._parts(rows, "id", F.col("packets") + F.col("packets_rev"), 50)
+        assert split.rdd.getNumPartitions() == max(8, 2400 // size)
+        plans.append([sorted(map(tuple, found.collect())) for found in (
+            synth.plan_packets(rows, "id", seed=4, part=50), synth.split_amount(rows, "id", "bytes", "packets", 60, 1500, part=50))])
+    assert plans[0] == plans[1]
+
+
 def test_size_map():
     sizes = synth.SizeMap.parse({"100-199": 0.5, "64-79": 0.5})
     assert sizes.intervals == ((64, 79, 0.5), (80, 99, 0.0), (100, 199, 0.5))
