@@ -1,26 +1,60 @@
 """Per-second traffic series on a live stream of flows."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from biflux.streaming.closing import state_rows
 
+#: Seconds of flows laid out at once; longer flows are laid out in pieces.
+LAID_OUT = 131_072
+
+
+def _per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flows ``first, last, packets, bits`` (amounts per second) -> sums per second, one row per second and piece."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first, last = (batch.column(c).to_numpy() for c in ("first", "last"))
+        known = {c: batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("packets", "bits")}
+        amounts = {c: batch.column(c).fill_null(0.0).to_numpy() for c in known}
+        sizes = np.abs(last - first) + 1
+        ends = np.cumsum(sizes)
+        for begin in range(0, int(ends[-1]), LAID_OUT):
+            end = min(begin + LAID_OUT, int(ends[-1]))
+            low, high = np.searchsorted(ends, [begin, end - 1], side="right")
+            taken = np.minimum(ends[low:high + 1], end) - np.maximum(ends[low:high + 1] - sizes[low:high + 1], begin)
+            row = np.repeat(np.arange(low, high + 1), taken)
+            offset = np.arange(begin, end) - (ends - sizes)[row]
+            second = first[row] + np.sign(last - first)[row] * offset
+            if second.max() - second.min() < 4 * LAID_OUT:
+                at = second - second.min()
+                seconds = np.arange(at.max() + 1) + second.min()
+            else:
+                seconds, at = np.unique(second, return_inverse=True)
+            met = np.bincount(at) > 0
+            sums = {c: pa.array(np.bincount(at, weights=amounts[c][row])[met], mask=np.bincount(at, weights=known[c][row])[met] == 0) for c in known}
+            starts = np.bincount(at[offset == 0], minlength=len(seconds))[met]
+            yield pa.RecordBatch.from_pydict({"second": pa.array(seconds[met]), **sums, "starts": pa.array(starts)})
+
 
 def stream_timeline(flows: DataFrame, lateness: str = "300 seconds") -> DataFrame:
     """Streaming biflows (ms) -> packets, bits and flow starts per second, in append mode.
 
-    A flow is spread evenly over the seconds it lasts. Probes cut flows at the active timeout, so a record spans few
-    hundred seconds at most and is exploded in place; the sums are combined before the shuffle.
+    A flow is spread evenly over the seconds it lasts. The flows of an Arrow batch are laid out and summed per second
+    before the watermark and the shuffle, which see a row per second and batch.
     """
     first, last = F.floor(F.col("start_time") / 1000), F.floor(F.col("end_time") / 1000)
     n = last - first + 1
-    seconds = flows.select(
-        F.explode(F.sequence(first, last)).alias("second"), first.alias("first"),
-        ((F.col("packets") + F.col("packets_rev")) / n).alias("packets"),
-        ((F.col("bytes") + F.col("bytes_rev")) * 8 / n).alias("bits"))
+    spans = flows.where(first.isNotNull() & last.isNotNull()).select(
+        first.alias("first"), last.alias("last"), ((F.col("packets") + F.col("packets_rev")) / n).cast("double").alias("packets"),
+        ((F.col("bytes") + F.col("bytes_rev")) * 8 / n).cast("double").alias("bits"))
+    seconds = spans.mapInArrow(_per_second, "second long, packets double, bits double, starts long")
     timed = seconds.withColumn("time", F.timestamp_seconds("second")).withWatermark("time", lateness)
     return timed.groupBy(F.window("time", "1 second")).agg(
-        F.sum("packets").alias("packets"), F.sum("bits").alias("bits"),
-        F.count_if(F.col("second") == F.col("first")).alias("starts"),
+        F.sum("packets").alias("packets"), F.sum("bits").alias("bits"), F.sum("starts").alias("starts"),
     ).select(F.unix_seconds("window.start").alias("second"), "packets", "bits", "starts")
 
 

@@ -1,9 +1,11 @@
 """A stream in arrival order gives the batch profile."""
 
+import pyarrow as pa
 import pytest
 
 from biflux.operators.profile_build import build_profile
 from biflux.streaming.cache import close_profile_stream, limited_open_flows, run_limited_stream, run_profile_stream
+from biflux.streaming import meter
 from biflux.streaming.closing import drain
 from tests.test_profile_build import ACTIVE, INACTIVE, frame, records
 
@@ -106,3 +108,44 @@ def test_cache_with_a_size_limit(spark, tmp_path):
     stream = stream_of(spark, source)
     with pytest.raises(Exception, match="full of flows"):
         drain(run_limited_stream(stream, str(tmp_path / "o"), str(tmp_path / "s"), 5))
+
+
+@pytest.mark.parametrize("piece", [7, 131_072])
+def test_flows_are_summed_per_second_before_the_stream_state(spark, tmp_path, monkeypatch, piece):
+    """A row per second and batch reaches the watermark, not one per flow and second."""
+    monkeypatch.setattr(meter, "LAID_OUT", piece)
+    rows = [(1000 * (k % 5), 1000 * (k % 5 + k % 40), k, 40 * k, None if k % 9 == 0 else 1, 3) for k in range(400)]
+    rows += [(None, 5000, 1, 1, 1, 1), (5000, None, 1, 1, 1, 1), (9000, 5000, 6, 6, 0, 0), (70_000, 70_000, None, 5, 1, 0), (10**10, 10**10 + 500, 2, 2, 0, 0)]
+    schema = "start_time long, end_time long, packets long, bytes long, packets_rev long, bytes_rev long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    want = {}
+    for s, e, p, b, pr, br in rows:
+        if s is None or e is None:
+            continue
+        first, last = s // 1000, e // 1000
+        for second in range(first, last + 1) if first <= last else range(first, last - 1, -1):
+            at = want.setdefault(second, [None, None, 0])
+            if p is not None and pr is not None:
+                at[0] = (at[0] or 0) + (p + pr) / (last - first + 1)
+            at[1] = (at[1] or 0) + (b + br) * 8 / (last - first + 1)
+            at[2] += second == first
+    if piece > 7:
+        stream = meter.stream_timeline(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        seen = drain(stream.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+        assert sum(b["late"] for b in seen.values()) == 0
+        made = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).unionByName(meter.open_seconds(spark, str(tmp_path / "state"))).collect()
+        found = {r.second: [r.packets, r.bits, r.starts] for r in made}
+    else:
+        found = {}
+        spans = [(s // 1000, e // 1000, None if p is None or pr is None else (p + pr) / (e // 1000 - s // 1000 + 1), (b + br) * 8 / (e // 1000 - s // 1000 + 1))
+                 for s, e, p, b, pr, br in rows if s is not None and e is not None]
+        batch = pa.RecordBatch.from_pylist([dict(zip(("first", "last", "packets", "bits"), r)) for r in spans])
+        for r in (r for made in meter._per_second(iter([batch])) for r in made.to_pylist()):
+            at = found.setdefault(r["second"], [None, None, 0])
+            for k, c in enumerate(("packets", "bits")):
+                at[k] = at[k] if r[c] is None else (at[k] or 0) + r[c]
+            at[2] += r["starts"]
+    assert found.keys() == want.keys()
+    for second, values in want.items():
+        assert found[second] == [None if v is None else pytest.approx(v) for v in values]
