@@ -8,36 +8,59 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from biflux.streaming.closing import state_rows
 
-#: Seconds of flows laid out at once; longer flows are laid out in pieces.
+#: Seconds that a series of one batch is kept for at once; sparser batches are laid out flow by flow, so many seconds at once.
 LAID_OUT = 131_072
+AMOUNTS = ("packets", "bits")
+
+
+def _series(first: np.ndarray, low: np.ndarray, high: np.ndarray, known: dict, amounts: dict) -> pa.RecordBatch:
+    """Sums of flows that lie close together: each is added to its stretch of one array."""
+    base, width = int(low.min()), int(high.max() - low.min()) + 1
+    low, high = low - base, high - base + 1
+
+    def covering(taken: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.bincount(low[taken], minlength=width + 1) - np.bincount(high[taken], minlength=width + 1))[:width]
+
+    met = covering(np.ones(len(low), dtype=bool)) > 0
+    sums = {}
+    for c in AMOUNTS:
+        total = np.zeros(width)
+        for start, end, amount in zip(low.tolist(), high.tolist(), amounts[c].tolist()):
+            total[start:end] += amount
+        sums[c] = pa.array(total[met], mask=covering(known[c])[met] == 0)
+    starts = np.bincount(first - base, minlength=width)[met]
+    return pa.RecordBatch.from_pydict({"second": pa.array(np.flatnonzero(met) + base), **sums, "starts": pa.array(starts)})
+
+
+def _laid_out(first: np.ndarray, low: np.ndarray, high: np.ndarray, known: dict, amounts: dict) -> Iterator[pa.RecordBatch]:
+    """Sums of any flows, whose seconds are written down in pieces."""
+    sizes = high - low + 1
+    ends = np.cumsum(sizes)
+    for begin in range(0, int(ends[-1]), LAID_OUT):
+        end = min(begin + LAID_OUT, int(ends[-1]))
+        at, to = np.searchsorted(ends, [begin, end - 1], side="right")
+        taken = np.minimum(ends[at:to + 1], end) - np.maximum(ends[at:to + 1] - sizes[at:to + 1], begin)
+        row = np.repeat(np.arange(at, to + 1), taken)
+        second = np.arange(begin, end) + (low - ends + sizes)[row]
+        seconds, place = np.unique(second, return_inverse=True)
+        sums = {c: pa.array(np.bincount(place, weights=amounts[c][row]), mask=np.bincount(place, weights=known[c][row]) == 0) for c in AMOUNTS}
+        starts = np.bincount(place[second == first[row]], minlength=len(seconds))
+        yield pa.RecordBatch.from_pydict({"second": pa.array(seconds), **sums, "starts": pa.array(starts)})
 
 
 def _per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Flows ``first, last, packets, bits`` (amounts per second) -> sums per second, one row per second and piece."""
+    """Flows ``first, last, packets, bits`` (amounts per second) -> sums per second, one row per second and batch or piece."""
     for batch in batches:
         if not batch.num_rows:
             continue
         first, last = (batch.column(c).to_numpy() for c in ("first", "last"))
-        known = {c: batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("packets", "bits")}
-        amounts = {c: batch.column(c).fill_null(0.0).to_numpy() for c in known}
-        sizes = np.abs(last - first) + 1
-        ends = np.cumsum(sizes)
-        for begin in range(0, int(ends[-1]), LAID_OUT):
-            end = min(begin + LAID_OUT, int(ends[-1]))
-            low, high = np.searchsorted(ends, [begin, end - 1], side="right")
-            taken = np.minimum(ends[low:high + 1], end) - np.maximum(ends[low:high + 1] - sizes[low:high + 1], begin)
-            row = np.repeat(np.arange(low, high + 1), taken)
-            offset = np.arange(begin, end) - (ends - sizes)[row]
-            second = first[row] + np.sign(last - first)[row] * offset
-            if second.max() - second.min() < 4 * LAID_OUT:
-                at = second - second.min()
-                seconds = np.arange(at.max() + 1) + second.min()
-            else:
-                seconds, at = np.unique(second, return_inverse=True)
-            met = np.bincount(at) > 0
-            sums = {c: pa.array(np.bincount(at, weights=amounts[c][row])[met], mask=np.bincount(at, weights=known[c][row])[met] == 0) for c in known}
-            starts = np.bincount(at[offset == 0], minlength=len(seconds))[met]
-            yield pa.RecordBatch.from_pydict({"second": pa.array(seconds[met]), **sums, "starts": pa.array(starts)})
+        known = {c: batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in AMOUNTS}
+        amounts = {c: batch.column(c).fill_null(0.0).to_numpy() for c in AMOUNTS}
+        low, high = np.minimum(first, last), np.maximum(first, last)
+        if high.max() - low.min() < LAID_OUT:
+            yield _series(first, low, high, known, amounts)
+        else:
+            yield from _laid_out(first, low, high, known, amounts)
 
 
 def stream_timeline(flows: DataFrame, lateness: str = "300 seconds") -> DataFrame:
