@@ -311,3 +311,20 @@ def test_the_best_list_item_is_ranked_once(spark):
     judged = F.col("fields")[0]
     assert planned(found.select(judged.alias("a"), F.size(judged).alias("n")).where("n > 0")).count("array_min(") == 1
     assert sorted((f.field, f.outcome) for f in found.first().fields[0])[-2:] == [("rr.name", "ok"), ("rr.ttl", "ok")]
+
+
+def test_rows_of_a_bucket_meet_however_their_tables_are_dealt(spark):
+    """Expectations and records of a bucket come in tables of different size, whose shuffles merge other numbers of parts."""
+    import __spark_entry__ as entry
+
+    names = ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    best = entry.queries()["best_match"]
+    want = sorted(map(tuple, best(spark, "/root/testdata/sf0.001").collect()))
+    try:
+        for name, value in zip(names, ("false", "64k", "-1")):
+            spark.conf.set(name, value)
+        assert sorted(map(tuple, best(spark, "/root/testdata/sf0.001").collect())) == want
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
