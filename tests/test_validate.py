@@ -313,18 +313,18 @@ def test_the_best_list_item_is_ranked_once(spark):
     assert sorted((f.field, f.outcome) for f in found.first().fields[0])[-2:] == [("rr.name", "ok"), ("rr.ttl", "ok")]
 
 
-def test_rows_of_a_bucket_meet_however_their_tables_are_dealt(spark):
-    """Expectations and records of a bucket come in tables of different size, whose shuffles merge other numbers of parts."""
+def test_rows_of_a_bucket_are_dealt_together_for_the_search(spark, monkeypatch):
+    """Spark drops a deal by bucket after a union of tables dealt by bucket; the parts of each may then be merged differently."""
     import __spark_entry__ as entry
 
-    names = ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")
-    before = {n: spark.conf.get(n) for n in names}
-    best = entry.queries()["best_match"]
-    want = sorted(map(tuple, best(spark, "/root/testdata/sf0.001").collect()))
-    try:
-        for name, value in zip(names, ("false", "64k", "-1")):
-            spark.conf.set(name, value)
-        assert sorted(map(tuple, best(spark, "/root/testdata/sf0.001").collect())) == want
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    plans = []
+    frame = type(spark.range(1))
+    found = frame.mapInArrow
+
+    def spied(self, *args, **kwargs):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return found(self, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    entry.queries()["best_match"](spark, "/root/testdata/sf0.001")
+    assert plans and all("REPARTITION_BY_COL" in p for p in plans)
