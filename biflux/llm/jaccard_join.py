@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from biflux.llm.common import utf8
@@ -26,6 +26,8 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.uint64(1 << 63)
 #: Shingles that lie last in the order; more would still be right, only with larger regions.
 COMMON = 65_536
+#: Slots of the counts that tell how far two sets are apart at least.
+SLOTS = 128
 
 
 def shingles(text: bytes, length: int) -> np.ndarray:
@@ -54,6 +56,16 @@ def shingles(text: bytes, length: int) -> np.ndarray:
     return np.unique((short << np.uint64(57)) | (mixed >> np.uint64(7)))
 
 
+def slot_counts(found: np.ndarray) -> np.ndarray:
+    """Shingles by the low bits of their code, at most 127 each: two sets differ in no less than these counts do."""
+    return np.minimum(np.bincount((found % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS), 127).astype(np.int8)
+
+
+def _apart(x: str, y: str) -> Column:
+    """How many shingles are in one of two sets alone, at least."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda total, d: total + d)
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -72,7 +84,7 @@ def _common(rows: DataFrame, length: int, locally: int = 6, most: int = COMMON)
 
 
 def _sketches(rows: DataFrame, common, length: int, percent: int) -> DataFrame:
-    """(id, row, n, cls, place, prefix): the class is a hash of the set; the prefix comes once per class and batch.
+    """(id, row, n, cls, place, prefix, counts): the class is a hash of the set; prefix and counts come once per class and batch.
 
     The prefix has the places of its shingles in the order of all: the hash itself, or 2^63 and the rank of a common one.
     ``place`` is low for sets made of common shingles: such a set is likelier to be the centre of its neighbours.
@@ -84,7 +96,7 @@ def _sketches(rows: DataFrame, common, length: int, percent: int) -> DataFrame:
         order = np.argsort(ranked)
         sorted_common = ranked[order]
         for batch in batches:
-            sizes, classes, places, prefixes, seen = [], [], [], [], set()
+            sizes, classes, places, prefixes, counts, seen = [], [], [], [], [], set()
             for value in batch.column(2):
                 found = shingles(value.as_py(), length)
                 n = len(found)
@@ -94,8 +106,10 @@ def _sketches(rows: DataFrame, common, length: int, percent: int) -> DataFrame:
                 if not n or cls in seen:
                     places.append(0)
                     prefixes.append(None)
+                    counts.append(None)
                     continue
                 seen.add(cls)
+                counts.append(slot_counts(found))
                 at = np.minimum(np.searchsorted(sorted_common, found), max(0, len(sorted_common) - 1))
                 often = sorted_common[at] == found if len(sorted_common) else np.zeros(n, bool)
                 last = np.sort(order[at[often]]).astype(np.uint64) + _LAST if often.any() else found[:0]
@@ -103,9 +117,9 @@ def _sketches(rows: DataFrame, common, length: int, percent: int) -> DataFrame:
                 prefixes.append(np.concatenate([found[~often], last])[:prefix_size(n, percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(places, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "row", "n", "cls", "place", "prefix"])
+                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int8()))], names=["id", "row", "n", "cls", "place", "prefix", "counts"])
 
-    return rows.mapInArrow(run, f"id {kind}, row bigint, n bigint, cls bigint, place bigint, prefix array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, row bigint, n bigint, cls bigint, place bigint, prefix array<bigint>, counts array<tinyint>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -174,18 +188,20 @@ def _measured(pairs: DataFrame, classes: DataFrame, rows: DataFrame, length: int
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that ``links`` (a, b) names; the root is the least node of the component.
 
-    Alternating large and small stars: each round hangs neighbours to the least neighbour, until nothing changes.
+    Alternating large and small stars: each round hangs neighbours to the least neighbour, until nothing changes. Few
+    edges are kept in few parts.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    parts = _parts(edges)
+    edges = edges.coalesce(parts)
+    least = F.min("v").over(Window.partitionBy("u"))
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
+        large = both.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
+        small = large.withColumn("m", least).select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = durable(small.where("u <> v").distinct())
+        edges = durable(small.where("u <> v").coalesce(parts).distinct().coalesce(parts))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -195,6 +211,23 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
+def _parts(rows: DataFrame, each: int = 50_000) -> int:
+    """Parts for a counted table: small ones need no more tasks (and files of shuffles) than their rows fill."""
+    return max(8, rows.count() // each + 1)
+
+
+def _without_copies(members: DataFrame) -> DataFrame:
+    """Of regions with the same members the one of the least shingle: the members' first common shingle is among these.
+
+    Long near copies share hundreds of shingles; pairs would be met once in each. Member sets are told by 128 bits.
+    """
+    marks = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    place = F.col("s").bitwiseXOR(F.lit(-(1 << 63)))  # signed order as unsigned: common shingles last
+    kinds = members.groupBy("s").agg(F.count("*").alias("size"), *marks)
+    least = kinds.groupBy("size", "mark1", "mark2").agg(F.min(place).alias("place"))
+    return members.join(least.select(F.col("place").bitwiseXOR(F.lit(-(1 << 63))).alias("s")), "s")
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, root, row) of every row of ``docs``.
 
@@ -215,12 +248,14 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         "s", "cls", (F.shiftright("order", 32) * (1 << 56) + F.shiftright("cls", 7)).alias("pc"), F.col("order").bitwiseAND((1 << 32) - 1).alias("pos"))
     shared = spread.groupBy("s").agg(F.min("pc").alias("pivot"), F.max("pc").alias("other")).where("pivot <> other").select("s", "pivot")
     members = durable(spread.join(shared, "s").dropDuplicates(["s", "cls"]))
+    met = members.groupBy("cls").agg(F.count("*").alias("met"))  # prefix shingles that any other class has in its prefix
+    members = durable(_without_copies(members))
     # the Voronoi cell: the most central pivot among the regions of a class
     one_row = sketch.where("prefix is not null").groupBy("cls").agg(
-        F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("of"), F.min("prefix").alias("prefix"))
+        F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("of"), F.min("prefix").alias("prefix"), F.min("counts").alias("counts"))
     classes = durable(
         members.groupBy("cls").agg(F.min("pc").alias("pc"), F.min("pivot").alias("home_pc")).join(one_row, "cls")
-        .select("cls", "pc", "home_pc", "n", "of.id", "of.row", "prefix"))
+        .select("cls", "pc", "home_pc", "n", "of.id", "of.row", "prefix", "counts"))
     homes = classes.where("home_pc <> pc").select(F.col("cls").alias("b"), F.col("home_pc").alias("pc")).join(
         classes.select("pc", F.col("cls").alias("a")), "pc").select("a", "b")
     homes = durable(homes)
@@ -231,11 +266,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     cells = measured.join(sizes.withColumnRenamed("cls", "a").withColumnRenamed("n", "na"), "a").join(
         sizes.withColumnRenamed("cls", "b").withColumnRenamed("n", "nb"), "b").select(
         F.col("b").alias("cls"), F.col("a").alias("cell"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
-    met = members.groupBy("cls").agg(F.count("*").alias("met"))  # prefix shingles that any other class has in its prefix
     known = durable(sizes.join(cells, "cls", "left").join(met, "cls").select("cls", "n", "met", F.coalesce("cell", "cls").alias("cell"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    members = members.join(known, "cls").withColumns({
+    members = members.join(known, "cls").withColumn("prev", F.lag("s").over(Window.partitionBy("cls").orderBy("pos"))).withColumns({
         "turn": F.row_number().over(Window.partitionBy("s").orderBy("pc", "cls")) - 1, "size": F.count("*").over(Window.partitionBy("s"))})
-    members = durable(members.select("s", "cls", "turn", "size", "pos", "n", "met", "cell", "far"))
+    members = durable(members.select("s", "cls", "turn", "size", "pos", "prev", "n", "met", "cell", "far"))
     largest = members.agg(F.coalesce(F.max("turn"), F.lit(0)).alias("m")).first().m
     roots = components(links)
     radius = 1 - percent / 100
@@ -243,7 +277,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     while first <= largest:
         own = members.where(F.col("size") > first).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         mixed = own.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("turn", "root"))["root"].alias("main")).where("low <> high")
-        open_ = durable(own.join(mixed.select("s", "main"), "s"))
+        open_ = durable(own.join(mixed.select("s", "main"), "s").join(classes.select("cls", "counts"), "cls"))
         pivots = open_.where((F.col("turn") >= first) & (F.col("turn") < first + step) & (F.col("root") != F.col("main")))
         x, y = pivots.alias("x"), open_.alias("y")
         # at their first common shingle, what lies before it in either prefix is not common
@@ -251,10 +285,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         # and no more of their prefixes is common than what either shares with anyone
         beyond = F.greatest(*[F.ceil(percent * F.col(n) / 100) - 1 for n in ("x.n", "y.n")])
         most = F.least(most, F.least("x.met", "y.met") + beyond)
+        # where they share the shingle before as well, they have met already
         fits = (
-            (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+            F.coalesce(F.col("x.prev") != F.col("y.prev"), F.lit(True)) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
             & (most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
-            & ((F.col("x.cell") != F.col("y.cell")) | (F.abs(F.col("x.far") - F.col("y.far")) <= radius + 1e-9)))
+            & ((F.col("x.cell") != F.col("y.cell")) | (F.abs(F.col("x.far") - F.col("y.far")) <= radius + 1e-9))
+            & (_apart("x.counts", "y.counts") * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))))
         pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = durable(pairs.join(done, ["a", "b"], "left_anti"))
@@ -262,8 +298,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         compared = compared.union(pairs)
         fresh = found.where("linked").select("a", "b")
         if not fresh.isEmpty():
-            links = links.union(fresh)
-            roots = components(links)
+            # nodes hang at their roots already, so only the fresh links have to be followed
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh))
         first, step = first + step, step * 8
     # the least id of a component, by classes first
     table = sketch.where("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

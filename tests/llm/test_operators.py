@@ -397,6 +397,33 @@ def test_join_by_brute_force(spark, length, percent):
     assert jaccard_join.join(empty(spark)).count() == 0
 
 
+def test_regions_with_the_same_members_are_met_once(spark):
+    last = -(1 << 63)  # a common shingle: behind all others
+    regions = {last + 5: (1, 2), 40: (1, 2), 7: (2, 1), 9: (1, 2, 3), 11: (3, 4), last: (3, 4), last + 1: (5, 6)}
+    rows = [(s, c) for s, members in regions.items() for c in members]
+    kept = jaccard_join._without_copies(spark.createDataFrame(rows, "s bigint, cls bigint")).collect()
+    assert sorted((r.s, r.cls) for r in kept) == sorted((s, c) for s in (7, 9, 11, last + 1) for c in regions[s])
+
+
+def test_slot_counts_bound_the_difference(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 40, 300, 300, 3000, 40_000)]
+    sets += [np.unique(np.concatenate([sets[3][:280], sets[4][:20]])), sets[-1][:39_000]]
+    rows = [(k, [int(v) for v in jaccard_join.slot_counts(s)]) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "k int, counts array<tinyint>")
+    found = table.alias("x").crossJoin(table.alias("y")).select("x.k", F.col("y.k").alias("other"), jaccard_join._apart("x.counts", "y.counts").alias("apart")).collect()
+    for r in found:
+        assert r.apart <= len(np.setxor1d(sets[r.k], sets[r.other]))
+    apart = {(r.k, r.other): r.apart for r in found}
+    assert apart[3, 3] == 0 and apart[3, 4] > 0.162 * 300 >= apart[3, 7]  # unrelated sets are told, near ones never
+
+
+def test_components_take_the_least_node(spark):
+    links = [(k + 1, k) for k in range(40)] + [(90, 91), (95, 91), (93, 93), (90, 91)]
+    found = jaccard_join.components(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(41)] + [(90, 90), (91, 90), (95, 90)]
+
+
 # language model
 
 def test_scores_by_brute_force(spark):
