@@ -303,6 +303,23 @@ def crowded_rows(count):
     return [(k, "".join(rng.choice("klmnopqrst ") for _ in range(90)) + passage + "".join(rng.choice("uvwxyz\u00e9 ") for _ in range(90))) for k in range(count)]
 
 
+def test_minimisers_by_definition():
+    rng, length = random.Random(5), 50
+    bits = np.uint64(substring_dedup._place_bits(length))
+    for text in (bytes(rng.choice(b"abc ") for _ in range(900)), b"ab" * 200 + b"c" * 90, b"x" * 50, b"y" * 49):
+        value, runs = substring_dedup.gram_hashes(text), []
+        for w in range(len(text) - length + 1):
+            at = w + int((value[w:w + length - substring_dedup.GRAM + 1] >> bits).argmin())
+            if runs and runs[-1][2] == at:
+                runs[-1][1] = w + 1
+            else:
+                runs.append([w, w + 1, at])
+        for piece in (1 << 20, 64):
+            first, end, grams = substring_dedup.minimisers(text, length, piece)
+            cut = [(a, b, value[at]) for w, e, at in runs for a, b in ((max(w, p), min(e, p + piece)) for p in range(0, len(text), piece)) if a < b]
+            assert list(zip(first.tolist(), end.tolist(), grams)) == cut
+
+
 def test_crowded_grams_are_dealt_apart():
     rows = crowded_rows(400)
     docs = pa.RecordBatch.from_pydict({"owner": pa.array([d for d, _ in rows]), "text": pa.array([t.encode() for _, t in rows])})
