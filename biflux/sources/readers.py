@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from biflux.functions.ip import ip_parse
-from biflux.runtime import broadcast_if_small, durable
+from biflux.runtime import broadcast_if_small, durable, once
 from biflux.schemas import PROFILE_COLUMNS, RAWFLOW, UNIFLOW, UNIFLOW_COLUMNS, FlowDataError
 
 _INT64, _UINT64 = 2**63 - 1, 2**64 - 1
@@ -36,16 +36,21 @@ def read_uniflow(spark: SparkSession, path: str, where: str | None = None, limit
     the read, and so does a file without one of the columns. ``numbered`` adds ``arrival_seq``, the place in the files."""
     lines = _content(spark, path, [f.name.upper() for f in UNIFLOW.fields])
 
-    def typed(name: str, kind: str) -> Column:
-        cell = _cell(name)
+    def parsed(name: str, kind: str) -> Column:
+        cell = F.col(name)
         value = ip_parse(cell) if name.endswith("_IP") else cell.try_cast(kind)
-        if name.endswith("_PORT"):
-            value = F.when(F.coalesce(cell, F.lit("")) == "", 0).otherwise(value)
+        return F.when(F.coalesce(cell, F.lit("")) == "", 0).otherwise(value) if name.endswith("_PORT") else value
+
+    def typed(name: str, kind: str) -> Column:
         reason = F.concat(F.lit(f"{name} unreadable in "), "file", F.lit(": "), "value")
-        return F.when(value.isNull(), F.raise_error(reason)).otherwise(value).cast(kind).alias(name.lower())
+        return F.when(F.col(name).isNull(), F.raise_error(reason)).otherwise(F.col(name)).cast(kind).alias(name.lower())
 
     place = ["arrival_seq"] if numbered else []
-    flows = lines.select(*[typed(f.name.upper(), f.dataType.simpleString()) for f in UNIFLOW.fields], *place)
+    kinds = {f.name.upper(): f.dataType.simpleString() for f in UNIFLOW.fields}
+    # Spark copies costly columns into each reader: cells are taken once, then parsed once.
+    cells = once(lines.select("file", "value", "cells", "header", *place), {n: _cell(n) for n in kinds})
+    values = once(cells.drop("cells", "header"), {n: parsed(n, kind) for n, kind in kinds.items()})
+    flows = values.select(*[typed(n, kind) for n, kind in kinds.items()], *place)
     return _narrowed(flows, where, limit)
 
 
@@ -158,15 +163,18 @@ def parse_profile(lines: DataFrame, header: list[str], skip_unknown: bool = Fals
 
 def _profile_rows(cells: DataFrame, keep: list[str], addresses: list[str], skip_unknown: bool, wide: bool) -> Parsed:
     most = _UINT64 if wide else _INT64
-    cell = {n: _cell(n) for n in [*PROFILE_HEADER, *addresses]}
+    # Spark copies costly columns into each reader, the filter on errors too: cells are taken once, then parsed once.
+    names = [*PROFILE_HEADER, *addresses]
+    cells = once(cells, {"_fits": F.size("cells") == F.size("header"), **{f"_{n}": _cell(n) for n in names}})
+    cell = {n: F.col(f"_{n}") for n in names}
     limits = {
         "START_TIME": (-_INT64, _INT64), "END_TIME": (-_INT64, _INT64), "L3_PROTO": (0, 255), "L4_PROTO": (0, 255),
         "SRC_PORT": (0, 65535), "DST_PORT": (0, 65535), **{c: (0, most) for c in PROFILE_HEADER[6:]},
     }
     values = {n: _number(F.when(cell[n] == "", "0").otherwise(cell[n]) if n.endswith("_PORT") else cell[n], *b) for n, b in limits.items()}
-    typed = cells.withColumns({
-        n.lower(): v.cast("int" if n.endswith(("PROTO", "PORT")) else "decimal(20,0)" if limits[n][1] > _INT64 else "long") for n, v in values.items()})
-    typed = typed.withColumns({n.lower(): F.when(cell[n] != "", ip_parse(cell[n])) for n in addresses})
+    typed = once(cells, {
+        n.lower(): v.cast("int" if n.endswith(("PROTO", "PORT")) else "decimal(20,0)" if limits[n][1] > _INT64 else "long") for n, v in values.items()} | {
+        n.lower(): F.when(cell[n] != "", ip_parse(cell[n])) for n in addresses})
 
     def unreadable(names: list[str]) -> list[tuple[str, str, Column]]:
         return [(n.lower(), "no number in range", F.col(n).isNull()) for n in names]
@@ -174,7 +182,7 @@ def _profile_rows(cells: DataFrame, keep: list[str], addresses: list[str], skip_
     # what a row may fail, as (column, reason, failed); the first that holds is told
     digits = F.when(F.col("l3_proto") == 4, 8).otherwise(32)
     checks = [
-        ("line", "cells do not match the header", F.size("cells") != F.size("header")),
+        ("line", "cells do not match the header", ~F.col("_fits")),
         *unreadable(PROFILE_HEADER[:3]), ("l3_proto", "not supported", ~F.col("l3_proto").isin(*L3)),
         *unreadable(["L4_PROTO"]), ("l4_proto", "not supported", ~F.col("l4_proto").isin(*L4)),
         *unreadable(PROFILE_HEADER[4:]),
