@@ -32,6 +32,8 @@ def profile_span(profile: DataFrame, window_length: int = DEFAULT_WINDOW) -> Spa
 
 
 _STEP = "decimal(38,12)"
+#: Candidates whose flags form one mask: a sum per mask (at most 256) serves all of them.
+_FLAGS = 8
 
 
 def _item(group: str, key: Column, amount: Column | None, step: Column | None = None) -> Column:
@@ -42,48 +44,87 @@ def _item(group: str, key: Column, amount: Column | None, step: Column | None =
         (none if step is None else step).cast(_STEP).alias("step"))
 
 
-def _window_steps(span: Span, window_length: int) -> list[Column]:
-    """Changes of the packets-per-window series that one flow causes: at most four, however long the flow is.
+def _with_windows(rows: DataFrame, span: Span, window_length: int) -> DataFrame:
+    """Add the first and the last window of a flow and its packets in the first, in the last and in each window between.
 
-    The packets are spread evenly over the flow. The first and the last window get their share, each window between
-    them the same amount, so the series is a running sum of a few steps.
+    The packets are spread evenly over the flow, so the packets-per-window series is a running sum of a few steps, however
+    long the flow is.
     """
     length = window_length * 1000
     last = F.lit(span.windows - 1)
     start, end = F.col("start_time") - span.first, F.col("end_time") - span.first
-    first_window = F.least(F.floor(start / length), last)
-    last_window = F.least(F.floor(end / length), last)
-    rate = _both("packets") / F.nullif(end - start, F.lit(0))
-    head, tail, whole = (x.cast(_STEP) for x in (
-        (F.least((first_window + 1) * length, end) - start) * rate, (end - last_window * length) * rate, length * rate))
-    one = [(first_window, _both("packets")), (first_window + 1, -_both("packets"))]
-    many = [(first_window, head), (first_window + 1, whole - head), (last_window, tail - whole), (last_window + 1, -tail)]
+    rate = F.col("_packets") / F.nullif(end - start, F.lit(0))
+    rows = rows.withColumns({"_first": F.least(F.floor(start / length), last), "_last": F.least(F.floor(end / length), last)})
+    shares = {"_head": (F.least((F.col("_first") + 1) * length, end) - start) * rate, "_tail": (end - F.col("_last") * length) * rate,
+              "_whole": length * rate}
+    return rows.withColumns({n: c.cast(_STEP) for n, c in shares.items()})
 
-    def steps(items) -> Column:
-        return F.array(*[_item("window", w, None, a) for w, a in items])
 
-    return F.when(first_window == last_window, steps(one)).otherwise(steps(many))
+def _part(kind: str, chunk: int, **fields: Column) -> Column:
+    """A summand of the first aggregation. ``kind`` to ``mask`` are its group, ``flags`` are counted one by one."""
+    types = {"l3": "string", "l4": "string", "size": "string", "port": "string", "at": "long", "mask": "int", "flags": "int",
+             "packets": "double", "octets": "double", "now": _STEP, "next": _STEP}
+    return F.struct(F.lit(kind).alias("kind"), F.lit(chunk).alias("chunk"), *[
+        fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()])
 
 
 def raw_sums(profile: DataFrame, span: Span, window_length: int = DEFAULT_WINDOW, members: dict[int, Column] | None = None) -> DataFrame:
-    """All sums the metrics need, from one scan and one aggregation: ``grp, name, amount, step``.
+    """All sums the metrics need, from one scan: ``grp, name, amount, step``.
 
-    With ``members`` (conditions by candidate number), the sums of every candidate, with a column ``candidate``. A row
-    then carries one flag per candidate, and each sum is an aggregate of its own, so rows are not repeated.
+    With ``members`` (conditions by candidate number), also the sums of every candidate, with a column ``candidate`` that
+    is NULL for the whole profile. The rows are summed per mask of candidates first (ports, of which there are many, per
+    flag), so neither the rows nor the costly decimal sums are repeated per candidate.
     """
-    one = F.lit(1)
-    items = F.array(
-        _item("total", F.lit("packets"), _both("packets")), _item("total", F.lit("bytes"), _both("bytes")), _item("total", F.lit("flows"), one),
-        _item("l3", F.col("l3_proto"), one), _item("size", size_class(_both("bytes"), _both("packets")), one),
-        _item("proto", F.col("l4_proto"), one), _item("port", F.col("src_port"), one), _item("port", F.col("dst_port"), one),
-    )
     members = members or {}
-    rows = profile.select(*[c.alias(f"_m{k}") for k, c in members.items()], F.inline(F.concat(items, _window_steps(span, window_length))))
+    chunks = [[*members][i:i + _FLAGS] for i in range(0, max(len(members), 1), _FLAGS)]
+    bits = {c: [F.when(members[k], 1 << j).otherwise(0) for j, k in enumerate(ks)] for c, ks in enumerate(chunks)}
+    # Everything a flow's summands share is computed below the generator, once per flow.
+    rows = profile.select(
+        "l3_proto", "l4_proto", "src_port", "dst_port", "start_time", "end_time", _both("packets").alias("_packets"),
+        _both("bytes").alias("_bytes"), size_class(_both("bytes"), _both("packets")).alias("_size"),
+        *[sum(b, F.lit(0)).alias(f"_mask{c}") for c, b in bits.items()])
+    rows = _with_windows(rows, span, window_length)
+    packets, head, tail, whole = (F.col(n) for n in ("_packets", "_head", "_tail", "_whole"))
+    first, last = F.col("_first"), F.col("_last")
+    parts = []
+    for c in bits:
+        mask = F.col(f"_mask{c}")
+        base = _part("base", c, l3=F.col("l3_proto"), l4=F.col("l4_proto"), size=F.col("_size"), mask=mask, packets=packets, octets=F.col("_bytes"))
+        ports = [_part("port", c, port=F.col(p), flags=mask) for p in ("src_port", "dst_port")]
+        one = _part("window", c, at=first, mask=mask, now=packets, next=-packets)
+        many = [_part("window", c, at=first, mask=mask, now=head, next=whole - head), _part("window", c, at=last, mask=mask, now=tail - whole, next=-tail)]
+        parts += [F.array(base, *ports), F.when(first == last, F.array(one)).otherwise(F.array(*many))]
+
+    def flag(of: str, j: int) -> Column:
+        return F.col(of).bitwiseAND(1 << j) != 0
+
+    width = range(len(chunks[0]))
+    keys = ["kind", "chunk", "l3", "l4", "size", "port", "at", "mask"]
+    parted = rows.select(F.inline(F.concat(*parts))).groupBy(*keys).agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("packets", "octets", "now", "next")],
+        *[F.sum(F.when(flag("flags", j), 1)).cast("double").alias(f"_n{j}") for j in width])
+
+    n = F.col("n")
+    items = F.when(F.col("kind") == "base", F.array(
+        _item("total", F.lit("packets"), F.col("packets")), _item("total", F.lit("bytes"), F.col("octets")), _item("total", F.lit("flows"), n),
+        _item("l3", F.col("l3"), n), _item("size", F.col("size"), n), _item("proto", F.col("l4"), n),
+    )).when(F.col("kind") == "port", F.array(_item("port", F.col("port"), n))).otherwise(F.array(
+        _item("window", F.col("at"), None, F.col("now")), _item("window", F.col("at") + 1, None, F.col("next"))))
+    sums = parted.select("chunk", "mask", *[f"_n{j}" for j in width], F.inline(items)).groupBy("chunk", "grp", "name").agg(
+        F.sum("amount").alias("amount"), F.sum("step").alias("step"),
+        *[F.sum(F.coalesce(f"_n{j}", F.when(flag("mask", j), F.col("amount")))).alias(f"_amount{j}") for j in width],
+        *[F.sum(F.when(flag("mask", j), F.col("step"))).alias(f"_step{j}") for j in width])
     if not members:
-        return rows.groupBy("grp", "name").agg(F.sum("amount").alias("amount"), F.sum("step").alias("step"))
-    sums = rows.groupBy("grp", "name").agg(*[F.sum(F.when(F.col(f"_m{k}"), F.col(c))).alias(f"_{c}{k}") for k in members for c in ("amount", "step")])
-    each = F.array(*[F.struct(F.lit(k).alias("candidate"), F.col(f"_amount{k}").alias("amount"), F.col(f"_step{k}").alias("step")) for k in members])
-    return sums.select("grp", "name", F.inline(each)).where("amount IS NOT NULL OR step IS NOT NULL")
+        return sums.select("grp", "name", "amount", "step")
+
+    def of(candidate: int | None, suffix: str) -> Column:
+        return F.struct(F.lit(candidate).cast("int").alias("candidate"), F.col(f"{'_' if suffix else ''}amount{suffix}").alias("amount"),
+                        F.col(f"{'_' if suffix else ''}step{suffix}").alias("step"))
+
+    each = F.array(*[of(k, str(j)) for j, k in enumerate(chunks[0])], of(None, ""))
+    for c, ks in enumerate(chunks[1:], start=1):
+        each = F.when(F.col("chunk") == c, F.array(*[of(k, str(j)) for j, k in enumerate(ks)])).otherwise(each)
+    return sums.select("grp", "name", F.inline(each)).where("candidate IS NULL OR amount IS NOT NULL OR step IS NOT NULL")
 
 
 def metric_table(
@@ -94,14 +135,18 @@ def metric_table(
     window_length: int = DEFAULT_WINDOW,
     members: dict[int, Column] | None = None,
     totals: bool = False,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """Long table ``grp, name, value``: ratios, address version, packet size, protocol, port and window shares and, with
-    ``totals``, the number of flows. With ``members`` the same per ``candidate``.
+    ``totals``, the number of flows. With ``members`` the same per ``candidate``. ``sums``: the rows of :func:`raw_sums` to
+    use, if there are any already.
 
     Everything after :func:`raw_sums` works on its result (at most 256 protocols, 65536 ports and the windows).
     """
     by = ["candidate"] if members else []
-    sums = durable(raw_sums(profile, span, window_length, members))
+    if sums is None:
+        sums = durable(raw_sums(profile, span, window_length, members))
+        sums = sums.where("candidate IS NOT NULL") if by else sums
     value = {n: F.max(F.when((F.col("grp") == "total") & (F.col("name") == n), F.col("amount"))) for n in ("packets", "bytes", "flows")}
     # One row, or one per candidate.
     whole = sums.groupBy(*by).agg(*[v.alias(f"t_{n}") for n, v in value.items()])

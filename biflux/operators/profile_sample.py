@@ -37,6 +37,16 @@ def _member(candidate: int, rate: float, seed: int) -> Column:
     return F.floor((F.col("_rank") + 1) * rate + phase) > F.floor(F.col("_rank") * rate + phase)
 
 
+def _candidates(profile: DataFrame, row_id: str, smallest: float, largest: float, candidates: int, seed: int,
+                window_length: int) -> tuple[DataFrame, dict[int, Column], Span]:
+    """The ranked rows, the condition of each candidate on them, and the span."""
+    if not 0 < smallest <= largest <= 1:
+        raise FlowDataError("sample size must be within 0..1")
+    span = profile_span(profile, window_length)
+    ranked = _ranked(profile, row_id, seed, span, window_length)
+    return ranked, {i: _member(i, r, seed) for i, r in enumerate(_rates(smallest, largest, candidates))}, span
+
+
 def score_candidates(
     profile: DataFrame,
     row_id: str,
@@ -50,13 +60,15 @@ def score_candidates(
     window_length: int = DEFAULT_WINDOW,
 ) -> DataFrame:
     """``candidate, share, fitness, worst, accepted`` for seeded stratified samples, all scored in one aggregation."""
-    if not 0 < smallest <= largest <= 1:
-        raise FlowDataError("sample size must be within 0..1")
-    rates = _rates(smallest, largest, candidates)
-    span = profile_span(profile, window_length)
-    ranked = _ranked(profile, row_id, seed, span, window_length)
-    members = {i: _member(i, r, seed) for i, r in enumerate(rates)}
-    scores = score_members(profile, ranked, members, span, deviation, proto_threshold, port_threshold, window_length)
+    ranked, members, span = _candidates(profile, row_id, smallest, largest, candidates, seed, window_length)
+    return _bounded_scores(
+        profile, ranked, members, span, smallest, largest, deviation=deviation, proto_threshold=proto_threshold,
+        port_threshold=port_threshold, window_length=window_length)
+
+
+def _bounded_scores(profile: DataFrame, ranked: DataFrame, members: dict[int, Column], span: Span, smallest: float, largest: float,
+                    **options) -> DataFrame:
+    scores = score_members(profile, ranked, members, span, **options)
     return scores.withColumn("accepted", F.col("accepted") & F.col("share").between(smallest, largest))
 
 
@@ -65,13 +77,16 @@ def score_members(
     proto_threshold: float = DEFAULT_THRESHOLD, port_threshold: float = DEFAULT_THRESHOLD, window_length: int = DEFAULT_WINDOW,
 ) -> DataFrame:
     """``candidate, share, fitness, worst, accepted`` of samples given as conditions on ``rows`` (the profile, with any
-    columns the conditions need). All candidates' sums come from one aggregation of one scan."""
-    original = metric_table(profile, span, proto_threshold, port_threshold, window_length)
+    columns the conditions need). The sums of the profile and of all candidates come from one scan of ``rows``."""
+    sums = durable(raw_sums(rows, span, window_length, members))
+    whole, parts = sums.where("candidate IS NULL").drop("candidate"), sums.where("candidate IS NOT NULL")
+    original = metric_table(profile, span, proto_threshold, port_threshold, window_length, sums=whole)
     # Small tables (metrics per candidate), each used more than once.
-    scored = durable(metric_table(rows, span, 0.0, 0.0, window_length, members, totals=True))
+    scored = durable(metric_table(rows, span, 0.0, 0.0, window_length, members, totals=True, sums=parts))
     result = fitness(metric_diff(original, scored, [*members]), deviation, ["candidate"])
     size = scored.where((F.col("grp") == "total") & (F.col("name") == "flows")).select("candidate", F.col("value").alias("flows"))
-    share = F.col("flows") / F.lit(profile.count())
+    flows = whole.where((F.col("grp") == "total") & (F.col("name") == "flows")).select("amount")
+    share = F.col("flows") / flows.scalar()
     return result.join(size, "candidate").select("candidate", share.alias("share"), "fitness", "worst", "accepted")
 
 
