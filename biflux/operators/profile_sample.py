@@ -95,13 +95,11 @@ def sample(
     window_length: int = DEFAULT_WINDOW, **options,
 ) -> tuple[DataFrame, Row]:
     """Best sample and its score row. A sample that meets all bounds wins; otherwise the fittest one, not accepted."""
-    scores = score_candidates(
-        profile, row_id, smallest, largest, candidates=candidates, seed=seed, window_length=window_length, **options)
+    ranked, members, span = _candidates(profile, row_id, smallest, largest, candidates, seed, window_length)
+    scores = _bounded_scores(profile, ranked, members, span, smallest, largest, window_length=window_length, **options)
     fits = F.col("share").between(smallest, largest)
     best = scores.orderBy(F.col("accepted").desc(), fits.desc(), F.col("fitness").desc(), F.col("worst"), "candidate").first()
-    ranked = _ranked(profile, row_id, seed, profile_span(profile, window_length), window_length)
-    rate = _rates(smallest, largest, candidates)[best["candidate"]]
-    return ranked.where(_member(best["candidate"], rate, seed)).select(*profile.columns), best
+    return ranked.where(members[best["candidate"]]).select(*profile.columns), best
 
 
 def sample_report(original: DataFrame, chosen: DataFrame, window_length: int = DEFAULT_WINDOW,

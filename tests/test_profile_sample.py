@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from biflux.operators.profile_metrics import profile_span, raw_sums
-from biflux.operators.profile_sample import score_candidates
+from biflux.operators.profile_sample import sample, score_candidates
 
 SCHEMA = ("flow_id long, start_time long, end_time long, l3_proto int, l4_proto int, src_port int, dst_port int,"
           " packets long, bytes long, packets_rev long, bytes_rev long")
@@ -44,6 +44,15 @@ def test_scores_read_the_profile_three_times(spark):
     assert read.value <= 3 * len(rows)
 
 
+def test_a_sample_reads_the_profile_four_times(spark):
+    rows = flows()
+    profile, read = counted(spark, rows)
+    chosen, best = sample(profile, "flow_id", 0.2, 0.4, candidates=4, seed=3)
+    ids = [r["flow_id"] for r in chosen.collect()]
+    assert len(ids) == len({*ids}) == round(best["share"] * len(rows)) and 0.2 <= best["share"] <= 0.4
+    assert read.value <= 4 * len(rows)
+
+
 def test_a_flow_gives_few_summands(spark):
     """Not one per metric and window step (12): one for all small groups, one per port, one per end."""
     profile = spark.createDataFrame(flows(), SCHEMA)
