@@ -129,3 +129,37 @@ def test_shares_without_a_row_per_hit(spark, monkeypatch):
     for r in made:
         hits = [f for f in flows if r.range_id is not None and (inside(f[0], r.range_id) or inside(f[1], r.range_id))]
         assert (r.flows, r.bytes) == (len(hits), sum(f[2] or 0 for f in hits))
+
+
+def _some_rows(rng, ports, n):
+    some = lambda: (4, rng.choice([6, 17]), rng.choice(ports[0]), rng.choice(ports[1]), rng.choice([0.0, 100.0, 110.0, 118.0]), rng.choice([130.0, 150.0, 170.0]),
+                    rng.choice([10, 11, 12]), rng.choice([-100, 100, 115, 121, 130, 149, 160]), rng.choice([0, 1]), rng.choice([0, 50, 61]))
+    return [some() for _ in range(n)]
+
+
+def test_tolerance_match_solves_bounded_groups_where_they_lie(spark, monkeypatch):
+    """Rows without a partner start no search over the whole table if their groups are small, and groups may end anywhere in a chunk."""
+    monkeypatch.setattr(tl, "_reached", lambda *_: pytest.fail("a search over the table"))
+    for seed, chunk in ((1, 7), (2, 50_000)):
+        monkeypatch.setattr(tl, "CHUNK", chunk)
+        rng = random.Random(seed)
+        left, right = _some_rows(rng, ([5, 6, 7], [1, 2]), 80), _some_rows(rng, ([5, 6, 7], [0, 1]), 50)
+        found = tl.tolerance_match(
+            spark.createDataFrame([(i, *r) for i, r in enumerate(left)], f"flow_id long, {COLUMNS}"),
+            spark.createDataFrame([(i, *r) for i, r in enumerate(right)], f"report_id long, {COLUMNS}")).collect()
+        pairs = [(r.flow_id, r.report_id) for r in found if r.flow_id is not None and r.report_id is not None]
+        assert len(pairs) == largest(left, right) and all(agrees(left[p], right[r]) for p, r in pairs)
+        assert len(found) == len(left) + len(right) - len(pairs)
+
+
+def test_tolerance_match_of_crowded_groups_joins_on_ports(spark, monkeypatch):
+    """With a bound of a few pairs some groups are searched by trees, whose joins have the ports among their keys."""
+    monkeypatch.setattr(tl, "CROWD", 60)
+    rng = random.Random(5)
+    left, right = _some_rows(rng, ([5, 5, 5, 6], [1, 2]), 60), _some_rows(rng, ([5, 5, 5, 6], [0, 1, 2]), 50)
+    found = tl.tolerance_match(
+        spark.createDataFrame([(i, *r) for i, r in enumerate(left)], f"flow_id long, {COLUMNS}"),
+        spark.createDataFrame([(i, *r) for i, r in enumerate(right)], f"report_id long, {COLUMNS}")).collect()
+    pairs = [(r.flow_id, r.report_id) for r in found if r.flow_id is not None and r.report_id is not None]
+    assert len(pairs) == largest(left, right) and all(agrees(left[p], right[r]) for p, r in pairs)
+    assert len(found) == len(left) + len(right) - len(pairs)
