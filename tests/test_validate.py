@@ -328,3 +328,30 @@ def test_rows_of_a_bucket_are_dealt_together_for_the_search(spark, monkeypatch):
     monkeypatch.setattr(frame, "mapInArrow", spied)
     entry.queries()["best_match"](spark, "/root/testdata/sf0.001")
     assert plans and all("REPARTITION_BY_COL" in p for p in plans)
+
+
+def test_validation_writes_its_tables_once_and_slim(spark, monkeypatch):
+    """What is kept of the records has no key fields, and nothing as wide as the joined records is written."""
+    kept, written = [], va.stored
+
+    def spied(df):
+        kept.append(written(df))
+        return kept[-1]
+
+    monkeypatch.setattr(va, "stored", spied)
+    monkeypatch.setattr(va, "durable", lambda df: (_ for _ in ()).throw(AssertionError("rows kept as they are")))
+    flows = [{**BASE, "bytes": "5", "bytes@rev": "7", "rr": '[{"name": "a"}, {"name": "b"}]'}, {**BASE, "src_port": "11", "bytes": "6"}]
+    got, gone = run(spark, flows, [{**flows[0], "rr": '[{"name": "b"}, {"name": "a"}]'}, {**BASE, "src_port": "12"}])
+    assert [g[:4] for g in got] == [(0, 0, 0, "ok"), (0, 0, 1, "ok"), (1, None, 0, "unexpected")] and gone == [(1, 0)]
+    assert got[0][4] == [("bytes", "ok"), ("rr.name", "ok"), ("rr.name", "ok")]
+    names = {r.k for df in kept if "s0" in df.columns for s in ("s0", "s1") for r in df.select(F.explode(F.map_keys(f"{s}.values")).alias("k")).collect()}
+    assert names == {"bytes"}
+    assert all("back" not in df.columns and "want" not in df.columns for df in kept)
+
+
+def test_records_of_two_flows_serve_a_two_way_annotation(spark):
+    """The other direction's record may be another flow's; it supplies fields of any direction."""
+    flows = [{**BASE, "bytes": "5"}, {**BACK, "bytes": "7", "agent": "x"}]
+    got, gone = run(spark, flows, [{**BASE, "bytes": "5", "bytes@rev": "7", "agent": "x"}])
+    assert [g[:4] for g in got] == [(0, 0, 0, "ok"), (1, 0, 1, "ok")] and not gone
+    assert got[0][4] == [("agent", "ok"), ("bytes", "ok")]
