@@ -7,7 +7,7 @@ is an equality join per length of beginning that occurs, and gives nothing but t
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from biflux.runtime import broadcast_if_small, durable, once
+from biflux.runtime import broadcast_if_small, durable, once, shuffled
 from biflux.skew import keyed_scan
 
 DIGITS = "0123456789abcdef"
@@ -58,7 +58,7 @@ def range_hits(addresses: DataFrame, ranges: DataFrame, column: str = "address")
     keys = ["width", "prefix"]
     if small is blocks:
         spread = F.when(F.length("prefix") <= SHORT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        small = blocks.select("*", F.explode(spread).alias("salt"))
+        small = shuffled(blocks.select("*", F.explode(spread).alias("salt")))
         points = points.withColumn("salt", _salted(F.col("prefix"), F.pmod(F.xxhash64("address"), F.lit(SALTS))).cast("int"))
         keys.append("salt")
     return points.join(small, keys).select("address", "range_id")
@@ -113,9 +113,11 @@ def _met(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
 
     sums = [F.sum(c).alias(c) for c in ("flows", "bytes")]
     asked = blocks.select("range_id", "spans", "at", F.concat("width", "prefix").alias("prefix"))
-    known = broadcast_if_small(asked.select("prefix").distinct())
+    prefixes = asked.select("prefix").distinct()
+    known = broadcast_if_small(prefixes)
+    known = shuffled(known) if known is prefixes else known
     inside = ends.select(F.explode(beginnings("y")).alias("prefix"), "flows", "bytes").groupBy("prefix").agg(*sums)
-    inside = asked.select("range_id", "prefix").join(inside, "prefix").select("range_id", "flows", "bytes")
+    inside = asked.select("range_id", "prefix").join(shuffled(inside), "prefix").select("range_id", "flows", "bytes")
     # Later keys have smaller complements: the sum over earlier rows is that over all larger y. Bounds go before equal ends.
     turned = lambda c: F.translate(c, DIGITS, DIGITS[::-1])
     above = ends.select(F.explode(beginnings("x", F.col("y"))).alias("prefix"), turned(F.col("y")).alias("end"), "flows", "bytes").join(
@@ -131,7 +133,7 @@ def _met(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
     head = {"_head": F.substring(F.col("end"), F.lit(1), F.length("end") - 3)}
     passed = keyed_scan(line, ["prefix"], ["end", "turn"], head, total={"_flows": F.col("flows"), "_bytes": F.col("bytes")})
     passed = passed.where("turn <> 1").select("prefix", "end", "turn", "_flows", "_bytes")
-    beyond = bounds.join(passed, ["prefix", "end", "turn"]).select(
+    beyond = bounds.join(shuffled(passed), ["prefix", "end", "turn"]).select(
         "range_id", (F.col("sign") * F.col("_flows")).alias("flows"), (F.col("sign") * F.col("_bytes")).alias("bytes"))
     return inside.unionByName(beyond).groupBy("range_id").agg(*sums)
 
@@ -146,7 +148,7 @@ def range_share(flows: DataFrame, ranges: DataFrame, tolerance: float = 0.01) ->
     pairs = flows.groupBy("src_ip", "dst_ip").agg(
         F.count("*").alias("flows"), F.sum(F.col("bytes") + (F.col("bytes_rev") if "bytes_rev" in flows.columns else F.lit(0))).alias("bytes"))
     counted = _met(durable(pairs), ranges)
-    found = ranges.select("range_id", F.length("low").alias("width"), "expected").join(counted, "range_id", "left").fillna(0, ["flows", "bytes"])
+    found = ranges.select("range_id", F.length("low").alias("width"), "expected").join(shuffled(counted), "range_id", "left").fillna(0, ["flows", "bytes"])
     totals = found.groupBy("width").agg(F.sum("flows").alias("all_flows"), F.sum("bytes").alias("all_bytes"))
     share = F.try_divide(F.col("flows"), F.col("all_flows"))
     return found.join(totals, "width").select(

@@ -163,3 +163,14 @@ def test_tolerance_match_of_crowded_groups_joins_on_ports(spark, monkeypatch):
     pairs = [(r.flow_id, r.report_id) for r in found if r.flow_id is not None and r.report_id is not None]
     assert len(pairs) == largest(left, right) and all(agrees(left[p], right[r]) for p, r in pairs)
     assert len(found) == len(left) + len(right) - len(pairs)
+
+
+def test_shares_broadcast_nothing_that_grows_with_the_ranges(spark):
+    """Spark takes blocks of ranges for as few as ranges; a broadcast of them passes through the driver."""
+    flows = spark.createDataFrame([("0a000001", "0a000002", 5)], "src_ip string, dst_ip string, bytes long")
+    ranges = spark.createDataFrame([(1, "0a000000", "0a00000f", 0.5)], "range_id long, low string, high string, expected double")
+    found = rg.range_share(flows, ranges)
+    # The other join is with the totals of the two address versions.
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 2 and plan.count("SortMergeJoin") >= 3
+    assert [(r.flows, r.bytes) for r in found.collect()] == [(1, 5)]
